@@ -100,7 +100,7 @@ def _piece_lengths_m(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series)
 def spheroid_length_m(parts) -> Column:
     """Length on the WGS84 ellipsoid in metres, summed over all paths."""
     p = pieces(parts)
-    return _piece_lengths_m(*[F.transform(p, lambda s, k=k: s[k]) for k in ("x1", "y1", "x2", "y2")])
+    return _piece_lengths_m(*[p[k] for k in ("x1", "y1", "x2", "y2")])
 
 
 # ---------------------------------------------------------------- simplification

@@ -81,9 +81,10 @@ def headline_delta(stats: DataFrame, scopes: DataFrame) -> DataFrame:
     One row per release is left when the window over equal scopes runs, so no
     pairs of releases are formed and the statistics are read once.
     """
-    now = headline(stats).join(scopes.select("release", "bbox", "classes"), "release", "left")
-    same = Window.partitionBy(F.to_json("bbox"), F.to_json("classes")).orderBy("release")
-    before = lambda c: F.when(F.col("bbox").isNotNull(), F.lag(c).over(same))
+    scope = scopes.select("release", F.to_json("bbox").alias("_bbox"), F.to_json("classes").alias("_classes"))
+    now = headline(stats).join(scope, "release", "left")
+    same = Window.partitionBy("_bbox", "_classes").orderBy("release")
+    before = lambda c: F.when(F.col("_bbox").isNotNull(), F.lag(c).over(same))
     return (now.withColumn("previous", before("release")).withColumn("previous_km", before("total_km"))
             .select("release", "total_km", "segments", "pct_named", "previous", "previous_km",
                     (F.col("total_km") - F.col("previous_km")).alias("delta_km"),

@@ -347,7 +347,7 @@ def matching_values(spark, sf):
 
 @query
 def highlight(spark, sf):
-    return explore.highlight(d.places(spark, sf), "places", "category", "machinery", n=10_000_000).select(
+    return explore.highlight(d.places(spark, sf), "places", "category", "machinery").select(
         "id", "category", "lon", "lat")
 
 
