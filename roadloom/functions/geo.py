@@ -221,21 +221,24 @@ def geojson_km(geometry_json, nesting: int = 2) -> Column:
     return F.when(g["type"] == "GeometryCollection", total).otherwise(own)
 
 
-def geometry_columns(geometry_json) -> dict[str, Column]:
-    """The derived columns every feature gets, from its geometry text."""
-    text = _col(geometry_json)
-    gtype = parse_geometry(text)["type"]
-    vertices = geojson_vertices(text)
-    first = F.try_element_at(vertices, F.lit(1))
-    spot = F.when(gtype == "Point", first).otherwise(mean_vertex(vertices))
-    known = gtype.isNotNull()
+def with_geometry(df, geometry: str = "geometry"):
+    """Parse the geometry text once per row: adds ``_type``, ``_vertices`` and
+    ``_spot`` for ``geometry_columns``."""
+    first = F.try_element_at("_vertices", F.lit(1))
+    return (df.withColumn("_type", parse_geometry(geometry)["type"])
+            .withColumn("_vertices", geojson_vertices(geometry))
+            .withColumn("_spot", F.when(F.col("_type") == "Point", first).otherwise(mean_vertex("_vertices"))))
+
+
+def geometry_columns(geometry: str = "geometry") -> dict[str, Column]:
+    """The derived columns every feature gets, for the output of ``with_geometry``."""
     return {
-        "geom_type": gtype,
-        "lon": spot["x"],
-        "lat": spot["y"],
-        "length_km": geojson_km(text),
-        **envelope(vertices),
-        "geometry_geojson": F.when(known, text),
+        "geom_type": F.col("_type"),
+        "lon": F.col("_spot.x"),
+        "lat": F.col("_spot.y"),
+        "length_km": geojson_km(geometry),
+        **envelope("_vertices"),
+        "geometry_geojson": F.when(F.col("_type").isNotNull(), F.col(geometry)),
     }
 
 

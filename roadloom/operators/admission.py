@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,42 +59,25 @@ def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s
     base = materialize(events.select(
         F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("o"))
         .withColumn("chunk", F.floor(F.col("t") / chunk_us).cast("bigint")), "visits")
-    types = dict(base.dtypes)
-    rows_ddl = f"k {types['k']}, chunk bigint, t bigint, o {types['o']}"
-
-    def from_start(rows: pd.DataFrame, start) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "o"], ignore_index=True)
-        recent = deque((int(t) for t in start), maxlen=limit)
-        return rows.iloc[admitted_positions(rows["t"].to_numpy(), recent, limit, window)][["k", "chunk", "t", "o"]]
-
-    def first_look(rows: pd.DataFrame) -> pd.DataFrame:
-        return from_start(rows, ())
-
-    def again(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        return from_start(rows, start["start"].iloc[0])
-
     chunk = ["k", "chunk"]
     chunks = base.select(*chunk).distinct()
     none = F.array().cast("array<bigint>")
-    admitted = materialize(base.groupBy(*chunk).applyInPandas(first_look, rows_ddl), "admitted")
+    admitted = materialize(_evaluate(base, None, limit, window), "admitted")
     used = None
     while True:
         starts = chunks.join(_starts(_under_cap(admitted, daily_cap), limit, window, chunk_us), chunk, "left").select(
             *chunk, F.coalesce("start", none).alias("start"))
-        before = F.coalesce("was", none)
-        if used is not None:
-            starts = starts.join(used.select(*chunk, F.col("start").alias("was")), chunk)
-        else:
+        if used is None:
             starts = starts.withColumn("was", none)
-        used = materialize(starts.select(*chunk, "start", (F.col("start") != before).alias("changed")), "starts")
+        else:
+            starts = starts.join(used.select(*chunk, F.col("start").alias("was")), chunk)
+        used = materialize(starts.select(*chunk, "start", (F.col("start") != F.col("was")).alias("changed")), "starts")
         changed = used.where("changed")
         if changed.isEmpty():
             break
         rows = base.join(changed.select(*chunk), chunk, "left_semi").select(*base.columns)
-        redone = (rows.groupBy(*chunk).cogroup(changed.select(*chunk, "start").groupBy(*chunk))
-                  .applyInPandas(again, rows_ddl))
-        kept = admitted.join(changed.select(*chunk), chunk, "left_anti")
-        admitted = materialize(kept.select("k", "chunk", "t", "o").unionByName(redone), "admitted")
+        kept = admitted.join(changed.select(*chunk), chunk, "left_anti").select(*base.columns)
+        admitted = materialize(kept.unionByName(_evaluate(rows, changed, limit, window)), "admitted")
 
     verdicts = base.join(_under_cap(admitted, daily_cap).select("k", "t", "o", F.lit(True).alias("ok")),
                          ["k", "t", "o"], "left")
@@ -112,6 +94,36 @@ def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s
         F.col("o").alias(order), verdict.otherwise("window").alias("verdict"))
 
 
+def _evaluate(rows: DataFrame, starts: DataFrame | None, limit: int, window: int) -> DataFrame:
+    """The admitted rows of every (key, chunk), given the times admitted before.
+
+    Those times become rows of their own that sort first.  Each partition is
+    then one sorted run, read batch by batch: no chunk is ever held as a whole.
+    """
+    rows = rows.withColumn("seed", F.lit(False))
+    if starts is not None:
+        seeds = starts.select("k", "chunk", F.explode("start").alias("t"), F.lit(True).alias("seed"))
+        rows = rows.unionByName(seeds, allowMissingColumns=True)
+    run = rows.repartition("k", "chunk").sortWithinPartitions("k", "chunk", F.desc("seed"), "t", "o")
+
+    def scan(batches):
+        current, recent = None, deque(maxlen=limit)
+        for pdf in batches:
+            k = pdf["k"].astype(object).where(pdf["k"].notna(), None).to_numpy()
+            chunk, t, seed = pdf["chunk"].to_numpy(), pdf["t"].to_numpy(), pdf["seed"].to_numpy()
+            new = np.flatnonzero((k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+            keep = []
+            for a, b in zip([0, *new], [*new, len(pdf)]):
+                if (k[a], chunk[a]) != current:
+                    current, recent = (k[a], chunk[a]), deque(maxlen=limit)
+                first = a + int(np.count_nonzero(seed[a:b]))
+                recent.extend(int(x) for x in t[a:first])
+                keep += [first + i for i in admitted_positions(t[first:b], recent, limit, window)]
+            yield pdf.iloc[keep].drop(columns="seed")
+
+    return run.mapInPandas(scan, rows.drop("seed").schema)
+
+
 def _under_cap(admitted: DataFrame, daily_cap: int | None) -> DataFrame:
     """The first ``daily_cap`` admitted events of each day.  Spark keeps only
     that many per day and task before it shuffles."""

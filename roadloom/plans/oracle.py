@@ -340,7 +340,7 @@ O["wow_drops"] = sql(WEEKLY, f"SELECT week, state, {r6('length_km', 'prev_km', '
                      _drops(["state"], -0.5))
 O["worst_week"] = sql(WEEKLY, "SELECT week, state, round(w.wow_pct, 6) AS wow_pct, cause FROM drops w ORDER BY w.wow_pct, week LIMIT 1",
                       _drops(["state"], -0.5))
-O["drops_overall"] = sql(WEEKLY, f"SELECT week, {r6('length_km', 'prev_km', 'wow_pct')}, cause FROM drops", _drops([], -0.01))
+O["drops_overall"] = sql(WEEKLY, f"SELECT week, {r6('length_km', 'prev_km', 'wow_pct')}, cause FROM drops", _drops([], 0.55))
 
 # ---------------------------------------------------------------- places
 _DIST = f"{hav('lon', 'lat', '8.6821e0', '50.1106e0')} * 1000"
@@ -464,6 +464,9 @@ _WINDOWS = """SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end,
 count(*) FILTER (event_type = 'error') AS turns_with_failure, round(avg(value), 6) AS mean_seconds FROM (
 SELECT time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01') AS window_start, event_type, value FROM events)"""
 O["turn_windows"] = _WINDOWS + " GROUP BY window_start"
+# The stream has emitted the windows that ended before its final watermark.
+O["turn_stream"] = O["turn_windows"] + """ HAVING window_start + INTERVAL 6 HOUR <=
+(SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 2 HOUR FROM events)"""
 
 
 def _audit(source: str, columns: str) -> str:

@@ -267,8 +267,9 @@ def worst_week(spark, sf):
 
 @query
 def drops_overall(spark, sf):
+    """Weeks in which the whole network grew by less than 0.55 %."""
     totals = series.weekly_totals(weekly_table(spark, sf))
-    out = series.with_cause(series.drops(totals, -0.01), d.rules(spark))
+    out = series.with_cause(series.drops(totals, 0.55), d.rules(spark))
     return rounded(out.select("week", "length_km", "prev_km", "wow_pct", "cause"), "length_km", "prev_km", "wow_pct")
 
 
@@ -459,7 +460,8 @@ def _feature_lines(spark, sf) -> DataFrame:
 @query
 def geojson_features(spark, sf):
     flat = geojson.flatten_features(geojson.parse_features(_feature_lines(spark, sf)))
-    return rounded(flat.drop("geometry_geojson", "tags").withColumn("code", F.get_json_object(flat["tags"], "$.code")),
+    flat = flat.withColumn("code", F.get_json_object("tags", "$.code")).drop("geometry_geojson", "tags")
+    return rounded(flat,
                    "length_km", "geom_length_km", "lon", "lat", "bbox_min_lon", "bbox_min_lat",
                    "bbox_max_lon", "bbox_max_lat")
 

@@ -106,7 +106,7 @@ def flatten_features(features: DataFrame, types: dict[str, tuple[str, str]] | No
     ``<name>`` in the others.  A missing ``is_named`` means true.
     """
     types = property_types(features) if types is None else types
-    derived = geo.geometry_columns("geometry")
+    derived = geo.geometry_columns()
     props = F.col("properties")
     by_name: dict[str, list[tuple[str, str]]] = {}
     for key, (name, kind) in types.items():
@@ -134,7 +134,7 @@ def flatten_features(features: DataFrame, types: dict[str, tuple[str, str]] | No
             prop_columns.append(value.alias(name))
     columns += prop_columns + moved
     columns += [c.alias(n) for n, c in derived.items() if n not in by_name]
-    return features.select(*columns)
+    return geo.with_geometry(features).select(*columns)
 
 
 def notes(types: dict[str, tuple[str, str]]) -> list[str]:
