@@ -13,6 +13,7 @@ from roadloom.operators.audit import audit_statements
 from roadloom.operators.profile import summarize
 
 
+_GROUP_PROPERTIES = ["spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"]
 # Spark functions that call arbitrary JVM methods.
 _REFLECTION = re.compile(r"\b(java_method|reflect|try_reflect)\s*\(", re.IGNORECASE)
 
@@ -41,15 +42,16 @@ def run_query(spark: SparkSession, sql: str, max_rows: int = QUERY_ROWS, timeout
     """At most ``max_rows`` rows as a pandas frame.  Work that is still running
     after ``timeout`` seconds is cancelled."""
     df = read_only(spark, sql).limit(max_rows)
-    tag = f"query-{uuid.uuid4().hex}"
+    context, group = spark.sparkContext, f"query-{uuid.uuid4().hex}"
+    before = {k: context.getLocalProperty(k) for k in _GROUP_PROPERTIES}
     late = threading.Event()
 
     def stop():
         late.set()
-        spark.interruptTag(tag)
+        context.cancelJobGroup(group)
 
     timer = threading.Timer(timeout, stop)
-    spark.addTag(tag)
+    context.setJobGroup(group, "ad-hoc query", interruptOnCancel=True)
     timer.start()
     try:
         return df.toPandas()
@@ -60,4 +62,5 @@ def run_query(spark: SparkSession, sql: str, max_rows: int = QUERY_ROWS, timeout
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        for k, v in before.items():
+            context.setLocalProperty(k, v)

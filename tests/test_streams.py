@@ -36,9 +36,10 @@ def test_turn_monitor_drops_late_turns_and_emits_closed_windows(spark, tmp_path)
     folder.mkdir()
     (folder / "a.json").write_text(turn("2026-01-01T00:10:00") + turn("2026-01-01T00:20:00", False))
     (folder / "b.json").write_text(turn("2026-01-01T06:00:00"))
-    (folder / "c.json").write_text(turn("2026-01-01T00:30:00") + turn("2026-01-01T09:30:00"))
+    (folder / "c.json").write_text(turn("2026-01-01T06:10:00"))
+    (folder / "d.json").write_text(turn("2026-01-01T00:30:00") + turn("2026-01-01T09:30:00"))      # too late
     import os
-    for i, name in enumerate("abc"):
+    for i, name in enumerate("abcd"):
         os.utime(folder / f"{name}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     stream = monitor.turn_windows(monitor.read_turn_stream(spark, str(folder), 1), "1 hour", "2 hours")
     rows = _run(stream, tmp_path, "windows").orderBy("window_start").collect()
