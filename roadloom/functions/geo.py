@@ -162,27 +162,19 @@ def _vertices_in(text: Column) -> Column:
         lambda a, b: point(a, b))
 
 
-def _path_from(vertex_texts: Column) -> Column:
-    return F.flatten(F.transform(vertex_texts, _vertices_in))
-
-
-def _line_parts(geometry: Column) -> Column:
+def _line_parts(g: Column, vertices: Column | None = None) -> Column:
     """``parts`` of a parsed LineString or MultiLineString, else null."""
-    coords = F.coalesce(geometry["coordinates"], F.lit("[]"))
-    return (
-        F.when(geometry["type"] == "LineString",
-               F.array(_path_from(F.from_json(coords, "array<string>"))))
-        .when(geometry["type"] == "MultiLineString",
-              F.transform(F.from_json(coords, "array<array<string>>"), _path_from)))
+    coords = F.coalesce(g["coordinates"], F.lit("[]"))
+    single = _vertices_in(coords) if vertices is None else vertices
+    return (F.when(g["type"] == "LineString", F.array(single))
+            .when(g["type"] == "MultiLineString", F.transform(F.from_json(coords, "array<string>"), _vertices_in)))
 
 
 def parse_geometry(geometry_json) -> Column:
     return F.from_json(_col(geometry_json), _GEOMETRY)
 
 
-def geojson_vertices(geometry_json) -> Column:
-    """Every vertex of a geometry; a collection contributes its members' vertices."""
-    g = parse_geometry(geometry_json)
+def _all_vertices(g: Column) -> Column:
     members = F.flatten(F.transform(
         F.coalesce(g["geometries"], F.array().cast("array<string>")),
         lambda m: _vertices_in(F.coalesce(parse_geometry(m)["coordinates"], F.lit("")))))
@@ -190,6 +182,21 @@ def geojson_vertices(geometry_json) -> Column:
         _vertices_in(F.coalesce(g["coordinates"], F.lit(""))))
 
 
+def _line_km(g: Column, vertices: Column | None = None, nesting: int = 2) -> Column:
+    own = parts_km(_line_parts(g, vertices))
+    if nesting <= 0:
+        return own
+    lengths = F.filter(F.transform(g["geometries"], lambda m: _line_km(parse_geometry(m), None, nesting - 1)),
+                       lambda km: km.isNotNull())
+    total = F.when(F.size(lengths) > 0, F.aggregate(lengths, F.lit(0.0), lambda t, km: t + km))
+    return F.when(g["type"] == "GeometryCollection", total).otherwise(own)
+
+
+def geojson_vertices(geometry_json) -> Column:
+    """Every vertex of a geometry; a collection contributes its members' vertices."""
+    return _all_vertices(parse_geometry(geometry_json))
+
+
 def geojson_parts(geometry_json) -> Column:
     """``parts`` of line geometries; null for every other type."""
     return _line_parts(parse_geometry(geometry_json))
@@ -199,10 +206,9 @@ def geojson_rings(geometry_json) -> Column:
     """Rings of a Polygon, or of all members of a MultiPolygon, in the shape of ``parts``."""
     g = parse_geometry(geometry_json)
     return (
-        F.when(g["type"] == "Polygon",
-               F.transform(F.from_json(g["coordinates"], "array<array<string>>"), _path_from))
+        F.when(g["type"] == "Polygon", F.transform(F.from_json(g["coordinates"], "array<string>"), _vertices_in))
         .when(g["type"] == "MultiPolygon",
-              F.transform(F.flatten(F.from_json(g["coordinates"], "array<array<array<string>>>")), _path_from)))
+              F.transform(F.flatten(F.from_json(g["coordinates"], "array<array<string>>")), _vertices_in)))
 
 
 def geojson_km(geometry_json, nesting: int = 2) -> Column:
@@ -211,34 +217,28 @@ def geojson_km(geometry_json, nesting: int = 2) -> Column:
     A collection adds up its line members and is null when it has none; points
     and polygons are null, because a perimeter is not a road length.
     """
-    g = parse_geometry(geometry_json)
-    own = parts_km(_line_parts(g))
-    if nesting <= 0:
-        return own
-    lengths = F.filter(F.transform(g["geometries"], lambda m: geojson_km(m, nesting - 1)),
-                       lambda km: km.isNotNull())
-    total = F.when(F.size(lengths) > 0, F.aggregate(lengths, F.lit(0.0), lambda t, km: t + km))
-    return F.when(g["type"] == "GeometryCollection", total).otherwise(own)
+    return _line_km(parse_geometry(geometry_json), None, nesting)
 
 
 def with_geometry(df, geometry: str = "geometry"):
-    """Parse the geometry text once per row: adds ``_type``, ``_vertices`` and
+    """Parse the geometry text once per row: adds ``_g``, ``_vertices`` and
     ``_spot`` for ``geometry_columns``."""
     first = F.try_element_at("_vertices", F.lit(1))
-    return (df.withColumn("_type", parse_geometry(geometry)["type"])
-            .withColumn("_vertices", geojson_vertices(geometry))
-            .withColumn("_spot", F.when(F.col("_type") == "Point", first).otherwise(mean_vertex("_vertices"))))
+    return (df.withColumn("_g", parse_geometry(geometry))
+            .withColumn("_vertices", _all_vertices(F.col("_g")))
+            .withColumn("_spot", F.when(F.col("_g.type") == "Point", first).otherwise(mean_vertex("_vertices"))))
 
 
 def geometry_columns(geometry: str = "geometry") -> dict[str, Column]:
     """The derived columns every feature gets, for the output of ``with_geometry``."""
+    g = F.col("_g")
     return {
-        "geom_type": F.col("_type"),
+        "geom_type": g["type"],
         "lon": F.col("_spot.x"),
         "lat": F.col("_spot.y"),
-        "length_km": geojson_km(geometry),
+        "length_km": _line_km(g, F.col("_vertices")),
         **envelope("_vertices"),
-        "geometry_geojson": F.when(F.col("_type").isNotNull(), F.col(geometry)),
+        "geometry_geojson": F.when(g["type"].isNotNull(), F.col(geometry)),
     }
 
 

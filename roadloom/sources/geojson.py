@@ -54,14 +54,14 @@ def parse_features(lines: DataFrame, column: str = "value") -> DataFrame:
     of its text, since positions have no meaning in a split read.
     """
     text = F.regexp_replace(F.regexp_replace(F.col(column), "^[﻿\\s,]+", ""), r"[,\s]+$", "")
+    parse = lambda t: F.struct(t.alias("_text"), F.from_json(t, _FEATURE).alias("_f"))
     top = lines.select(text.alias("_text")).select("_text", F.from_json("_text", _FEATURE).alias("_f"))
-    one = F.array(F.col("_text"))
-    wrapped = F.array(F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("_text"), F.lit("}")))
+    wrapped = F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("_text"), F.lit("}"))
     kind = F.col("_f.type")
-    features = (F.when(kind == "FeatureCollection", F.col("_f.features"))
-                .when(kind == "Feature", one)
-                .when(F.col("_f.coordinates").isNotNull() | F.col("_f.geometries").isNotNull(), wrapped))
-    rows = top.select(F.explode(features).alias("_text")).select("_text", F.from_json("_text", _FEATURE).alias("_f"))
+    features = (F.when(kind == "Feature", F.array(F.struct("_text", "_f")))
+                .when(kind == "FeatureCollection", F.transform("_f.features", parse))
+                .when(F.col("_f.coordinates").isNotNull() | F.col("_f.geometries").isNotNull(), F.array(parse(wrapped))))
+    rows = top.select(F.inline(features))
     return rows.select(
         F.coalesce(F.col("_f.id"), F.xxhash64("_text").cast("string")).alias("feature_id"),
         F.coalesce(F.from_json("_f.properties", "map<string,string>"), F.create_map().cast("map<string,string>"))
