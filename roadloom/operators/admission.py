@@ -83,11 +83,11 @@ def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s
                          ["k", "t", "o"], "left")
     verdict = F.when(F.col("ok"), "admitted")
     if daily_cap is not None:
-        # One row per day on which the cap was reached.
         full = (_under_cap(admitted, daily_cap).groupBy("day").agg(
             F.count(F.lit(1)).alias("n"), F.max(F.struct("t", "o")).alias("last"))
             .where(F.col("n") >= daily_cap).select("day", "last"))
-        verdicts = verdicts.withColumn("day", F.floor(F.col("t") / DAY_US)).join(full, "day", "left")
+        # A row per day, so a broadcast is bounded by the calendar; a busy day stays spread out.
+        verdicts = verdicts.withColumn("day", F.floor(F.col("t") / DAY_US)).join(F.broadcast(full), "day", "left")
         verdict = verdict.when(F.struct("t", "o") > F.col("last"), "cap")
     return verdicts.select(
         F.col("k").alias(key), F.timestamp_micros("t").cast(events.schema[ts].dataType).alias(ts),

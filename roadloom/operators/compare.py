@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.constants import TOP_DELTAS
@@ -38,25 +38,32 @@ def top_deltas(comparison: DataFrame, dimension: str = "state", n: int = TOP_DEL
             .orderBy(F.col("delta_km").desc_nulls_last(), dimension))
 
 
-def comparable_pairs(scopes: DataFrame) -> DataFrame:
-    """Ordered pairs of releases with equal area and equal classes, as an equi
-    join on the two.  The scope table has one row per release."""
+def scope_groups(scopes: DataFrame) -> DataFrame:
+    """release, scope_group, previous: releases may be compared iff they share a
+    group, which is named after its first release.  Releases without a complete
+    record belong to none.  Linear in the number of releases: no pairs are
+    formed, ``previous`` is the last release before with the same scope."""
     keyed = scopes.where(F.col("bbox").isNotNull() & F.col("classes").isNotNull()).select(
         "release", F.to_json("bbox").alias("_bbox"), F.to_json("classes").alias("_classes"))
-    a = keyed.withColumnRenamed("release", "release_a")
-    b = keyed.withColumnRenamed("release", "release_b")
-    return a.join(b, ["_bbox", "_classes"]).select("release_a", "release_b")
+    same = Window.partitionBy("_bbox", "_classes")
+    return keyed.select("release", F.min("release").over(same).alias("scope_group"),
+                        F.lag("release").over(same.orderBy("release")).alias("previous"))
+
+
+def comparable_pairs(scopes: DataFrame) -> DataFrame:
+    """Every release next to the last comparable one before it."""
+    return scope_groups(scopes).where(F.col("previous").isNotNull()).select(
+        F.col("previous").alias("release_a"), F.col("release").alias("release_b"))
 
 
 def comparability(releases: DataFrame, scopes: DataFrame, anchor: str) -> DataFrame:
     """Whether each release may be compared with ``anchor``, and why not.
 
-    ``scopes`` holds at most one record per release, so the anchor side of the
-    join is one row.
+    The anchor's record is one row, so it may be broadcast.
     """
     record = scopes.select("release", "bbox", "classes")
     base = record.where(F.col("release") == anchor).select(
-        F.col("release").alias("anchor"), F.col("bbox").alias("_a_bbox"), F.col("classes").alias("_a_classes"))
+        F.col("release").alias("anchor"), F.col("bbox").alias("_a_bbox"), F.col("classes").alias("_a_classes")).limit(1)
     rows = (releases.select("release").distinct().join(record, "release", "left")
             .withColumn("anchor", F.lit(anchor)).join(F.broadcast(base), "anchor", "left"))
     no_a, no_b = F.col("_a_bbox").isNull(), F.col("bbox").isNull()

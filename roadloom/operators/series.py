@@ -70,9 +70,7 @@ def weekly_series(stats: DataFrame, rules: DataFrame | None = None,
     rows = keys.withColumn("anchors", anchors).select(
         "*", F.explode(weeks_between("d0", "d1", before, after)).alias("week"))
     if rules is not None:
-        # A rule table has one row per named state, class and week.
-        rows = rows.join(F.broadcast(rules.select("week", "state", "class", "factor")),
-                         ["week", "state", "class"], "left")
+        rows = rows.join(rules.select("week", "state", "class", "factor"), ["week", "state", "class"], "left")
     else:
         rows = rows.withColumn("factor", F.lit(None).cast("double"))
 
@@ -151,7 +149,7 @@ def drops(totals: DataFrame, threshold_pct: float = -1.0, by: list[str] | None =
 def with_cause(found: DataFrame, rules: DataFrame) -> DataFrame:
     """Name the known cause of a drop, if its week is one of the cause's weeks."""
     causes = rules.groupBy("week").agg(F.min("cause").alias("cause"))
-    return found.join(F.broadcast(causes), "week", "left")
+    return found.join(causes, "week", "left")
 
 
 def worst_week(found: DataFrame) -> DataFrame:

@@ -251,8 +251,11 @@ round(coalesce(sum(delta_km) FILTER (delta_km > 0), 0e0), 6) AS gained_km,
 round(coalesce(sum(delta_km) FILTER (delta_km < 0), 0e0), 6) AS lost_km FROM cmp""", _compare("state"))
 O["top_delta"] = sql(INSIDE, _cmp_cols("state") + " ORDER BY abs(cmp.delta_km) DESC, state LIMIT 16", _compare("state"))
 O["release_dates"] = sql(["monthly"], "SELECT DISTINCT release, CAST(release[:10] AS DATE) AS release_date FROM monthly")
-O["comparable_pairs"] = sql(["scopes"], """SELECT a.release AS release_a, b.release AS release_b
-FROM scopes a JOIN scopes b ON a.bbox = b.bbox AND a.classes = b.classes""")
+O["scope_groups"] = sql(["scopes"], """SELECT a.release, min(b.release) AS scope_group,
+max(b.release) FILTER (b.release < a.release) AS previous
+FROM scopes a JOIN scopes b ON a.bbox = b.bbox AND a.classes = b.classes GROUP BY a.release""")
+O["comparable_pairs"] = sql(["scopes"], """SELECT max(a.release) AS release_a, b.release AS release_b
+FROM scopes a JOIN scopes b ON a.bbox = b.bbox AND a.classes = b.classes AND a.release < b.release GROUP BY b.release""")
 O["comparability"] = sql(["monthly", "released", "scopes"], """SELECT r.release,
 CASE WHEN a.bbox IS NULL OR s.bbox IS NULL OR a.bbox <> s.bbox OR a.classes <> s.classes THEN false ELSE true END AS comparable,
 CASE WHEN a.bbox IS NULL OR s.bbox IS NULL THEN 'No scope record' WHEN a.bbox <> s.bbox THEN 'Different areas'

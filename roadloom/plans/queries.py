@@ -128,6 +128,11 @@ def release_dates(spark, sf):
     return found.select("release", release_date("release").alias("release_date"))
 
 
+@query
+def scope_groups(spark, sf):
+    return compare.scope_groups(d.monthly_scopes(spark, sf))
+
+
 @query
 def comparable_pairs(spark, sf):
     return compare.comparable_pairs(d.monthly_scopes(spark, sf))

@@ -25,8 +25,9 @@ def _text(value) -> str | None:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for uri in batch["path"]:
-            local = uri.removeprefix("file://").removeprefix("file:")
-            fs, name = (pafs.LocalFileSystem(), local) if local.startswith("/") else pafs.FileSystem.from_uri(uri)
+            uri_ = uri.replace("s3a://", "s3://", 1)
+            local = uri_.removeprefix("file://").removeprefix("file:")
+            fs, name = (pafs.LocalFileSystem(), local) if local.startswith("/") else pafs.FileSystem.from_uri(uri_)
             with fs.open_input_file(name) as f:
                 meta = pq.ParquetFile(f).metadata
             rows = []
