@@ -65,14 +65,21 @@ def _class(priority: str = "o_orderpriority"):
     return out
 
 
+# Start of a road, and the offsets of its vertices per unit of length; roads with
+# status P have the second path as well.
+_X0, _Y0, _SCALE = "(6e0 + o_orderkey * 73 % 9000 / 1e3)", "(47.5e0 + o_orderkey * 151 % 7000 / 1e3)", "(1 + o_orderkey % 5)"
+_MAIN_PATH = [(0.0, 0.0), (0.01, 0.004), (0.015, 0.012)]
+_SIDE_PATH = [(0.02, 0.012), (0.03, 0.02)]
+
+
+def _path(offsets) -> str:
+    at = lambda start, off: f"{start} + {off}D * {_SCALE}" if off else start
+    return "array(" + ", ".join(f"named_struct('x', {at(_X0, x)}, 'y', {at(_Y0, y)})" for x, y in offsets) + ")"
+
+
 def _road_paths():
-    k = F.col("o_orderkey")
-    x0 = F.lit(6.0) + (k * 73 % 9000) / F.lit(1e3)
-    y0 = F.lit(47.5) + (k * 151 % 7000) / F.lit(1e3)
-    s = F.lit(1) + k % 5
-    main = [(x0, y0), (x0 + F.lit(0.01) * s, y0 + F.lit(0.004) * s), (x0 + F.lit(0.015) * s, y0 + F.lit(0.012) * s)]
-    side = [(x0 + F.lit(0.02) * s, y0 + F.lit(0.012) * s), (x0 + F.lit(0.03) * s, y0 + F.lit(0.02) * s)]
-    return F.when(F.col("o_orderstatus") == "P", geo.parts_of(main, side)).otherwise(geo.parts_of(main))
+    main, side = _path(_MAIN_PATH), _path(_SIDE_PATH)
+    return F.expr(f"CASE WHEN o_orderstatus = 'P' THEN array({main}, {side}) ELSE array({main}) END")
 
 
 def roads(spark, sf_dir) -> DataFrame:
@@ -106,14 +113,12 @@ def release_pair(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def state_rings(spark, sf_dir) -> DataFrame:
     """state, rings: a slanted 5 x 5 tiling, one quadrilateral per nation."""
-    i, j = F.col("n_nationkey") % 5, F.floor(F.col("n_nationkey") / 5)
-
-    def corner(di, dj):
-        a, b = i + di, j + dj
-        return (F.lit(6.0037) + F.lit(1.7) * a + F.lit(0.031) * b, F.lit(47.5041) + F.lit(1.3) * b + F.lit(0.023) * a)
-
-    ring = [corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)]
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("state"), geo.parts_of(ring).alias("rings"))
+    i, j = "n_nationkey % 5", "floor(n_nationkey / 5e0)"
+    corner = lambda a, b: (f"named_struct('x', 6.0037D + 1.7D * ({i} + {a}) + 0.031D * ({j} + {b}), "
+                           f"'y', 47.5041D + 1.3D * ({j} + {b}) + 0.023D * ({i} + {a}))")
+    ring = ", ".join(corner(a, b) for a, b in [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)])
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("state"),
+                                                 F.expr(f"array(array({ring}))").alias("rings"))
 
 
 def state_edges(spark, sf_dir) -> DataFrame:

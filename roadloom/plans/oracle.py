@@ -490,6 +490,18 @@ O["sql_audit"] = _audit(f"({CTE['statements']})", "event_id") + "SELECT event_id
 O["audit_documents"] = _audit("(SELECT doc_id, text AS sql FROM documents)", "doc_id") + \
     "SELECT reason IS NULL AS allowed, reason, count(*) AS n FROM judged GROUP BY ALL"
 
+O["ad_hoc_query"] = sql(ROADS + ["places"], """SELECT p.category, count(*) AS n, round(sum(r.length_km), 6) AS km
+FROM places p JOIN roads r ON r.id = p.id WHERE operating_status = 'open' AND category ILIKE '%u%' GROUP BY p.category""")
+O["summarize_table"] = sql(["places"], "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count({c}) AS non_null, count(DISTINCT {c}) AS unique_values, round(avg({c}), 6) AS mean,
+round(stddev_samp({c}), 6) AS std, round(median({c}), 6) AS median FROM places""" for c in ("id", "lon", "lat", "confidence")))
+O["expected_answers"] = sql(["roads0", "places"], """SELECT 'en04' AS id, 'en' AS lang, 'number' AS "check", 0e0 AS rel_tol, 0e0 AS abs_tol,
+(SELECT CAST(count(*) AS VARCHAR) FROM places WHERE operating_status = 'permanently_closed') AS expected
+UNION ALL SELECT 'en06', 'en', 'set', 0e0, 0e0, (SELECT string_agg(category, ',' ORDER BY category) FROM (
+SELECT category FROM places WHERE category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 3))
+UNION ALL SELECT 'de05', 'de', 'number', 0.01e0, 0e0, (SELECT CAST(count(*) AS VARCHAR) FROM roads0 WHERE class = 'primary')
+UNION ALL SELECT 'de09', 'de', 'refusal', 0e0, 0e0, ''""")
+
 # ---------------------------------------------------------------- footers
 O["row_groups_kept"] = sql(FOOTERS, "SELECT file_name, row_group_id, kept, no_statistics FROM groups")
 

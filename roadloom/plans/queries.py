@@ -15,6 +15,7 @@ from roadloom.functions.dates import release_date
 from roadloom.operators import (
     admission, audit, cells, compare, diff, estimate, explore, logs, profile, proximity, scoring, series, skew, stats,
 )
+from roadloom.operators.query import read_only
 from roadloom.plans import derived as d
 from roadloom.session import scratch_path
 from roadloom.sources import delimited, extracts, footers, geojson, records, releases, rewrite
@@ -617,6 +618,47 @@ def audit_documents(spark, sf):
     return audit.audit_statements(docs).groupBy("allowed", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _views(spark, sf):
+    d.places(spark, sf).createOrReplaceTempView("places")
+    d.road_lengths(spark, sf).select("id", "class", "name", "length_km").createOrReplaceTempView("roads")
+
+
+@query
+def ad_hoc_query(spark, sf):
+    """A statement as users type it: CTE, lateral join, ILIKE, cast, grouping."""
+    _views(spark, sf)
+    return read_only(spark, """
+        WITH open_places AS (SELECT * FROM places WHERE operating_status = 'open' AND category ILIKE '%u%')
+        SELECT p.category, count(*) AS n, CAST(round(sum(x.km), 6) AS DOUBLE) AS km
+        FROM open_places p JOIN LATERAL (SELECT r.length_km AS km FROM roads r WHERE r.id = p.id) x
+        GROUP BY p.category ORDER BY n DESC -- largest first;
+    """)
+
+
+@query
+def summarize_table(spark, sf):
+    _views(spark, sf)
+    out = read_only(spark, "SUMMARIZE places").where(F.col("mean").isNotNull())
+    return rounded(out.select("column_name", "non_null", "unique_values", "mean", "std", "median"), "mean", "std", "median")
+
+
+@query
+def expected_answers(spark, sf):
+    """Reference statements evaluated on the tables, as the scorer needs them."""
+    _views(spark, sf)
+    questions = [
+        {"id": "en04", "lang": "en", "check": "number",
+         "reference_sql": "SELECT count(*) FROM places WHERE operating_status = 'permanently_closed'"},
+        {"id": "en06", "lang": "en", "check": "set", "reference_sql": "SELECT category FROM places "
+         "WHERE category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 3"},
+        {"id": "de05", "lang": "de", "check": "number",
+         "reference_sql": "SELECT count(*) FROM roads WHERE class = 'primary'", "rel_tol": 0.01},
+        {"id": "de09", "lang": "de", "check": "refusal"},
+    ]
+    out = scoring.expected_values(spark, questions)
+    return out.withColumn("expected", F.array_join(F.array_sort("expected"), ","))
+
+
 # ---------------------------------------------------------------- footers
 
 @query
