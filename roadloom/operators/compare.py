@@ -59,13 +59,14 @@ def comparable_pairs(scopes: DataFrame) -> DataFrame:
 def comparability(releases: DataFrame, scopes: DataFrame, anchor: str) -> DataFrame:
     """Whether each release may be compared with ``anchor``, and why not.
 
-    The anchor's record is one row, so it may be broadcast.
+    The anchor's record is one row and comes in as a scalar, not as a join.
     """
     record = scopes.select("release", "bbox", "classes")
-    base = record.where(F.col("release") == anchor).select(
-        F.col("release").alias("anchor"), F.col("bbox").alias("_a_bbox"), F.col("classes").alias("_a_classes")).limit(1)
+    base = record.where(F.col("release") == anchor).limit(1)
     rows = (releases.select("release").distinct().join(record, "release", "left")
-            .withColumn("anchor", F.lit(anchor)).join(F.broadcast(base), "anchor", "left"))
+            .withColumn("anchor", F.lit(anchor))
+            .withColumn("_a_bbox", base.select("bbox").scalar())
+            .withColumn("_a_classes", base.select("classes").scalar()))
     no_a, no_b = F.col("_a_bbox").isNull(), F.col("bbox").isNull()
     missing = F.concat_ws(", ", F.when(no_a, F.col("anchor")),
                           F.when(no_b & (F.col("release") != F.col("anchor")), F.col("release")))
