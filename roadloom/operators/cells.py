@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from roadloom.constants import CELLS_PER_DEGREE, OUTSIDE
 from roadloom.functions import geo
-from roadloom.operators.skew import skew_join
+from roadloom.operators.skew import hot_among, skew_join
 
 TILE = CELLS_PER_DEGREE
 
@@ -88,10 +88,14 @@ def attach_regions(features: DataFrame, edges: DataFrame, region: str = "state",
                    keep_outside: bool = True) -> DataFrame:
     """Region per feature, through its cell.  A cell may hold any share of the
     features, hence the skew-safe join."""
-    lookup = cell_regions(features, edges, region)
+    # One row per cell, used for the lookup and to find the hot cells: kept, so
+    # that the features are read only twice.
+    counts = (features.where(F.col("cx").isNotNull() & F.col("cy").isNotNull())
+              .groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).persist())
+    lookup = with_regions(counts.select("cx", "cy"), edges, region)
     if not keep_outside:
         lookup = lookup.where(F.col(region).isNotNull())
-    return skew_join(features, lookup, ["cx", "cy"])
+    return skew_join(features, lookup, ["cx", "cy"], hot=hot_among(counts, ["cx", "cy"]))
 
 
 def region_or_outside(region: str = "state") -> Column:

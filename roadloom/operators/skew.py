@@ -16,7 +16,12 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFram
     the result may be broadcast.  Counting is combined on the map side.
     """
     counts = df.where(_present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n"))      # shares the shuffle of the counts
+    return hot_among(counts, keys, share)
+
+
+def hot_among(counts: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
+    """The same from counts ``n`` that are already there."""
+    total = counts.agg(F.sum("n"))
     return counts.where(F.col("n") * share > total.scalar()).select(*keys)
 
 
