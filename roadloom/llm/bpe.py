@@ -17,7 +17,7 @@ from roadloom.llm.encoder import gather, tokenizer
 from roadloom.llm.store import parts, rows_of
 
 #: Bytes of text in a block; its distinct words and their ids are what a task holds at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
 
 BLOCK = "kind string, bucket int, block long, doc_ids array<long>, places binary, sizes binary, blob binary"
 ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("places", pa.binary()), ("sizes", pa.binary()), ("blob", pa.binary())])
@@ -56,9 +56,11 @@ def _split(kind: str, buckets: int):
             yield emit(block, ids, bodies)
 
     def emit(block, ids, bodies):
-        words, found = [b.split() for b in bodies], _Places()
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((found[w] for ws in words for w in ws), np.int64, int(n.sum()))
+        found, each = _Places(), []
+        for body in bodies:
+            words = body.split()
+            each.append(np.fromiter(map(found.__getitem__, words), np.int32, len(words)))
+        n, at = np.array([len(x) for x in each], np.int64), np.concatenate(each)
         by_count = np.argsort(-np.bincount(at, minlength=len(found)), kind="stable")
         if kind == "docs":
             rank = np.empty(len(found), np.int64)
@@ -75,7 +77,7 @@ def _split(kind: str, buckets: int):
             if hi > lo:
                 own = [distinct[i] for i in order[lo:hi].tolist()]
                 sizes = np.fromiter(map(len, own), "<u4", len(own))
-                rows.append({"kind": kind, "bucket": b, "block": block, "places": order[lo:hi].astype("<u4").tobytes(), "sizes": sizes.tobytes(), "blob": b"".join(own)})
+                rows.append({"kind": kind, "bucket": b, "block": block, "places": _planes(np.diff(order[lo:hi], prepend=0)), "sizes": _planes(sizes), "blob": b"".join(own)})
         return pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     return run
@@ -88,7 +90,7 @@ def _encode(path: str):
         rows, found = table.to_pylist(), _Places()
         asked = []
         for r in rows:
-            blob, ends = r["blob"], np.cumsum(np.frombuffer(r["sizes"], "<u4")).tolist()
+            blob, ends = r["blob"], np.cumsum(_unplaned(r["sizes"])).tolist()
             asked.append(np.fromiter((found[blob[a:b]] for a, b in zip([0, *ends], ends, strict=False)), np.int64, len(ends)))
         words = [w.decode() for w in found]
         flat, sizes = [], []
@@ -99,7 +101,7 @@ def _encode(path: str):
         sizes = np.array(sizes, np.int64)
         flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
         starts = np.cumsum(sizes) - sizes
-        out = [{"kind": "ids", "bucket": 0, "block": r["block"], "places": r["places"], "sizes": sizes[a].astype("<u2" if sizes.max() < 1 << 16 else "<u4").tobytes(), "blob": _compact(gather(flat, starts, sizes, a))} for r, a in zip(rows, asked, strict=True)]
+        out = [{"kind": "ids", "bucket": 0, "block": r["block"], "places": r["places"], "sizes": _planes(sizes[a]), "blob": _compact(gather(flat, starts, sizes, a))} for r, a in zip(rows, asked, strict=True)]
         return pa.Table.from_pylist(out, schema=ARROW)
 
     return run
@@ -124,8 +126,7 @@ def _assemble(path: str, with_ids: bool):
         words = sum(len(r["places"]) // 4 for r in found)
         sizes, starts, flat, base = np.zeros(words, np.int64), np.zeros(words, np.int64), [], 0
         for r in found:
-            at, ids = np.frombuffer(r["places"], "<u4"), _loose(r["blob"])
-            n = np.frombuffer(r["sizes"], f"<u{len(r['sizes']) // max(1, len(at))}").astype(np.int64)
+            at, n, ids = np.cumsum(_unplaned(r["places"])), _unplaned(r["sizes"]), _loose(r["blob"])
             sizes[at], starts[at] = n, base + np.cumsum(n) - n
             flat.append(ids)
             base += len(ids)
