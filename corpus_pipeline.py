@@ -12,10 +12,6 @@ from roadloom.llm import bpe, dedup, jaccard, langid, mixing
 from roadloom.llm.store import shared_folder, table
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go; all others stay as they are."""
     found = langid.identify(docs, langid.fit(docs), keep_rows=True)
@@ -23,15 +19,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, the one with the most code points stays."""
-    rows = _tagged(docs)
-    found = dedup.copies(docs).where("kept").select(F.col("row_tag").alias("_row"))
-    return rows.join(found, "_row", "left_semi").select(*docs.columns)
+    """Of texts that are equal without white space, the one with the most code points stays, then the smallest id; of rows that
+    agree in every column, one.  A row is known by a hash of all its columns, whichever way it is read."""
+    tag = F.xxhash64(*docs.columns)
+    found = dedup.copies(docs, tag=tag).where("kept").select(F.col("row_tag").alias("_row"))
+    rows = docs.withColumn("_row", tag).join(found, "_row", "left_semi")
+    return rows.dropDuplicates(["_row", "doc_id"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents that share at least 0.8 of their five-word shingles, the one with the smallest id stays;
-    documents without id or words stay."""
+    documents without id or words stay.  Rows that share an id count as one document."""
     found = jaccard.components_of(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 

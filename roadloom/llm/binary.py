@@ -61,15 +61,15 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.width) + np.array(self._low(0, self.n), np.int64)
 
 
-FORMAT = "part int, block int, n_docs long, doc_ids array<long>, n_ids long, id_bytes int, ids binary, width int, low binary, high binary, samples binary"
-ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("width", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
+FORMAT = "part int, block int, first long, n_docs long, doc_ids array<long>, n_ids long, id_bytes int, ids binary, width int, low binary, high binary, samples binary"
+ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("width", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col="doc_id", text_col="text") -> None:
     """Encode every whole text (null: empty), append ``end_id``, and write the ids to ``path`` in ascending order of the id.
 
     A file row is a block: the ids of whole documents as one little-endian array (two bytes an id where the vocabulary allows it),
-    and Elias-Fano coded boundaries.  Blocks are numbered by (part, block) in order; parts are ranges of the id.
+    Elias-Fano coded boundaries, and the number of ids before it in its part.  Blocks are numbered by (part, block) in order; parts are ranges of the id.
     Null ids come first; rows that share an id follow each other in order of their text.  Other columns are not looked
     at; an empty table writes files without rows.
     """
@@ -79,14 +79,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col="doc_
     rows = rows.repartitionByRange(4 * parts(spark), "doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, ids, held, n = TaskContext.get().partitionId(), 0, [], [], 0
+        part, block, first, ids, held, n = TaskContext.get().partitionId(), 0, 0, [], [], 0
         enc = encoder(vocabulary)
         kind = "<u2" if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
         def packed():
             ef = EliasFano.of(np.cumsum([len(x) for x in held]))
             flat = np.concatenate(held).astype(kind)
-            row = {"part": part, "block": block, "n_docs": len(ids), "doc_ids": ids, "n_ids": len(flat), "id_bytes": flat.itemsize, "ids": flat.tobytes(), "width": ef.width, "low": ef.low, "high": ef.high, "samples": ef.samples}
+            row = {"part": part, "block": block, "first": first, "n_docs": len(ids), "doc_ids": ids, "n_ids": len(flat), "id_bytes": flat.itemsize, "ids": flat.tobytes(), "width": ef.width, "low": ef.low, "high": ef.high, "samples": ef.samples}
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
         for batch in batches:
@@ -95,7 +95,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col="doc_
                 for doc_id, got in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
                     if held and n + len(got) + 1 > BLOCK_IDS:
                         yield packed()
-                        block, ids, held, n = block + 1, [], [], 0
+                        block, first, ids, held, n = block + 1, first + n, [], [], 0
                     ids.append(doc_id)
                     held.append(np.append(got, np.uint32(end_id)))
                     n += len(got) + 1
@@ -109,14 +109,12 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files, in any order; ids are little-endian unsigned
     32-bit integers, and ids_crc32 is their checksum.  Without ``with_ids`` the ids stay in the task.
 
-    start counts the ids of all documents before it.  Only totals of the parts are summed in one window; a part counts its blocks itself.
+    start counts the ids of all documents before it.  A block knows its place in its part; what is summed in one window and
+    broadcast is one number for each part that ``write`` made, whatever the input.
     """
     blocks = spark.read.schema(FORMAT).parquet(path)
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = totals.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    inner = Window.partitionBy("part").orderBy("block")
-    index = blocks.select("part", "block", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("inside")).join(before, "part")
-    index = index.select("part", "block", (F.col("inside") + F.col("part_start")).alias("first"))
+    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,6 +123,6 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                 starts = np.append(0, ends[:-1])
                 ids = np.frombuffer(r["ids"], f"<u{r['id_bytes']}").astype("<u4")
                 raw = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["first"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw if with_ids else [None] * len(raw), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["before"] + r["first"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw if with_ids else [None] * len(raw), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return blocks.join(index, ["part", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return blocks.join(F.broadcast(before), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

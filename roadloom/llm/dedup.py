@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.store import WHITE, parts, stored
@@ -129,12 +129,13 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows(trie.take())
 
 
-def copies(docs: DataFrame, id_col="doc_id", text_col="text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def copies(docs: DataFrame, id_col="doc_id", text_col="text", tag: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row_tag.
 
     Texts are equal when they are identical without white space (space and U+0009 to U+000D); a null text counts as
     empty, and all empty texts are equal.  Of equal texts the row with the most code points stays, then the one with the
-    smallest id (null last); of rows that agree in all that, one.  Other columns are not looked at; an empty table gives an empty one.
+    smallest id (null last); of rows that agree in all that, one.  ``tag`` (a long) tells rows apart for the caller; rows with the
+    same tag are kept or dropped together.  Other columns are not looked at; an empty table gives an empty one.
 
     Every task inserts its rows into a trie and hands on each distinct text once, so that a hot group is at most one row per
     task in the shuffle; member lists stay behind.  Partitions by length and content hash insert the whole byte strings
@@ -143,7 +144,7 @@ def copies(docs: DataFrame, id_col="doc_id", text_col="text", carry: tuple[str,
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("body"), F.char_length(text).cast("long").alias("points"), F.monotonically_increasing_id().alias("tag"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("body"), F.char_length(text).cast("long").alias("points"), (F.monotonically_increasing_id() if tag is None else tag).alias("tag"))
     local = stored(rows.mapInArrow(_insert, LOCAL), "texts")
     dealt = local.repartition(parts(spark), "n_bytes", "content_hash")
     owners = dealt.select("body", "sha", "points", "doc_id", "tag", "n").mapInArrow(_own, OWNERS)

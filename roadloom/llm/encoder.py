@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct pieces a worker remembers; when they are more, it forgets all and goes on.
-MEMORY = 300_000
+MEMORY = 500_000
 _RUNS = re.compile(r"\s\s")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
