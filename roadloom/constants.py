@@ -102,16 +102,7 @@ WRITE_KEYWORDS = [
     "vacuum", "checkpoint", "grant", "revoke", "begin", "commit", "rollback",
 ]
 
-# --- fixed values: row limits that are part of the feature ---------------------------
-QUERY_ROWS = 200
-EXPECTED_ROWS = 100
-HIGHLIGHT_ROWS = 5_000
-MATCH_ROWS = 500
-MAP_TABLE_ROWS = 200_000
-SAMPLE_POINTS = 5_000
-SAMPLE_ROWS = 3
-CHART_BARS = 12
-CHART_RESULT_ROWS = (2, 60)
+# --- fixed values: columns that are offered -------------------------------------------
 TOP_DELTAS = 16
 HIGHLIGHT_COLUMNS = {("roads", "class"), ("places", "category"), ("places", "basic_category")}
 BREAKDOWN_COLUMNS = {"roads": "class", "places": "category"}

@@ -6,28 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.constants import (
-    BREAKDOWN_COLUMNS, CHART_BARS, CHART_RESULT_ROWS, HIGHLIGHT_COLUMNS, HIGHLIGHT_ROWS, MAP_TABLE_ROWS, MATCH_ROWS,
-)
-
-_MAP_DROPS = ["bbox_min_lon", "bbox_min_lat", "bbox_max_lon", "bbox_max_lat", "geom_type"]
+from roadloom.constants import BREAKDOWN_COLUMNS, HIGHLIGHT_COLUMNS
 
 
 def breakdown(df: DataFrame, table: str, aggregate: Column, unit: str,
-              condition: Column | None = None, n: int = CHART_BARS) -> DataFrame:
+              condition: Column | None = None, n: int | None = None) -> DataFrame:
     """A filtered total split by the table's main dimension, with the same filter.
 
-    ``unit`` names the value column: km, count or value.
+    ``unit`` names the value column: km, count or value.  All groups, or the
+    ``n`` largest.
     """
     by = BREAKDOWN_COLUMNS[table]
     rows = df if condition is None else df.where(condition)
-    return (rows.groupBy(by).agg(aggregate.alias(unit))
-            .orderBy(F.col(unit).desc_nulls_last(), F.col(by).asc_nulls_last()).limit(n))
+    out = rows.groupBy(by).agg(aggregate.alias(unit)).orderBy(F.col(unit).desc_nulls_last(), F.col(by).asc_nulls_last())
+    return out if n is None else out.limit(n)
 
 
-def matching_places(places: DataFrame, condition: Column, n: int = MATCH_ROWS) -> DataFrame:
-    """The places behind a filtered total, for the map."""
-    return places.where(condition).select("name", "category", "lon", "lat").limit(n)
+def matching_places(places: DataFrame, condition: Column, n: int | None = None) -> DataFrame:
+    """The places behind a filtered total, for the map: all, or the first ``n`` by id."""
+    found = places.where(condition)
+    found = found if n is None else found.orderBy("id").limit(n)
+    return found.select("name", "category", "lon", "lat")
 
 
 def top_groups(df: DataFrame, by: str, k: int, value: Column | None = None, name: str = "n") -> DataFrame:
@@ -48,69 +47,46 @@ def matching_values(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.where(F.col(column).ilike(pattern)).select(column).distinct()
 
 
-def highlight(df: DataFrame, table: str, column: str, value, n: int = HIGHLIGHT_ROWS) -> DataFrame | None:
-    """Rows whose column equals a value; None for columns that are not offered.
-    The value is a literal and never becomes part of a statement."""
+def highlight(df: DataFrame, table: str, column: str, value, n: int | None = None) -> DataFrame | None:
+    """Rows whose column equals a value: all, or the first ``n`` by id; None for
+    columns that are not offered.  The value is a literal and never becomes part
+    of a statement."""
     if (table, column) not in HIGHLIGHT_COLUMNS:
         return None
-    return df.where(F.col(column) == F.lit(value)).limit(n)
-
-
-def is_mappable(df: DataFrame) -> bool:
-    return {"lon", "lat"} <= set(df.columns) or "geometry_geojson" in df.columns
-
-
-def only_points(df: DataFrame) -> bool:
-    """Whether every known geometry type is Point; looks for one counterexample."""
-    if "geom_type" not in df.columns:
-        return False
-    return df.where(F.col("geom_type") != "Point").isEmpty()
+    found = df.where(F.col(column) == F.lit(value))
+    return found if n is None else found.orderBy("id").limit(n)
 
 
-def map_frame(df: DataFrame, points_only: bool | None = None, max_rows: int = MAP_TABLE_ROWS) -> DataFrame:
-    """A table as the map needs it.
-
-    Point tables keep lon/lat and lose the geometry text; all others keep the
-    text as ``_geojson`` and lose lon/lat.  ``points_only`` saves the look at
-    the data when the caller knows it.
-    """
-    points_only = only_points(df) if points_only is None else points_only
-    out = df.drop(*_MAP_DROPS)
-    if "geometry_geojson" in out.columns:
-        if points_only and {"lon", "lat"} <= set(out.columns):
-            out = out.drop("geometry_geojson")
-        else:
-            out = out.drop("lon", "lat").withColumnRenamed("geometry_geojson", "_geojson")
-    return out.limit(max_rows)
-
-
-def is_truncated(df: DataFrame, max_rows: int = MAP_TABLE_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() > max_rows
-
-
-def chart_columns(df: DataFrame) -> tuple[str, str] | None:
-    """First label column and first numeric column that is not a coordinate."""
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    value = next((c for c in numeric if c not in ("lon", "lat")), None)
-    label = next((c for c in df.columns if c not in numeric and c not in ("geometry_geojson", "_geojson")), None)
-    return (label, value) if label and value else None
-
-
-def chart_frame(results: list[DataFrame], bars: int = CHART_BARS) -> DataFrame | None:
-    """Bars (label, value) of the last result that has 2 to 60 rows and both
-    kinds of column; otherwise the last single number; otherwise None."""
-    low, high = CHART_RESULT_ROWS
-    for df in reversed(results):
-        found = chart_columns(df)
-        if found and low <= df.limit(high + 1).count() <= high:
-            return chart_bars(df, *found, bars)
-    for df in reversed(results):
-        one = df.columns[0]
-        if len(df.columns) == 1 and isinstance(df.schema[0].dataType, T.NumericType) and df.limit(2).count() == 1:
-            return df.select(F.lit(one).alias("label"), F.col(f"`{one}`").cast("double").alias("value"))
-    return None
-
-
-def chart_bars(df: DataFrame, label: str, value: str, bars: int = CHART_BARS) -> DataFrame:
-    return (df.select(F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{value}`").cast("double").alias("value"))
-            .dropna().orderBy(F.col("value").desc(), "label").limit(bars))
+def map_columns(schema: T.StructType, points: bool) -> dict[str, str] | None:
+    """Which columns the map shows, as {column: name on the map}; None for a table
+    without positions.  Decided from the schema alone; ``points`` says that every
+    feature is a single position, so that lon and lat are all of it."""
+    names = schema.fieldNames()
+    pair, text = {"lon", "lat"} <= set(names), "geometry_geojson" in names
+    if not (pair or text):
+        return None
+    hidden = {n for n in names if n.startswith("bbox_m") or n == "geom_type"}
+    hidden |= {"geometry_geojson"} if pair and (points or not text) else {"lon", "lat"}
+    return {n: "_geojson" if n == "geometry_geojson" else n for n in names if n not in hidden}
+
+
+def map_frame(df: DataFrame, points: bool) -> DataFrame:
+    """All rows of a table with the columns of ``map_columns``."""
+    shown = map_columns(df.schema, points)
+    if shown is None:
+        raise ValueError("the table has no positions")
+    return df.select([F.col(f"`{c}`").alias(name) for c, name in shown.items()])
+
+
+def chart_frame(result: DataFrame) -> DataFrame | None:
+    """A result as bars (label, value), largest first: its first text-like column against
+    its first number that is not a coordinate.  A result of one number alone is labelled with its
+    name.  None where the schema has no number to show."""
+    shown = {f.name: isinstance(f.dataType, T.NumericType) for f in result.schema.fields
+             if f.name not in ("lon", "lat", "geometry_geojson", "_geojson")}
+    numbers, labels = ([c for c, is_number in shown.items() if is_number is kind] for kind in (True, False))
+    if not numbers or not (labels or len(result.columns) == 1):
+        return None
+    label = F.col(f"`{labels[0]}`").cast("string") if labels else F.lit(numbers[0])
+    bars = result.select(label.alias("label"), F.col(f"`{numbers[0]}`").cast("double").alias("value"))
+    return bars.dropna().orderBy(F.col("value").desc(), "label")

@@ -13,7 +13,7 @@ def flatten_turns(turns: DataFrame) -> DataFrame:
     return turns.select(
         "ts", "provider", "model", "seconds", F.coalesce(F.size("queries"), F.lit(0)).alias("queries"),
         F.coalesce(F.size(F.filter("queries", lambda q: ~q["ok"])), F.lit(0)).alias("failed_queries"),
-        "question", F.substring("answer", 1, 200).alias("answer"))
+        "question", "answer")
 
 
 def log_summary(flat: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.constants import LATITUDE_NAMES, LONGITUDE_NAMES, SAMPLE_POINTS, SAMPLE_ROWS
+from roadloom.constants import LATITUDE_NAMES, LONGITUDE_NAMES
 from roadloom.operators.skew import quantiles
 
 
@@ -14,6 +14,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def _value(f: T.StructField):
+    """A column; not-a-number counts as missing."""
+    c = F.col(f"`{f.name}`")
+    return F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
+
+
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: type, non-null count, null percent, distinct values.
 
@@ -23,8 +29,8 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     fields = df.schema.fields
     wide = df.agg(F.count(F.lit(1)).alias("rows"),
-                  *[F.count(f"`{f.name}`").alias(f"n{i}") for i, f in enumerate(fields)],
-                  *[distinct(F.col(f"`{f.name}`")).alias(f"d{i}") for i, f in enumerate(fields)])
+                  *[F.count(_value(f)).alias(f"n{i}") for i, f in enumerate(fields)],
+                  *[distinct(_value(f)).alias(f"d{i}") for i, f in enumerate(fields)])
     entries = F.array(*[
         F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("dtype"),
                  F.col(f"n{i}").alias("non_null"),
@@ -42,7 +48,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """
     columns = columns or numeric_columns(df)
     stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("column_name"), _value(df.schema[c]).cast("double").alias("value")) for c in columns
     ])).alias("e")).select("e.*")
     moments = stacked.groupBy("column_name").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
@@ -94,11 +100,8 @@ def geometry_types(df: DataFrame, column: str = "geom_type") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("features")))
 
 
-def sample_points(df: DataFrame, key: str, n: int = SAMPLE_POINTS, seed: int = 0) -> DataFrame:
-    """Up to n rows, the same ones every time: those with the smallest seeded hash."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
-
-
-def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
-    """A few rows without the geometry text."""
-    return df.drop("geometry_geojson").limit(n)
+def sample_points(df: DataFrame, key: str, share: float) -> DataFrame:
+    """The rows whose key has an md5 in the lowest ``share`` of all values: the same ones every
+    time and in every engine, without a sort."""
+    position = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
+    return df.where(position < F.lit(int(share * (1 << 32))))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.constants import EXPECTED_ROWS, REFUSAL_MARKERS
+from roadloom.constants import REFUSAL_MARKERS
 from roadloom.functions import text
+from roadloom.operators.query import read_only
 from roadloom.operators.skew import quantiles
 
 
 def expected_values(spark: SparkSession, questions: list[dict]) -> DataFrame:
     """First column of each question's reference SQL, as an array of texts.
 
-    The reference statements are evaluated on the registered tables; at most
-    100 values belong to a question.  ``questions``: dicts with id, check,
+    The reference statements are evaluated on the registered tables, behind the same
+    gate as any ad-hoc statement; all their values count.  ``questions``: dicts with id, check,
     reference_sql and optional tolerances (the question file, not data).
     """
     frames = []
@@ -22,9 +23,9 @@ def expected_values(spark: SparkSession, questions: list[dict]) -> DataFrame:
         if q["check"] == "refusal":
             values = spark.range(1).select(F.array().cast("array<string>").alias("expected"))
         else:
-            rows = spark.sql(q["reference_sql"].rstrip().rstrip(";"))
+            rows = read_only(spark, q["reference_sql"])
             first = F.col(f"`{rows.columns[0]}`").cast("string").alias("v")
-            values = rows.select(first).limit(EXPECTED_ROWS).agg(F.collect_list("v").alias("expected"))
+            values = rows.select(first).agg(F.collect_list("v").alias("expected"))
         frames.append(values.select(
             F.lit(q["id"]).alias("id"), F.lit(q.get("lang")).alias("lang"), F.lit(q["check"]).alias("check"),
             F.lit(float(q.get("rel_tol", 0.0))).alias("rel_tol"), F.lit(float(q.get("abs_tol", 0.0))).alias("abs_tol"),
@@ -79,8 +80,8 @@ def eval_summary(scored: DataFrame, by: str = "model") -> DataFrame:
 
 
 def failures(scored: DataFrame) -> DataFrame:
-    """The failed answers with a short excerpt, for the report."""
-    excerpt = F.substring(F.replace(F.coalesce(F.col("answer"), F.lit("")), F.lit("\n"), F.lit(" ")), 1, 160)
+    """The failed answers on one line each, for the report; whoever prints them may shorten them."""
+    excerpt = F.replace(F.coalesce(F.col("answer"), F.lit("")), F.lit("\n"), F.lit(" "))
     return scored.where(~F.col("passed")).select("model", "id", "detail", excerpt.alias("excerpt"))
 
 

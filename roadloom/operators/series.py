@@ -42,16 +42,19 @@ def weekly_series(stats: DataFrame, rules: DataFrame | None = None,
                          F.col("segments").cast("double").alias("seg"),
                          F.col("pct_named").cast("double").alias("pct")).persist()
     # One row for the whole input: first and last release.
-    ends = dated.agg(F.min("release").alias("r0"), F.max("release").alias("r1"))
+    earliest = F.struct(-F.unix_date("date"), "release")       # of two releases of one day the later id counts
+    ends = dated.agg(F.max_by("release", earliest).alias("r0"), F.max("release").alias("r1"))
     span = ends.select(release_date("r0").alias("d0"), release_date("r1").alias("d1"), "r0", "r1")
     r0, r1 = span.select("r0").scalar(), span.select("r1").scalar()
     d0, d1 = span.select("d0").scalar(), span.select("d1").scalar()
 
     at = lambda r, c: F.max(F.when(F.col("release") == r, F.col(c)))
-    measured = F.map_from_entries(F.collect_list(F.struct("date", F.struct("km", "seg", "pct"))))
+    listed = F.sort_array(F.collect_list(F.struct("date", "release", F.struct("km", "seg", "pct").alias("v"))))
+    last = F.filter("listed", lambda e, i: F.coalesce(F.get("listed", i + 1)["date"] != e["date"], F.lit(True)))
+    measured = F.map_from_entries(F.transform(last, lambda e: F.struct(e["date"], e["v"])))
     keys = dated.withColumn("r0", r0).withColumn("r1", r1).groupBy("state", "class").agg(
         *[at(F.col(r), c).alias(f"{c}_{r}") for r in ("r0", "r1") for c in ("km", "seg", "pct")],
-        measured.alias("measured"))            # one entry per release of this key
+        listed.alias("listed")).withColumn("measured", measured).drop("listed")     # one entry per day of this key
     keys = keys.where(F.col("km_r0").isNotNull() | F.col("km_r1").isNotNull())
 
     nz = lambda c: F.nullif(F.col(c), F.lit(0.0))  # noqa: E731  zero segments count as missing

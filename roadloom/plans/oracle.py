@@ -362,9 +362,9 @@ O["simple_totals"] = sql(["places"], """SELECT count(*) AS n, round(avg(confiden
 round(min(confidence), 6) AS low, round(max(confidence), 6) AS high FROM places WHERE category = 'building' OR name ILIKE '%7%'""")
 O["road_km_by_class"] = sql(ROADS, "SELECT class, round(sum(length_km), 6) AS km FROM roads GROUP BY class ORDER BY sum(length_km) DESC, class LIMIT 1")
 O["breakdown_roads"] = sql(ROADS, """SELECT class, round(sum(length_km), 6) AS km FROM roads WHERE status <> 'F'
-GROUP BY class ORDER BY sum(length_km) DESC, class LIMIT 12""")
+GROUP BY class ORDER BY sum(length_km) DESC, class""")
 O["breakdown_places"] = sql(["places"], """SELECT category, count(*) AS "count" FROM places
-WHERE operating_status = 'permanently_closed' GROUP BY category ORDER BY count(*) DESC, category NULLS LAST LIMIT 12""")
+WHERE operating_status = 'permanently_closed' GROUP BY category ORDER BY count(*) DESC, category NULLS LAST""")
 O["top_categories"] = sql(["places"], """SELECT category, count(*) AS n FROM places WHERE category IS NOT NULL
 GROUP BY category ORDER BY n DESC, category LIMIT 3""")
 O["distinct_names"] = sql(["roads0"], """SELECT count(DISTINCT name) AS names FROM roads0
@@ -373,7 +373,7 @@ O["matching_values"] = sql(["places"], "SELECT DISTINCT category FROM places WHE
 O["highlight"] = sql(["places"], "SELECT id, category, lon, lat FROM places WHERE category = 'machinery'")
 O["map_projection"] = sql(["places"], "SELECT id, lon, lat, category FROM places")
 O["chart_frame"] = sql(["places"], """SELECT locality AS label, CAST(count(*) AS DOUBLE) AS value FROM places
-GROUP BY locality ORDER BY value DESC, label LIMIT 12""")
+GROUP BY locality ORDER BY value DESC, label""")
 O["viewport"] = sql(["places"], f"""SELECT round(min(lon) - 0.006e0, 6) AS west, round(min(lat) - 0.006e0, 6) AS south,
 round(max(lon) + 0.006e0, 6) AS east, round(max(lat) + 0.006e0, 6) AS north FROM places WHERE {_DIST} <= 3000""")
 
@@ -476,13 +476,13 @@ def _audit(source: str, columns: str) -> str:
     starts, readers, writes = ("|".join(v) for v in (STATEMENT_STARTS, FILE_READERS, WRITE_KEYWORDS))
     return f"""WITH bare0 AS (SELECT {columns}, regexp_replace(regexp_replace(sql, '--[^\\n]*', ' ', 'g'), '/\\*.*?\\*/', ' ', 'gs') AS b
   FROM {source}), bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(b, '^\\s+|\\s+$', '', 'g'), ';+$', ''),
-  '^\\s+|\\s+$', '', 'g') AS q FROM bare0), judged AS (SELECT *, CASE WHEN q = '' THEN 'Empty SQL.'
-  WHEN contains(q, ';') THEN 'Only one statement is allowed.'
-  WHEN NOT regexp_matches(q, '^({starts})\\b', 'i') THEN 'Only SELECT, WITH, DESCRIBE, SHOW or SUMMARIZE queries are allowed.'
-  WHEN regexp_matches(q, '\\b({readers})\\w*\\s*\\(', 'i') THEN 'File-reading functions are not allowed.'
-  WHEN regexp_matches(regexp_replace(q, '''[^'']*''', '''''', 'g'), '\\b({writes})\\b', 'i')
-  THEN concat('Statement contains a forbidden keyword: ',
-  regexp_extract(regexp_replace(q, '''[^'']*''', '''''', 'g'), '\\b({writes})\\b', 1, 'i')) END AS reason FROM bare)
+  '^\\s+|\\s+$', '', 'g') AS q FROM bare0), judged AS (SELECT *, CASE WHEN q = '' THEN 'empty'
+  WHEN contains(q, ';') THEN 'several'
+  WHEN NOT regexp_matches(q, '^({starts})\\b', 'i') THEN 'kind'
+  WHEN regexp_matches(q, '\\b({readers})\\w*\\s*\\(', 'i') THEN 'file'
+  WHEN regexp_matches(regexp_replace(q, '''(?:[^''\\\\]|\\\\.)*''|"(?:[^"\\\\]|\\\\.)*"', '''''', 'g'), '\\b({writes})\\b', 'i')
+  THEN concat('keyword: ',
+  regexp_extract(regexp_replace(q, '''(?:[^''\\\\]|\\\\.)*''|"(?:[^"\\\\]|\\\\.)*"', '''''', 'g'), '\\b({writes})\\b', 1, 'i')) END AS reason FROM bare)
 """
 
 
@@ -562,3 +562,5 @@ O["turn_log_files"] = """SELECT event_type AS model, count(*) AS turns, count(*)
 count(*) FILTER (event_type = 'error') AS failed_queries FROM events GROUP BY event_type"""
 O["run_files"] = sql(SCORED, """SELECT model, '2026-10-09' AS run_date, replace(model, ':', '_') AS model_name,
 count(*) AS answers, count(*) FILTER (passed) AS passed FROM scored GROUP BY model""")
+O["sample_points"] = sql(["places"], """SELECT id, lon, lat FROM places
+WHERE ('0x' || left(md5(CAST(id AS VARCHAR)), 8))::BIGINT < 1073741824""")

@@ -363,14 +363,13 @@ def map_projection(spark, sf):
     boxed = (d.places(spark, sf).select("id", "lon", "lat", "category")
              .withColumn("geom_type", F.lit("Point")).withColumn("bbox_min_lon", F.col("lon"))
              .withColumn("geometry_geojson", geo.point_geojson("lon", "lat")))
-    return explore.map_frame(boxed)
+    return explore.map_frame(boxed, points=True)
 
 
 @query
 def chart_frame(spark, sf):
     counts = d.places(spark, sf).groupBy("locality").agg(F.count(F.lit(1)).alias("n"))
-    total = d.places(spark, sf).agg(F.count(F.lit(1)).alias("all_places"))
-    return explore.chart_frame([counts, total])
+    return explore.chart_frame(counts)
 
 
 @query
@@ -541,7 +540,7 @@ def slim_places(spark, sf):
 
 @query
 def sample_points(spark, sf):
-    return profile.sample_points(d.places(spark, sf).select("id", "lon", "lat"), "id")
+    return profile.sample_points(d.places(spark, sf).select("id", "lon", "lat"), "id", share=0.25)
 
 
 # ---------------------------------------------------------------- text, answers, logs, statements

@@ -8,33 +8,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.constants import CSV_DELIMITERS, DATE_COLUMN_SHARE, NA_TOKENS
+from roadloom.functions.text import clean_key
 
 
-def delimiter_of(header: str) -> str:
-    """The most frequent candidate in the first line; the first one on a tie."""
-    return max(CSV_DELIMITERS, key=header.count)
+def header_separator(spark: SparkSession, path: str) -> str:
+    """The candidate that cuts the first line into most fields; of equals the one listed first."""
+    line = F.col("value")
+    fields = [F.size(F.split(line, re.escape(c))) for c in CSV_DELIMITERS]
+    best = F.array_position(F.array(*fields), F.greatest(*fields)) - 1
+    found = spark.read.text(path).limit(1).select(F.element_at(F.array(*map(F.lit, CSV_DELIMITERS)), best.cast("int") + 1)).first()
+    if found is None:
+        raise ValueError(f"{path} is empty")
+    return found[0]
 
 
-def column_names(names: list[str]) -> list[str]:
-    cleaned = [re.sub("[^0-9a-zA-Z_]+", "_", n).strip("_") for n in names]
-    return [c or f"col_{i}" for i, c in enumerate(cleaned)]
+def plain_names(spark: SparkSession, names: list[str]) -> list[str]:
+    """Column names by the rule for property keys, without underscores at the ends; what nothing is left of is numbered."""
+    rows = spark.createDataFrame(list(enumerate(names)), "at int, name string")
+    key = F.trim(clean_key(F.replace(F.col("name"), F.lit("\ufeff"), F.lit(""))), F.lit("_"))
+    blank = ~F.col("name").rlike("[0-9a-zA-Z]")
+    name = F.when(blank, F.concat(F.lit("col_"), F.col("at").cast("string"))).otherwise(key)
+    return [r["name"] for r in sorted(rows.select("at", name.alias("name")).collect())]
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def _moment(value):
+    """A date or time as ISO text, or a date written month first, day first with points, or with slashes from the year."""
+    return F.coalesce(F.try_to_timestamp(value), *[F.try_to_timestamp(value, F.lit(p)) for p in ("M/d/yyyy", "d.M.yyyy", "yyyy/M/d")])
+
+
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A CSV file or folder of unknown layout.
 
-    Looks at the header line for the delimiter, then reads everything as text.
+    Looks at the header line for the delimiter, then reads everything as text; quoted
+    fields may hold line breaks unless ``multiline`` is switched off, which lets one file be read by several tasks.
     One aggregate over the whole table decides the column types; decimal commas
     are not numbers.  Text columns named like a date become timestamps if more
     than 80 % of all rows parse.
     """
-    head = spark.read.text(path).limit(1).first()
-    if head is None:
-        raise ValueError(f"no header in {path}")
-    header = head["value"].removeprefix("﻿")
-    raw = (spark.read.option("header", True).option("sep", delimiter_of(header)).option("multiLine", multiline)
+    separator = header_separator(spark, path)
+    raw = (spark.read.option("header", True).option("sep", separator).option("multiLine", multiline)
            .option("encoding", "UTF-8").option("escape", '"').csv(path))
-    raw = raw.toDF(*column_names([c.removeprefix("﻿") for c in raw.columns]))
+    raw = raw.toDF(*plain_names(spark, raw.columns))
     text = raw.select(*[F.when(F.col(c).isin(NA_TOKENS), None).otherwise(F.col(c)).alias(c) for c in raw.columns])
 
     def fits(c):
@@ -44,7 +58,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
                 F.count_if(value.rlike(r"^[+-]?\d+$") & value.try_cast("bigint").isNotNull()).alias(f"i_{c}"),
                 F.count_if(plain).alias(f"d_{c}"),
                 F.count_if(F.lower(value).isin("true", "false")).alias(f"b_{c}"),
-                F.count_if(F.try_to_timestamp(value).isNotNull()).alias(f"t_{c}")]
+                F.count_if(_moment(value).isNotNull()).alias(f"t_{c}")]
 
     found = text.agg(F.count(F.lit(1)).alias("rows"), *[e for c in text.columns for e in fits(c)]).first()
 
@@ -57,7 +71,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
         if n and found[f"b_{c}"] == n:
             return (F.lower(value) == "true").alias(c)
         if re.search("date|time|timestamp", c, re.IGNORECASE) and found[f"t_{c}"] > DATE_COLUMN_SHARE * found["rows"]:
-            return F.try_to_timestamp(value).cast("timestamp_ntz").alias(c)
+            return _moment(value).cast("timestamp_ntz").alias(c)
         return F.col(c)
 
     return text.select(*[typed(c) for c in text.columns])

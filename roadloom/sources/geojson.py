@@ -142,8 +142,7 @@ def notes(types: dict[str, tuple[str, str]]) -> list[str]:
     from roadloom.constants import GEOMETRY_COLUMNS
 
     clash = sorted({name for name, _ in types.values()} & set(GEOMETRY_COLUMNS))
-    return [f"Property '{n}' kept as provided; the value computed from the geometry is in 'geom_{n}'. "
-            "They can differ, for example when geometry was simplified." for n in clash]
+    return [f"{n} holds the file's property, geom_{n} what its geometry gives" for n in clash]
 
 
 def read_geojson(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:

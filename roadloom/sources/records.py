@@ -24,11 +24,12 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_run(rows: DataFrame, directory: str, run_date: str, partial: bool = False) -> None:
-    """Scored answers of one run, one folder per date and model.  Partial runs
-    go to a folder of their own and never replace a full run."""
+    """Scored answers of one run, one folder per date and model.  A run
+    that is repeated replaces itself; partial runs go to a folder of their own and
+    never replace a full run."""
     folder = f"{directory}/partial" if partial else f"{directory}/full"
     (rows.withColumn("run_date", F.lit(run_date)).withColumn("model_name", result_name("model"))
-     .write.mode("append").partitionBy("run_date", "model_name").json(folder))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "model_name").json(folder))
 
 
 def read_run_files(spark: SparkSession, path: str) -> DataFrame:

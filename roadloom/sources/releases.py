@@ -46,8 +46,8 @@ def scope_record(spark: SparkSession, release: str, bbox, classes, **texts) -> D
 
 
 def write_scopes(scopes: DataFrame, directory: str) -> None:
-    """One JSON folder per release below ``directory/scopes``."""
-    (scopes.withColumn("for_release", F.col("release")).write.mode("append")
+    """One JSON folder per release below ``directory/scopes``; a release that is fetched again replaces its record."""
+    (scopes.withColumn("for_release", F.col("release")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("for_release").json(f"{directory}/scopes"))
 
 

@@ -53,10 +53,3 @@ def compact(spark: SparkSession, source: str, target: str) -> DataFrame:
     if not report.first()["ok"]:
         raise RewriteError(f"verification failed for {source}; the original stays in use")
     return report
-
-
-def group_by_scope(files: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Which scope (equal bbox) each release file belongs to: file, release, scope."""
-    name = F.concat(F.lit("bbox_"), F.array_join(F.transform(
-        "bbox", lambda v: F.replace(F.regexp_replace(v.cast("string"), r"\.0$", ""), F.lit("-"), F.lit("m"))), "_"))
-    return files.join(scopes.select("release", name.alias("scope")), "release", "left")
