@@ -51,34 +51,35 @@ def top_k(rows: DataFrame, queries: DataFrame, dims: int, k: int = 10, id_col="v
     coded = lambda df: df.select(F.col(id_col).cast("long").alias("id"), code.alias("code")).where("id is not null and code is not null").distinct()
     rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     ids = coded(rows).withColumn("r", rank).where(F.col("r") <= k + 1)
-    codes = stored(ids.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
+    codes = ids.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    codes = stored(codes.select(F.monotonically_increasing_id().alias("cid"), "code", "ids"), "codes")
     width = max(4, min(WIDEST, codes.count().bit_length()))
     cuts = _cuts(dims, width)
-    index = stored(codes.select("code", "ids", _segments(F.col("code"), cuts).alias("s")).select("s.*", "code", "ids"), "index")
-    asked = stored(coded(queries).withColumnRenamed("id", "query_id").withColumnRenamed("code", "q"), "queries")
-    active = asked.select("q").distinct()
-    best, done = None, []
+    index = stored(codes.select("cid", _segments(F.col("code"), cuts).alias("s")).select("s.*", "cid"), "index")
+    asked = stored(coded(queries).withColumnRenamed("id", "query_id"), "asked")
+    wanted = stored(asked.select("code").distinct().select(F.monotonically_increasing_id().alias("qid"), F.col("code").alias("q")), "wanted")
+    active, best, done = wanted, None, []
     for r in range(width + 1):
-        masks = F.array(*[F.lit(sum(1 << b for b in c)).cast("long") for c in combinations(range(width), r)]) if r <= 3 else F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) = {r})")
-        probes = active.select("q", _segments(F.col("q"), cuts).alias("s")).select("q", "s.seg", F.col("s.value").alias("v"), F.explode(masks).alias("mask"))
-        probes = probes.select("q", "seg", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["seg", "value"]).select("q", "code", "ids", _distance(F.col("q"), F.col("code")).alias("d"))
+        masks = F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) = {r})") if r > 3 else F.array(*[F.lit(sum(1 << b for b in c)).cast("long") for c in combinations(range(width), r)])
+        probes = active.select("qid", _segments(F.col("q"), cuts).alias("s")).select("qid", "s.seg", F.col("s.value").alias("v"), F.explode(masks).alias("mask"))
+        probes = probes.select("qid", "seg", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
+        # Many probes come of few queries: neither side is small enough to be sent to all.
+        pairs = probes.hint("merge").join(index, ["seg", "value"]).select("qid", "cid").distinct()
+        met = pairs.join(codes, "cid").join(wanted, "qid").select("qid", "cid", F.col("ids")[0].alias("first"), F.size("ids").alias("n"), _distance(F.col("q"), F.col("code")).alias("d"))
         if best is not None:
-            met = met.union(best)
-        near = Window.partitionBy("q").orderBy("d", F.col("ids")[0])
-        met = met.dropDuplicates(["q", "code"]).withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1).drop("n")
-        met = stored(met, f"round{r}")
+            met = met.union(best).dropDuplicates(["qid", "cid"])
+        near = Window.partitionBy("qid").orderBy("d", "first")
+        met = stored(met.withColumn("at", F.row_number().over(near)).where(F.col("at") <= k + 1).drop("at"), f"round{r}")
         covered = len(cuts) * (r + 1) - 1
-        sure = met.where(F.col("d") <= covered).groupBy("q").agg(F.sum(F.size("ids")).alias("c"))
-        full = sure.where(F.col("c") >= k + 1).select("q") if r < width else met.select("q").distinct()
-        full = stored(full, "full")
-        done.append(met.join(full, "q", "left_semi"))
-        best = met.join(full, "q", "left_anti")
-        active = active.join(full, "q", "left_anti")
+        sure = met.where(F.col("d") <= covered).groupBy("qid").agg(F.sum("n").alias("c"))
+        full = stored(sure.where(F.col("c") >= k + 1).select("qid") if r < width else met.select("qid").distinct(), "full")
+        done.append(met.join(full, "qid", "left_semi"))
+        best = met.join(full, "qid", "left_anti")
+        active = stored(active.join(full, "qid", "left_anti"), "active")
         if active.isEmpty():
             break
-    found = reduce(DataFrame.union, done).select("q", "d", F.explode("ids").alias("neighbor_id"))
-    found = asked.join(found, "q").where("neighbor_id <> query_id")
+    found = reduce(DataFrame.union, done).join(codes, "cid").join(wanted, "qid").select(F.col("q").alias("code"), "d", F.explode("ids").alias("neighbor_id"))
+    found = asked.join(found, "code").where("neighbor_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "neighbor_id"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "neighbor_id", F.col("d").cast("long").alias("distance"))
