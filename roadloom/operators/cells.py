@@ -49,27 +49,21 @@ def row_intervals(edges: DataFrame, region: str = "state") -> DataFrame:
     return paired.select("*", F.explode(tiles).alias("tile"))
 
 
-def measured_intervals(edges: DataFrame, region: str = "state") -> DataFrame:
-    """The intervals, computed once and cached.  From then on the planner knows
-    their real size, and decides by it whether to broadcast them or to shuffle."""
-    intervals = row_intervals(edges, region).persist()
-    intervals.count()
-    return intervals
-
-
 def with_regions(cells: DataFrame, edges: DataFrame, region: str = "state",
                  keys: list[str] | None = None) -> DataFrame:
     """Add the region to rows that carry a cell (``cx``, ``cy``).
 
     ``keys`` (all columns by default, cx and cy among them) tell the rows apart.
     Every row stays exactly once: with several matching regions the
-    alphabetically first one is taken, without any the region is null.
+    alphabetically first one is taken, without any the region is null.  Whether the
+    intervals are broadcast or shuffled is decided at run time, by their size after the
+    shuffle that pairs them.
     """
     keys = keys or cells.columns
     px = F.col("cx") / F.lit(float(CELLS_PER_DEGREE))
     keyed = cells.withColumn("tile", F.floor(F.col("cx") / TILE).cast("bigint"))
     hits = keyed.join(
-        measured_intervals(edges, region).withColumnRenamed("cy", "row").withColumnRenamed("tile", "row_tile"),
+        row_intervals(edges, region).withColumnRenamed("cy", "row").withColumnRenamed("tile", "row_tile"),
         (F.col("cy") == F.col("row")) & (F.col("tile") == F.col("row_tile"))
         & (px >= F.col("x_from")) & (px < F.col("x_to")), "left")
     # The grouping starts with the join keys, so it needs no further shuffle.
@@ -88,11 +82,12 @@ def attach_regions(features: DataFrame, edges: DataFrame, region: str = "state",
                    keep_outside: bool = True) -> DataFrame:
     """Region per feature, through its cell.  A cell may hold any share of the
     features, hence the skew-safe join."""
-    # One row per cell, used for the lookup and to find the hot cells: kept, so
-    # that the features are read only twice.
+    # One row per cell, used for the lookup and to find the hot cells.  The filter keeps
+    # the count in the lookup's plan, so that both share one shuffle and the features are
+    # read only twice.
     counts = (features.where(F.col("cx").isNotNull() & F.col("cy").isNotNull())
-              .groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).persist())
-    lookup = with_regions(counts.select("cx", "cy"), edges, region)
+              .groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
+    lookup = with_regions(counts.where("n > 0").select("cx", "cy"), edges, region)
     if not keep_outside:
         lookup = lookup.where(F.col(region).isNotNull())
     return skew_join(features, lookup, ["cx", "cy"], hot=hot_among(counts, ["cx", "cy"]))

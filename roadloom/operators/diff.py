@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.operators.skew import skew_join
-
 LENGTH_CHANGE_KM = 0.001
 
 
@@ -51,8 +49,9 @@ def length_changes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def added_features(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``b`` whose id is not in ``a``."""
-    return skew_join(b, a.select("id").distinct(), ["id"], "left_anti")
+    """Rows of ``b`` whose id is not in ``a``.  Each side is read once; ids hardly repeat, and a
+    repeated one is split by adaptive execution, which needs the shuffles right below the join."""
+    return b.join(a.select("id"), "id", "left_anti").select(*b.columns)
 
 
 def removed_features(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -61,7 +60,7 @@ def removed_features(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def kept_features(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``b`` whose id is in ``a`` as well."""
-    return skew_join(b, a.select("id").distinct(), ["id"], "left_semi")
+    return b.join(a.select("id"), "id", "left_semi").select(*b.columns)
 
 
 def id_sets(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import geo
 from roadloom.operators.cells import with_cell
 from roadloom.operators.series import incident_rules
-from roadloom.session import configure, spread
+from roadloom.session import configure
 
 RELEASE_A, RELEASE_B = "2026-07-22.0", "2026-08-19.0"
 # Roads opened after the first date are new in release B, those from before the
@@ -86,7 +86,7 @@ def roads(spark, sf_dir) -> DataFrame:
     """id, class, name, status, opened, parts: one line feature per order."""
     k = F.col("o_orderkey")
     name = F.when(k % 3 != 0, F.concat(F.lit("R"), (k % 200).cast("string")))
-    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    return table(spark, sf_dir, "orders").repartition("o_orderkey").select(
         k.alias("id"), _class().alias("class"), name.alias("name"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderdate").alias("opened"), _road_paths().alias("parts"))
 
@@ -198,7 +198,7 @@ def answers(spark, sf_dir) -> DataFrame:
     expected = (F.when(check == "number", F.array(price.cast("string")))
                 .when(check == "set", F.array(F.lit("living_street"), F.lit("motorway")))
                 .otherwise(F.array().cast("array<string>")))
-    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    return table(spark, sf_dir, "orders").repartition("o_orderkey").select(
         k.alias("id"), F.when(k % 2 == 0, "en").otherwise("de").alias("lang"), check.alias("check"),
         # One model holds a third of all answers.
         F.when(k % 3 == 0, "granite:8b").otherwise(F.concat(F.lit("basalt-"), (k % 5).cast("string"))).alias("model"),

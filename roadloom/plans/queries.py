@@ -842,7 +842,7 @@ def admission_stream(spark, sf):
     stream_admission.use_rocksdb(spark)
     path = scratch_path(spark, "visits")
     rows = d.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id")
-    rows.repartition(1).write.parquet(path)
+    rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
     return _drain(stream_admission.admit_stream(stream, "user_id", "ts", "event_id", 2, 86_400),
                   scratch_path(spark, "verdicts"))

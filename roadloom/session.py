@@ -42,14 +42,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df, key: str):
-    """Give costly per-row work all cores when a scan has fewer partitions than
-    there are cores (a small file with one row group).  Scans of any size worth
-    a cluster have more, and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def materialize(df, name: str):
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     survives the loss of any executor."""

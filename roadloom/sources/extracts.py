@@ -25,14 +25,19 @@ def derive_segments(segments: DataFrame, release: str, map_classes=MAP_CLASSES,
                     ellipsoidal: bool = True) -> DataFrame:
     """One row per segment with length, cell and, for map classes, the map fields.
 
-    ``geometry`` is WKB; it is decoded once.  Persist the result when both the
+    ``geometry`` is WKB; vertices and length come from one pass over each batch, and only the
+    map classes get a text.  Persist the result when both the
     statistics and the map are written from it, so that the release is scanned
     once.
     """
-    text = geo_arrow.wkb_to_geojson("geometry") if dict(segments.dtypes)["geometry"] == "binary" else F.col("geometry")
-    rows = segments.withColumn("geometry", text).withColumn("parts", geo.geojson_parts("geometry"))
-    km = geo_arrow.spheroid_length_m("parts") / 1000 if ellipsoidal else geo.parts_km("parts")
     on_map = F.col("class").isin(list(map_classes))
+    if dict(segments.dtypes)["geometry"] == "binary":
+        rows = segments.withColumn("line", geo_arrow.decoded_lines("geometry", ellipsoidal)).select("*", "line.parts", "line.metres")
+        rows = rows.withColumn("geometry", geo_arrow.wkb_to_geojson(F.when(on_map, F.col("geometry"))))
+    else:
+        rows = segments.withColumn("parts", geo.geojson_parts("geometry"))
+        rows = rows.withColumn("metres", geo_arrow.spheroid_length_m("parts")) if ellipsoidal else rows
+    km = F.col("metres") / 1000 if ellipsoidal else geo.parts_km("parts")
     return with_cell(rows).select(
         F.lit(release).alias("release"), "class", F.col("name").isNotNull().alias("is_named"),
         km.alias("length_km"), "cx", "cy",
@@ -50,10 +55,11 @@ def map_geometry(derived: DataFrame, tolerance: float = SIMPLIFY_DEG) -> DataFra
 def scan_places(spark: SparkSession, path: str, area) -> DataFrame:
     """Places inside the area, nested fields flattened."""
     rows = in_area(spark.read.parquet(path), area)
-    text = geo_arrow.wkb_to_geojson("geometry") if dict(rows.dtypes)["geometry"] == "binary" else F.col("geometry")
-    spot = F.try_element_at(geo.geojson_vertices("geometry"), F.lit(1))
-    return (rows.withColumn("geometry", text)
-            .select("id", F.col("names.primary").alias("name"), F.col("taxonomy.primary").alias("category"),
+    is_wkb = dict(rows.dtypes)["geometry"] == "binary"
+    spot = geo_arrow.first_vertex("geometry") if is_wkb else F.try_element_at(geo.geojson_vertices("geometry"), F.lit(1))
+    rows = rows.withColumn("spot", spot)
+    spot = F.col("spot")
+    return (rows.select("id", F.col("names.primary").alias("name"), F.col("taxonomy.primary").alias("category"),
                     "basic_category", "confidence", "operating_status",
                     F.try_element_at("addresses", F.lit(1))["locality"].alias("locality"),
                     spot["x"].alias("lon"), spot["y"].alias("lat")))

@@ -160,3 +160,29 @@ def test_path_rows_of_columns(spark):
     df = spark.range(1).select(parts.alias("parts"))
     assert df.select(geo.parts_km("parts").alias("v")).first()["v"] == pytest.approx(222.39, abs=0.01)
     assert json.loads(df.select(geo.parts_geojson("parts").alias("v")).first()["v"])["type"] == "MultiLineString"
+
+
+def test_lines_decoded_together_equal_lines_decoded_alone():
+    import struct
+
+    import pyarrow as pa
+
+    line, lines, spot = ({"type": "LineString", "coordinates": [[8, 50], [8.5, 50.5], [9, 50]]},
+                         {"type": "MultiLineString", "coordinates": [[[7, 48], [7.5, 48]], [[1, 2], [3, 4], [5, 6]]]},
+                         {"type": "Point", "coordinates": [4, 5]})
+    big = struct.pack(">BII4d", 0, 2, 2, 10, 51, 11, 52)
+    empty = geo_arrow.to_wkb({"type": "LineString", "coordinates": []})
+    data = pa.array([geo_arrow.to_wkb(line), None, geo_arrow.to_wkb(lines), empty, geo_arrow.to_wkb(spot), big, geo_arrow.to_wkb(line)], pa.binary())
+    for cut in (data, data[2:], data[:0], data[1:2]):
+        got = geo_arrow.lines_of(cut, True).to_pylist()
+        for value, found in zip(cut.to_pylist(), got, strict=True):
+            g = value and geo_arrow.from_wkb(value)
+            if not g or g["type"] == "Point":
+                assert found["parts"] is None and found["metres"] is None
+                continue
+            paths = g["coordinates"] if g["type"] == "MultiLineString" else [g["coordinates"]]
+            assert [[[v["x"], v["y"]] for v in path] for path in found["parts"]] == paths
+            want = sum(float(geo_arrow.geodesic_m(*([v] for v in (*a, *b)))[0]) for p in paths for a, b in zip(p, p[1:]))
+            assert abs(found["metres"] - want) < 1e-6
+    firsts = geo_arrow.first_vertices(data).to_pylist()
+    assert [v and (v["x"], v["y"]) for v in firsts] == [(8, 50), None, (7, 48), None, (4, 5), (10, 51), (8, 50)]
