@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm.encoder import gather, tokenizer
-from roadloom.llm.store import parts, rows_of
+from roadloom.llm.store import give_back, parts, rows_of, tidied
 
 #: Bytes of text in a block; its distinct words and their ids are what a task holds at once.
 BLOCK_BYTES = 24 << 20
@@ -52,8 +52,11 @@ def _split(kind: str, buckets: int):
                 if size >= BLOCK_BYTES:
                     yield emit(block, ids, bodies)
                     block, ids, bodies, size = block + 1, [], [], 0
+                    give_back()
         if ids:
             yield emit(block, ids, bodies)
+            ids, bodies = [], []
+            give_back()
 
     def emit(block, ids, bodies):
         found, each = _Places(), []
@@ -87,6 +90,9 @@ def _encode(path: str):
     """One bucket of the table of distinct words: encode each once, and send the ids to the blocks that have it."""
 
     def run(table: pa.Table) -> pa.Table:
+        return tidied(work, table)
+
+    def work(table: pa.Table) -> pa.Table:
         rows, found = table.to_pylist(), _Places()
         asked = []
         for r in rows:
@@ -122,6 +128,9 @@ def _assemble(path: str, with_ids: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(ids: pa.Table, places: pa.Table) -> pa.Table:
+        return tidied(work, ids, places)
+
+    def work(ids: pa.Table, places: pa.Table) -> pa.Table:
         found, (docs,) = ids.to_pylist(), places.to_pylist()
         words = sum(len(r["places"]) // 4 for r in found)
         sizes, starts, flat, base = np.zeros(words, np.int64), np.zeros(words, np.int64), [], 0

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.store import WHITE, parts, stored
+from roadloom.llm.store import WHITE, give_back, parts, stored
 
 #: Bytes of text that the tries of a task hold; beyond it the largest subtree is handed on and freed.
 TRIE_BYTES = 64 << 20
@@ -107,6 +107,7 @@ def _insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner[1].append({"doc_id": doc_id, "tag": tag})
         yield from rows(trie.spill(TRIE_BYTES))
     yield from rows(trie.take())
+    give_back()
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +128,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner[1] += n
         yield from rows(trie.spill(TRIE_BYTES))
     yield from rows(trie.take())
+    give_back()
 
 
 def copies(docs: DataFrame, id_col="doc_id", text_col="text", tag: Column | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.graph import components
-from roadloom.llm.store import parts, rows_of, stored
+from roadloom.llm.store import give_back, parts, rows_of, stored, tidied
 
 #: Words in a block of documents that one step of a task holds in memory.
 BLOCK_WORDS = 1_000_000
@@ -143,8 +143,11 @@ def _blocks(k: int, buckets: int):
                 if words >= BLOCK_WORDS:
                     yield from emit(block, ids, bodies)
                     block, ids, bodies, words = block + 1, [], [], 0
+                    give_back()
         if ids:
             yield from emit(block, ids, bodies)
+            ids, bodies = [], []
+            give_back()
 
     def emit(block, ids, bodies):
         place, sets, refs, sigs = {}, [], [], []
@@ -175,6 +178,10 @@ def _blocks(k: int, buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
+    return tidied(_met, table)
+
+
+def _met(table: pa.Table) -> pa.Table:
     """One bucket: of the shingles asked for, send back those that more than one block has."""
     kinds = np.array(table.column("kind").to_pylist())
     asked = np.flatnonzero(kinds == "ask")
@@ -205,6 +212,9 @@ def _gather(percent: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("shared", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
+        return tidied(work, table)
+
+    def work(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         docs, sets = (next(r for r in rows if r["kind"] == k) for k in ("docs", "sets"))
         n = np.frombuffer(sets["ns"], np.uint32).astype(np.int64)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +40,20 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def parts(spark: SparkSession) -> int:
     """How many partitions a shuffle has; what is dealt out by hand follows it, so that it grows with the cluster."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def give_back() -> None:
+    """Hand the memory that this worker has freed back to the system.  Spark keeps Python workers for later tasks, and the
+    allocators of Arrow and of the C library would hold what the largest block has taken, beside all that run next to them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(work: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    """The result of ``work``; after large groups, what it has freed is given back."""
+    out = work(*tables)
+    if sum(t.nbytes for t in tables) > 1 << 22:
+        give_back()
+    return out
