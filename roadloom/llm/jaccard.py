@@ -101,7 +101,7 @@ def shingles(bodies: list[bytes], k: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         mixed = np.zeros(max(0, len(flat) - k + 1), np.uint64)
         for i in range(k):
-            mixed = _mix(mixed * np.uint64(0x9E3779B97F4A7C15) + flat[i : len(flat) - k + 1 + i])
+            mixed = _mix(mixed * np.uint64(0x9E3779B97F4A7C15) + flat[i : i + len(mixed)])
     out, at = [], 0
     for n in sizes.tolist():
         if n >= k:

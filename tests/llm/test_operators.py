@@ -79,6 +79,25 @@ def test_components_are_those_of_all_pairs(spark, k, percent, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == classes(rows, k, percent)
 
 
+@pytest.mark.parametrize("k", [1, 4, 5, 8])
+def test_blocks_of_few_words_have_shingles(k):
+    for sizes in itertools.product(range(10), repeat=2):
+        bodies = [prose(n, i).encode() for i, n in enumerate(sizes)]
+        assert [len(h) for h in jaccard.shingles(bodies, k)] == [len(c) for c in classes_sets(bodies, k)]
+
+
+def classes_sets(bodies, k):
+    for b in bodies:
+        w = b.split()
+        yield {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize("n", range(6))
+def test_components_of_one_short_document(spark, n):
+    got = jaccard.components_of(frame(spark, [(1, prose(n, 1), "en", "a")], 1), k=5).collect()
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got] == [(1, int(n > 0), 1)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(40).selectExpr("id + 1 AS a", "id AS b").union(spark.createDataFrame([(7, 7), (90, 80)], "a long, b long"))
     got = dict(map(tuple, graph.components(edges).collect()))
