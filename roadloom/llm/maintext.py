@@ -22,6 +22,11 @@ ENDS_PARAGRAPH = set("address article aside blockquote details div dl fieldset f
 #: Words in a class, id or role that name boilerplate or content.
 BAD_WORDS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist contentinfo cookie cookies consent disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 GOOD_WORDS = set("article articlebody content entry main post story".split())
+#: Of these, the words of what lists other articles: an article inside is one of its items.  And how a name begins that says what the page has beside the element.
+LISTS = set("comment comments commentlist disqus modal popup promo related replies reply sponsor sponsored widget".split())
+_BESIDE = re.compile(r"(?:^|\s)(?:has|no|with|without)[-_]\S+")
+#: Flags of boilerplate: a name that may be that of a wrapper around the article, a name that only a main element ends, one that holds to the end.
+NAMED, LISTED, FINAL = 1, 2, 3
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 #: The classifier's weights (fixed values): log-odds for content.
@@ -36,7 +41,7 @@ class Blocks(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.open, self.blocks, self.text, self.linked, self.serial = [("", False, False, 0)], [], [], 0, 0
+        self.open, self.blocks, self.text, self.linked, self.serial = [("", False, 0, 0)], [], [], 0, 0
         self.feed(html)
         self.close()
         self.end_block()
@@ -46,7 +51,7 @@ class Blocks(HTMLParser):
         if text:
             _, good, bad, _ = self.open[-1]
             around = [e for e in self.open if e[0] not in INLINE]
-            self.blocks.append((text, self.linked, good, bad, around[-1][0], tuple(e[3] for e in around)))
+            self.blocks.append((text, self.linked, good, bad > 0, around[-1][0], tuple(e[3] for e in around)))
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -62,10 +67,19 @@ class Blocks(HTMLParser):
         elif tag in ("li", "td", "th", "tr", "dd", "dt"):
             self.leave(tag, {"ul", "ol", "table", "dl"})
         named = dict(attrs)
-        words = set(_WORD.findall(" ".join(str(named.get(a) or "").lower() for a in ("class", "id", "role"))))
+        names = " ".join(str(named.get(a) or "").lower() for a in ("class", "id", "role"))
+        words = set(_WORD.findall(names))
+        said = words & BAD_WORDS
+        if said:
+            said = set(_WORD.findall(_BESIDE.sub(" ", names))) & BAD_WORDS if tag not in ("html", "body", "main") else set()
         _, good, bad, _ = self.open[-1]
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in (named.get("style") or "").replace(" ", "").lower()
-        bad = bad or hidden or tag in BOILERPLATE or bool(words & BAD_WORDS and not tag in ("html", "body"))
+        if bad == NAMED and tag in CONTENT or bad == LISTED and tag == "main":
+            bad = 0  # it was a wrapper of the layout
+        if hidden or tag in BOILERPLATE or said and any(e[0] == "article" for e in self.open):
+            bad = FINAL
+        elif said:
+            bad = max(bad, LISTED if said & LISTS else NAMED)
         good = good or tag in CONTENT or bool(words & GOOD_WORDS)
         self.serial += 1
         self.open.append((tag, good, bad, self.serial))

@@ -305,6 +305,25 @@ def test_main_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+TALE = " ".join(["This paragraph of the article has some words."] * 12)
+SIDE = "<div class='sidebar'><p>Read this other story now, it is good.</p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='has-sidebar'><article><p>{}</p></article>" + SIDE + "</div>",
+    "<div id='page' class='header-fixed'><article><p>{}</p></article>" + SIDE + "</div>",
+    "<div class='nav-open'><div class='ads-on'><main><p>{}</p></main></div></div>" + SIDE,
+    "<div class='layout with-sidebar'><div class='content'><p>{}</p></div>" + SIDE + "</div>",
+    "<main class='sidebar-right'><p>{}</p>" + SIDE + "</main>",
+    "<div class='comments-on'><main><p>{}</p></main></div>",
+    "<main><article><p>{}</p><div class='comments'><article><p>A reader writes a long comment here.</p></article></div></article></main>",
+    "<article><p>{}</p></article><section id='comments'><article><p>A reader writes a long comment here.</p></article></section>",
+    "<article><p>{}</p></article><nav class='has-menu'><article><p>Go to another page of this site here.</p></article></nav>",
+])
+def test_wrappers_of_the_layout_keep_the_article(page):
+    assert maintext.main_text(page.format(TALE)) == TALE
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     assert jaccard.components_of(nothing).isEmpty() and dedup.copies(nothing).isEmpty() and bpe.encode(nothing, WORD).isEmpty()
     assert langid.identify(nothing, langid.fit(nothing)).isEmpty() and mixing.mix(nothing).isEmpty() and mixing.mixed_rows(nothing).isEmpty()
