@@ -133,6 +133,11 @@ CTE["scopes"] = f"""SELECT concat(m, '-15.0') AS release,
   CASE WHEN CAST(m[6:7] AS INT) <= 6 THEN ['motorway', 'primary', 'trunk']
   ELSE ['living_street', 'residential', 'unclassified', 'motorway', 'primary', 'trunk'] END AS classes
   FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m FROM orders) WHERE m[6:7] <> '12'"""
+CTE["every_scope"] = f"""SELECT concat(m, '-15.0') AS release,
+  CASE WHEN CAST(m[:4] AS INT) % 2 = 0 THEN {d.GERMANY} ELSE {d.BAYERN} END AS bbox,
+  CASE WHEN CAST(m[6:7] AS INT) <= 6 THEN ['motorway', 'primary', 'trunk']
+  ELSE ['living_street', 'residential', 'unclassified', 'motorway', 'primary', 'trunk'] END AS classes
+  FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m FROM orders)"""
 CTE["released"] = "SELECT DISTINCT release FROM monthly"
 _EN = "format('{:,.2f}', o_totalprice)"
 CTE["answers0"] = f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE 'de' END AS lang,
@@ -256,6 +261,11 @@ max(b.release) FILTER (b.release < a.release) AS previous
 FROM scopes a JOIN scopes b ON a.bbox = b.bbox AND a.classes = b.classes GROUP BY a.release""")
 O["comparable_pairs"] = sql(["scopes"], """SELECT max(a.release) AS release_a, b.release AS release_b
 FROM scopes a JOIN scopes b ON a.bbox = b.bbox AND a.classes = b.classes AND a.release < b.release GROUP BY b.release""")
+O["scope_groups_every_month"] = sql(["every_scope"], """SELECT a.release, min(b.release) AS scope_group,
+max(b.release) FILTER (b.release < a.release) AS previous
+FROM every_scope a JOIN every_scope b ON a.bbox = b.bbox AND a.classes = b.classes GROUP BY a.release""")
+O["comparable_pairs_every_month"] = sql(["every_scope"], """SELECT max(a.release) AS release_a, b.release AS release_b
+FROM every_scope a JOIN every_scope b ON a.bbox = b.bbox AND a.classes = b.classes AND a.release < b.release GROUP BY b.release""")
 O["comparability"] = sql(["monthly", "released", "scopes"], """SELECT r.release,
 CASE WHEN a.bbox IS NULL OR s.bbox IS NULL OR a.bbox <> s.bbox OR a.classes <> s.classes THEN false ELSE true END AS comparable,
 CASE WHEN a.bbox IS NULL OR s.bbox IS NULL THEN 'No scope record' WHEN a.bbox <> s.bbox THEN 'Different areas'
@@ -546,6 +556,7 @@ CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS status, o_orderkey % 2
 O["stats_files"] = sql(INSIDE, """SELECT release, state, class, segments, length_km, mean_segment_m, pct_named,
 CAST(release[:10] AS DATE) AS release_date FROM inside""")
 O["scope_files"] = sql(["scopes"], "SELECT release, array_to_string(classes, ',') AS classes, CAST(bbox[3] AS DOUBLE) AS xmax FROM scopes")
+O["scope_files_every_month"] = sql(["every_scope"], "SELECT release, array_to_string(classes, ',') AS classes, CAST(bbox[3] AS DOUBLE) AS xmax FROM every_scope")
 O["feature_files"] = sql(ROADS, """SELECT CAST(id AS VARCHAR) AS feature_id, class, name, name IS NOT NULL AS is_named,
 CASE WHEN two THEN 'MultiLineString' ELSE 'LineString' END AS geom_type, round(length_km, 4) AS length_km,
 round(length_km, 6) AS geom_length_km FROM roads""")

@@ -139,6 +139,16 @@ def comparable_pairs(spark, sf):
     return compare.comparable_pairs(d.monthly_scopes(spark, sf))
 
 
+@query
+def scope_groups_every_month(spark, sf):
+    return compare.scope_groups(d.every_scope(spark, sf))
+
+
+@query
+def comparable_pairs_every_month(spark, sf):
+    return compare.comparable_pairs(d.every_scope(spark, sf))
+
+
 @query
 def comparability(spark, sf):
     found = d.monthly_stats(spark, sf).select("release").distinct()
@@ -731,15 +741,24 @@ def stats_files(spark, sf):
     return releases.load_stats(spark, folder)
 
 
-@query
-def scope_files(spark, sf):
+def _scope_files(spark, scopes):
     folder = scratch_path(spark, "scopes")
-    releases.write_scopes(d.monthly_scopes(spark, sf), folder)
+    releases.write_scopes(scopes, folder)
     back = releases.load_scopes(spark, f"{folder}/scopes")
     return back.select("release", F.array_join("classes", ",").alias("classes"),
                        F.try_element_at("bbox", F.lit(3)).alias("xmax"))
 
 
+@query
+def scope_files(spark, sf):
+    return _scope_files(spark, d.monthly_scopes(spark, sf))
+
+
+@query
+def scope_files_every_month(spark, sf):
+    return _scope_files(spark, d.every_scope(spark, sf))
+
+
 @query
 def feature_files(spark, sf):
     """Every road written as compressed features and read back."""

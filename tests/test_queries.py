@@ -54,3 +54,8 @@ def test_entry_is_lazy_and_has_rows(spark):
 
 def test_every_twin_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+@pytest.mark.parametrize("name, column", [("scope_groups_every_month", "release"), ("comparable_pairs_every_month", "release_b"), ("scope_files_every_month", "release")])
+def test_scopes_of_every_month_hold_december(spark, name, column):
+    assert driver.queries()[name](spark, DATA).where(f"substring({column}, 6, 2) = '12'").count() > 0
