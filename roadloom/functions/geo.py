@@ -174,22 +174,32 @@ def parse_geometry(geometry_json) -> Column:
     return F.from_json(_col(geometry_json), _GEOMETRY)
 
 
+def _members(g: Column) -> Column:
+    """The plain geometries in a parsed collection as texts, at any depth.  A step opens the collections of one depth, and
+    there are not more depths than texts that name members."""
+    deep = F.size(F.split(F.array_join(g["geometries"], ","), '"geometries"'))
+    inner = lambda m: F.coalesce(parse_geometry(m)["geometries"], F.array().cast("array<string>"))
+    is_open = lambda m: F.coalesce(parse_geometry(m)["type"] == "GeometryCollection", F.lit(False))
+
+    def step(state, _):
+        found = F.flatten(F.transform(state["open"], inner))
+        return F.struct(F.concat(state["done"], F.filter(found, lambda m: ~is_open(m))).alias("done"), F.filter(found, is_open).alias("open"))
+
+    own = F.coalesce(g["geometries"], F.array().cast("array<string>"))
+    first = F.struct(F.filter(own, lambda m: ~is_open(m)).alias("done"), F.filter(own, is_open).alias("open"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(deep, F.lit(1))), first, step, lambda state: state["done"])
+
+
 def _all_vertices(g: Column) -> Column:
-    members = F.flatten(F.transform(
-        F.coalesce(g["geometries"], F.array().cast("array<string>")),
-        lambda m: _vertices_in(F.coalesce(parse_geometry(m)["coordinates"], F.lit("")))))
+    members = F.flatten(F.transform(_members(g), lambda m: _vertices_in(F.coalesce(parse_geometry(m)["coordinates"], F.lit("")))))
     return F.when(g["type"] == "GeometryCollection", members).otherwise(
         _vertices_in(F.coalesce(g["coordinates"], F.lit(""))))
 
 
-def _line_km(g: Column, vertices: Column | None = None, nesting: int = 2) -> Column:
-    own = parts_km(_line_parts(g, vertices))
-    if nesting <= 0:
-        return own
-    lengths = F.filter(F.transform(g["geometries"], lambda m: _line_km(parse_geometry(m), None, nesting - 1)),
-                       lambda km: km.isNotNull())
+def _line_km(g: Column, vertices: Column | None = None) -> Column:
+    lengths = F.filter(F.transform(_members(g), lambda m: parts_km(_line_parts(parse_geometry(m)))), lambda km: km.isNotNull())
     total = F.when(F.size(lengths) > 0, F.aggregate(lengths, F.lit(0.0), lambda t, km: t + km))
-    return F.when(g["type"] == "GeometryCollection", total).otherwise(own)
+    return F.when(g["type"] == "GeometryCollection", total).otherwise(parts_km(_line_parts(g, vertices)))
 
 
 def geojson_vertices(geometry_json) -> Column:
@@ -211,13 +221,13 @@ def geojson_rings(geometry_json) -> Column:
               F.transform(F.flatten(F.from_json(g["coordinates"], "array<array<string>>")), _vertices_in)))
 
 
-def geojson_km(geometry_json, nesting: int = 2) -> Column:
+def geojson_km(geometry_json) -> Column:
     """Length of line geometries in kilometres.
 
     A collection adds up its line members and is null when it has none; points
     and polygons are null, because a perimeter is not a road length.
     """
-    return _line_km(parse_geometry(geometry_json), None, nesting)
+    return _line_km(parse_geometry(geometry_json))
 
 
 def with_geometry(df, geometry: str = "geometry"):
@@ -264,6 +274,19 @@ def rounded_coordinates_json(geometry_json, decimals: int = COORD_DECIMALS) -> C
             .when(g["type"] == "MultiPolygon", as_text(4)))
 
 
+def rounded_geometry_json(geometry_json, decimals: int = COORD_DECIMALS) -> Column:
+    """Geometry text with rounded numbers; nested collections become one, no geometry is ``null``, any other text an error."""
+    def plain(text):
+        made = F.concat(F.lit('{"type":"'), parse_geometry(text)["type"], F.lit('","coordinates":'), rounded_coordinates_json(text, decimals), F.lit("}"))
+        return F.coalesce(made, F.raise_error(F.concat(F.lit("no geometry: "), F.substring(F.coalesce(text, F.lit("null")), 1, 200))).cast("string"))
+
+    text, g = _col(geometry_json), parse_geometry(geometry_json)
+    members = F.array_join(F.transform(_members(g), plain), ",")
+    return (F.when(text.isNull() | (text == "null"), F.lit("null"))
+            .when(g["type"] == "GeometryCollection", F.concat(F.lit('{"type":"GeometryCollection","geometries":['), members, F.lit("]}")))
+            .otherwise(plain(text)))
+
+
 def parts_geojson(parts) -> Column:
     """GeoJSON text of ``parts``: a LineString for one path, else a MultiLineString."""
     nested = F.transform(_col(parts), lambda p: F.transform(p, lambda v: F.array(v["x"], v["y"])))

@@ -2,7 +2,8 @@
 
 Extract files hold one feature per line, so they are read as text, line by
 line and in parallel (a gzip file is one task).  A pretty-printed document has
-no lines to split at; it is parsed by one task per file.
+no lines to split at; it is parsed by one task per file.  Each file of a folder
+has its own layout.
 """
 
 from __future__ import annotations
@@ -15,52 +16,60 @@ from roadloom.functions.text import clean_key
 
 _FEATURE = ("type string, id string, properties string, geometry string, "
             "coordinates string, geometries string, features array<string>")
+_FEATURE_FIELDS = _FEATURE.replace(" string", ":string").replace(" array", ":array")
+#: Lines around the features, and lines of whole objects, the last perhaps with the brackets that close the collection.
+_BRACKETS = (r'^(?:\{\s*"type"\s*:\s*"FeatureCollection"\s*,(?:[^\[\]]*,)?\s*"features"\s*:\s*\[|\]\s*\}?|\})$')
+_OBJECTS = r"(?s)^\{.*\}$"
 
 
 def read_lines(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
     """Text rows ``value`` ready for ``parse_features``.
 
-    ``layout``: ``lines`` (one feature per line), ``document`` (one JSON value
-    over several lines) or ``auto``, which looks at the first lines.
+    ``layout``: ``lines`` (features in lines), ``document`` (one JSON value over several lines) or ``auto``, which looks
+    at every line and takes a file as a document when one of its lines is neither whole features nor a bracket.
     """
-    if layout == "auto":
-        probe = [r["value"] for r in spark.read.text(path).limit(2).collect()]
-        layout = "lines" if _line_based(probe) else "document"
     if layout == "document":
         return spark.read.text(path, wholetext=True)
-    return spark.read.text(path)
+    lines = spark.read.text(path)
+    if layout == "lines":
+        return lines
+    file, text = F.col("_metadata.file_path"), _stripped("value")
+    part = (text != "") & ~text.rlike(_BRACKETS) & (~text.rlike(_OBJECTS) | F.try_parse_json(text).isNull())
+    documents = [r["file"] for r in lines.where(part).select(file.alias("file")).distinct().collect()]
+    if not documents:
+        return lines
+    whole = spark.read.text(path, wholetext=True).where(file.isin(documents)).select("value")
+    return lines.where(~file.isin(documents)).select("value").unionByName(whole)
 
 
-def _line_based(lines: list[str]) -> bool:
-    import json
-
-    for line in lines:
-        text = line.removeprefix("﻿").strip().lstrip(",").strip()
-        if not text or text.replace(" ", "").endswith('"features":['):
-            continue
-        try:
-            return isinstance(json.loads(text), dict)
-        except ValueError:
-            return False
-    return bool(lines)
+def _stripped(column: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.col(column), "^[\ufeff\\s,]+", ""), r"[,\s]+$", "")
 
 
 def parse_features(lines: DataFrame, column: str = "value") -> DataFrame:
     """feature_id, properties map<string,string>, geometry text.
 
-    Accepts features, collections of features and bare geometries; lines that
-    are none of them (the brackets around the features) give no row.  Nested
-    property values stay JSON text.  A feature without an id gets a stable hash
-    of its text, since positions have no meaning in a split read.
+    Accepts features, collections of features and bare geometries, several in one text if commas are between them; the
+    brackets around the features give no row, anything else is an error.  Nested property values stay JSON text.  A
+    feature without an id gets a stable hash of its text, since positions have no meaning in a split read.
     """
-    text = F.regexp_replace(F.regexp_replace(F.col(column), "^[﻿\\s,]+", ""), r"[,\s]+$", "")
+    text = _stripped(column)
     parse = lambda t: F.struct(t.alias("_text"), F.from_json(t, _FEATURE).alias("_f"))
-    top = lines.select(text.alias("_text")).select("_text", F.from_json("_text", _FEATURE).alias("_f"))
+    broken = lambda t: F.raise_error(F.concat(F.lit("not GeoJSON: "), F.substring(F.coalesce(t, F.lit("null")), 1, 200)))
+    # Within brackets, what follows the value is not passed over.
+    top = lines.select(text.alias("_text")).where("_text <> ''").where(~F.col("_text").rlike(_BRACKETS)).select(
+        "_text", F.from_json(F.concat(F.lit("["), "_text", F.lit("]")), f"array<struct<{_FEATURE_FIELDS}>>").alias("_all"))
+    known = F.col("_text").rlike(_OBJECTS) & (F.size("_all") > 0)
+    one = F.when(F.size("_all") == 1, F.array(F.struct("_text", F.element_at("_all", 1).alias("_f")))).otherwise(
+        F.transform("_all", lambda f: F.struct(F.to_json(f).alias("_text"), f.alias("_f"))))
+    top = top.select(F.inline(F.when(known, one).otherwise(broken(F.col("_text")))))
     wrapped = F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("_text"), F.lit("}"))
     kind = F.col("_f.type")
+    member = lambda t: F.when(F.from_json(t, _FEATURE)["type"] == "Feature", parse(t)).otherwise(broken(t))
     features = (F.when(kind == "Feature", F.array(F.struct("_text", "_f")))
-                .when(kind == "FeatureCollection", F.transform("_f.features", parse))
-                .when(F.col("_f.coordinates").isNotNull() | F.col("_f.geometries").isNotNull(), F.array(parse(wrapped))))
+                .when((kind == "FeatureCollection") & F.col("_f.features").isNotNull(), F.transform("_f.features", member))
+                .when(F.col("_f.coordinates").isNotNull() | F.col("_f.geometries").isNotNull(), F.array(parse(wrapped)))
+                .otherwise(broken(F.col("_text"))))
     rows = top.select(F.inline(features))
     return rows.select(
         F.coalesce(F.col("_f.id"), F.xxhash64("_text").cast("string")).alias("feature_id"),
@@ -157,12 +166,11 @@ def _quoted(c: Column) -> Column:
     return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
-def feature_line(fid: Column, properties: Column, geometry_type: Column, coordinates_json: Column) -> Column:
+def feature_line(fid: Column, properties: Column, geometry_json: Column) -> Column:
     """One compact GeoJSON feature; ``properties`` is a struct, its null fields
     are left out."""
     return F.concat(F.lit('{"type":"Feature","id":'), _quoted(fid), F.lit(',"properties":'), F.to_json(properties),
-                    F.lit(',"geometry":{"type":"'), geometry_type, F.lit('","coordinates":'), coordinates_json,
-                    F.lit("}}"))
+                    F.lit(',"geometry":'), geometry_json, F.lit("}"))
 
 
 def road_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -173,8 +181,7 @@ def road_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
         "class", "state", F.round(F.col("length_km").cast("double"), 4).alias("length_km"),
         F.nullif(F.col("name"), F.lit("")).alias("name"),
         F.when(~F.coalesce(F.col("is_named"), F.lit(False)), F.lit(False)).alias("is_named"))
-    return df.select(feature_line(F.col("id"), props, geo.parse_geometry(geometry)["type"],
-                                  geo.rounded_coordinates_json(geometry)).alias("value"))
+    return df.select(feature_line(F.col("id"), props, geo.rounded_geometry_json(geometry)).alias("value"))
 
 
 def place_lines(df: DataFrame) -> DataFrame:
@@ -183,7 +190,9 @@ def place_lines(df: DataFrame) -> DataFrame:
     props = F.struct("category", "basic_category", "name", "locality", "operating_status",
                      F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
     at = F.to_json(geo.round_coordinates(F.array(F.col("lon").cast("double"), F.col("lat").cast("double")), 1))
-    return df.select(feature_line(F.col("id"), props, F.lit("Point"), at).alias("value"))
+    point = F.when(F.col("lon").isNull() | F.col("lat").isNull(), F.lit("null")).otherwise(
+        F.concat(F.lit('{"type":"Point","coordinates":'), at, F.lit("}")))
+    return df.select(feature_line(F.col("id"), props, point).alias("value"))
 
 
 def write_features(lines: DataFrame, path: str) -> int:
