@@ -81,16 +81,21 @@ def cell_regions(points: DataFrame, edges: DataFrame, region: str = "state") ->
 def attach_regions(features: DataFrame, edges: DataFrame, region: str = "state",
                    keep_outside: bool = True) -> DataFrame:
     """Region per feature, through its cell.  A cell may hold any share of the
-    features, hence the skew-safe join."""
+    features, hence the skew-safe join.  Features without a cell are outside, as in
+    ``release_stats``, and do not go through the join, where they would meet in one task."""
     # One row per cell, used for the lookup and to find the hot cells.  The filter keeps
     # the count in the lookup's plan, so that both share one shuffle and the features are
-    # read only twice.
+    # read only twice, and once more for those without a cell.
     counts = (features.where(F.col("cx").isNotNull() & F.col("cy").isNotNull())
               .groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
     lookup = with_regions(counts.where("n > 0").select("cx", "cy"), edges, region)
     if not keep_outside:
         lookup = lookup.where(F.col(region).isNotNull())
-    return skew_join(features, lookup, ["cx", "cy"], hot=hot_among(counts, ["cx", "cy"]))
+    found = skew_join(features, lookup, ["cx", "cy"], hot=hot_among(counts, ["cx", "cy"]))
+    if not keep_outside:
+        return found
+    nowhere = features.where(F.col("cx").isNull() | F.col("cy").isNull())
+    return found.unionByName(nowhere.withColumn(region, F.lit(None).cast(lookup.schema[region].dataType)))
 
 
 def region_or_outside(region: str = "state") -> Column:

@@ -95,6 +95,13 @@ def test_shared_border_belongs_to_one_side(spark, squares):
     assert {(r["cx"], r["cy"]): r["state"] for r in got.collect()} == {(100, 50): "A", (0, 0): "B", (200, 50): None, (50, 100): None}
 
 
+def test_features_without_a_cell_are_outside(spark, squares):
+    rows = spark.createDataFrame([(1, 50, 50), (2, None, 50), (3, 50, None), (4, None, None), (5, 900, 50)], "id int, cx bigint, cy bigint")
+    got = cells.attach_regions(rows, squares).select("id", cells.region_or_outside().alias("state")).collect()
+    assert {r["id"]: r["state"] for r in got} == {1: "B", 2: "outside DE", 3: "outside DE", 4: "outside DE", 5: "outside DE"}
+    assert [r["id"] for r in cells.attach_regions(rows, squares, keep_outside=False).collect()] == [1]
+
+
 def test_features_keep_their_copies_through_the_lookup(spark, squares):
     rows = spark.createDataFrame([(i, 50, 50) for i in range(200)] + [(999, 150, 50), (1000, 900, 50)], "id int, cx bigint, cy bigint")
     assert cells.attach_regions(rows, squares).groupBy("state").count().collect().__len__() == 3
