@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from roadloom.llm import binary, bpe, chat, dedup, hamming, jaccard, langid, lengths, maintext, mixing
-from roadloom.llm.store import shared_folder, table
+from roadloom.llm import binary, bpe, chat, dedup, hamming, jaccard, langid, lengths, maintext, mixing, sharding
+from roadloom.llm.store import shared_folder, stored, table
 
 WORD_BPE, BYTE_BPE, END = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
@@ -71,7 +71,19 @@ def op10_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_ngram_jaccard, op3_language_id, op4_exact_dedup, op5_bpe, op6_chat_format, op7_token_counts, op8_binary_tokens, op9_main_text, op10_source_mix)}
+def op12_virtual_slots(spark, sf_dir):
+    """8 shards under the law `bytes`: the first map deals the slots in turn, the second is edited by the bytes in each slot."""
+    import uuid
+
+    found = stored(sharding.records(table(spark, sf_dir, "documents")), "records")
+    maps = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    sharding.save(sharding.first_map(spark, 8), maps)
+    sharding.save(sharding.rebalanced(sharding.load(spark, maps), sharding.loads(found), 8), maps)
+    rows = sharding.assigned(found, sharding.load(spark, maps))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_ngram_jaccard, op3_language_id, op4_exact_dedup, op5_bpe, op6_chat_format, op7_token_counts, op8_binary_tokens, op9_main_text, op10_source_mix, op12_virtual_slots)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 ORACLE = {
