@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from roadloom.llm import binary, bpe, chat, dedup, hamming, jaccard, langid, lengths, maintext, mixing, sharding
+from roadloom.llm import binary, bpe, chat, dedup, hamming, jaccard, langid, lengths, lexical, maintext, mixing, sharding
 from roadloom.llm.store import shared_folder, stored, table
 
 WORD_BPE, BYTE_BPE, END = "word_bpe_49k.json", "byte_bpe_50k.json", 2
@@ -83,7 +83,11 @@ def op12_virtual_slots(spark, sf_dir):
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_ngram_jaccard, op3_language_id, op4_exact_dedup, op5_bpe, op6_chat_format, op7_token_counts, op8_binary_tokens, op9_main_text, op10_source_mix, op12_virtual_slots)}
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_ngram_jaccard, op3_language_id, op4_exact_dedup, op5_bpe, op6_chat_format, op7_token_counts, op8_binary_tokens, op9_main_text, op10_source_mix, op12_virtual_slots, op13_lexical_search)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 ORACLE = {
@@ -120,4 +124,16 @@ ORACLE = {
                         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum(chars)::BIGINT AS formatted_chars
                  FROM sized GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM made""",
+    "op13_lexical_search": r"""
+        WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small),
+        d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents, low),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark), low),
+        asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+        whole AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+        cells AS (SELECT row, doc_id, len(terms) AS n, term, count(*) AS tf FROM (SELECT row, doc_id, terms, unnest(terms) AS term FROM d) GROUP BY row, doc_id, terms, term),
+        known AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM cells, whole GROUP BY term, n_docs),
+        gains AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS gain FROM cells JOIN known USING (term), whole),
+        scores AS (SELECT item_id, row, doc_id, sum(times * gain)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY item_id, row, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }
