@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from roadloom.llm import binary, bpe, chat, dedup, hamming, jaccard, langid, lengths, lexical, maintext, mixing, sharding
+from roadloom.llm import alignment, binary, bpe, chat, dedup, hamming, jaccard, langid, lengths, lexical, maintext, mixing, sharding
 from roadloom.llm.store import shared_folder, stored, table
 
-WORD_BPE, BYTE_BPE, END = "word_bpe_49k.json", "byte_bpe_50k.json", 2
+WORD_BPE, BYTE_BPE, PIECE_BPE, END = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model", 2
 
 
 def op1_hamming_topk(spark, sf_dir):
@@ -71,6 +71,10 @@ def op10_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 def op12_virtual_slots(spark, sf_dir):
     """8 shards under the law `bytes`: the first map deals the slots in turn, the second is edited by the bytes in each slot."""
     import uuid
@@ -87,7 +91,7 @@ def op13_lexical_search(spark, sf_dir):
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_ngram_jaccard, op3_language_id, op4_exact_dedup, op5_bpe, op6_chat_format, op7_token_counts, op8_binary_tokens, op9_main_text, op10_source_mix, op12_virtual_slots, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_ngram_jaccard, op3_language_id, op4_exact_dedup, op5_bpe, op6_chat_format, op7_token_counts, op8_binary_tokens, op9_main_text, op10_source_mix, op11_alignment, op12_virtual_slots, op13_lexical_search)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 ORACLE = {
