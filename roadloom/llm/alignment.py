@@ -7,7 +7,6 @@ import heapq
 import math
 import re
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -22,14 +21,16 @@ from pyspark.sql import functions as F
 from roadloom.llm.encoder import CHAIN, MEMORY, gather
 from roadloom.llm.store import give_back, stored, tidied
 
-#: Bytes of text in a block of documents; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+#: Characters of text that close a block of documents.
+BLOCK_CHARS = 8 << 20
 #: Radix partitions of the pair records, by the id of the first vocabulary.
 BUCKETS = 32
 #: Runs that one task merges, on average; more runs are merged in further levels.
 FAN = 16
 #: Pairs in a compressed frame of a run; of each run that is merged, one frame is open.
 FRAME = 1 << 15
+#: Pieces learned at a time, and links of a group from which equal ones are counted before they are written out.
+LEARN, LARGE = 20_000, 1 << 12
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -77,18 +78,43 @@ def cut(text: str) -> list[str]:
     return words if " ".join(text.split()) == text else _GAP.split(text)
 
 
-def groups_of(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Ids of both sides between the offsets at which both have the end of a token."""
-    both = sorted(set(ends_a) & set(ends_b))
-    out, i, j = [], 0, 0
-    for end in both:
-        p, q = i, j
-        while p < len(ends_a) and ends_a[p] <= end:
-            p += 1
-        while q < len(ends_b) and ends_b[q] <= end:
-            q += 1
-        out.append((ids_a[i:p], ids_b[j:q]))
-        i, j = p, q
+def linked(groups: tuple[np.ndarray, np.ndarray], ids: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, pair, times): every token of the first side with every one of the second that has the same group number; groups
+    ascend from 0 on both sides, and each has tokens of both.  Pairs may repeat, but in a large group the equal ones come as one."""
+    (group_a, group_b), (ids_a, ids_b) = groups, ids
+    n = int(group_a[-1]) + 1 if len(group_a) else 0
+    n_a, n_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    large = n_a * n_b > LARGE
+    here = ~large[group_a]
+    repeat = n_b[group_a[here]]
+    within = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+    group = np.repeat(group_a[here], repeat)
+    pair = np.repeat(ids_a[here] << 32, repeat) | ids_b[first_b[group] + within]
+    many = [(group, pair, np.ones(len(pair), np.int64))]
+    for g in np.flatnonzero(large).tolist():
+        x, k = np.unique(ids_a[first_a[g] : first_a[g] + n_a[g]], return_counts=True)
+        y, m = np.unique(ids_b[first_b[g] : first_b[g] + n_b[g]], return_counts=True)
+        many.append((np.full(len(x) * len(y), g), ((x << 32)[:, None] | y).ravel(), (k[:, None] * m).ravel()))
+    group, pair, times = (np.concatenate(x) for x in zip(*many, strict=True))
+    order = np.argsort(group, kind="stable")
+    return group[order], pair[order], times[order]
+
+
+def written(groups: tuple[np.ndarray, np.ndarray], ids: tuple[np.ndarray, np.ndarray], cuts: np.ndarray) -> list[str]:
+    """The groups as text, ``a1,a2|b1;a3|b2,b3``, cut before the group numbers ``cuts``."""
+    group, side = np.concatenate(groups), np.repeat([0, 1], [len(g) for g in groups])
+    order = np.argsort(2 * group + side, kind="stable")
+    own = (2 * group + side)[order]
+    mark = np.where(np.diff(own, append=-1) == 0, 0, 1 + own % 2)
+    parts = [f"{i}{m}" for i, m in zip(np.concatenate(ids)[order].tolist(), map(",|;".__getitem__, mark.tolist()), strict=True)]
+    at = np.searchsorted(own, 2 * cuts).tolist()
+    return ["".join(parts[lo:hi])[:-1] for lo, hi in zip(at, [*at[1:], len(parts)], strict=True)]
+
+
+def _widths(spelled: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(max(spelled) + 1, np.int64)
+    out[list(spelled)] = [len(x) for x in spelled.values()]
     return out
 
 
@@ -103,6 +129,7 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         (self.a, self.bytes_a), (self.b, self.bytes_b) = first_side(path_a), second_side(path_b)
+        self.widths = tuple(_widths(x) for x in (self.bytes_a, self.bytes_b))
         self.forget()
 
     def forget(self) -> None:
@@ -112,61 +139,58 @@ class Aligner:
         self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _ids(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both sides for each piece; pieces without white space at their ends are encoded many to a text, and one by one
-        where the bytes of the ids don't end with them."""
-        alone = [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
-        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        chains = [plain[i : i + CHAIN] for i in range(0, len(plain), CHAIN)]
-        out = {}
-        for chain, ids_a, ids_b in zip(chains, *self._encoded([" ".join(c) for c in chains]), strict=True):
-            ends = np.cumsum([len(p.encode()) + 1 for p in chain])
-            cut_a, cut_b = _cuts(ids_a, self.bytes_a, ends), _cuts(ids_b, self.bytes_b, ends)
-            if cut_a is None or cut_b is None:
-                alone += chain
-                continue
-            out |= {p: (ids_a[i:j], ids_b[k:m]) for p, i, j, k, m in zip(chain, [0, *cut_a], cut_a, [0, *cut_b], cut_b, strict=False)}
-        out |= {p: x for p, *x in zip(alone, *self._encoded(alone), strict=True)}
-        return (out[p] for p in pieces)
-
-    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def _texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides for each text with a space before it; None where they don't spell it."""
         found = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in found], self.b.encode(texts, num_threads=1) if texts else []
+        for text, e, ids_b in zip(texts, found, self.b.encode(texts, num_threads=1) if texts else [], strict=True):
+            raw, ids_a = b" " + text.encode(), e.ids
+            if b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b)):
+                yield np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+            else:
+                yield None
 
     def learn(self) -> None:
-        new = list(islice(self.pieces, len(self.written), None))
-        tokens, pair, times, sizes = [], [], [], []
-        for piece, (ids_a, ids_b) in zip(new, self._ids(new), strict=True):
-            raw_a, raw_b, text = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b], b" " + piece.encode()
-            if b"".join(raw_a) != text or b"".join(raw_b) != text:
-                tokens.append((0, 0, 0, 0))
-                sizes.append(0)
-                self.written.append("")
-                continue
-            if len(ids_a) == len(ids_b) == 1:
-                groups = [(ids_a, ids_b)]
-            else:
-                groups = groups_of(ids_a, ids_b, np.cumsum([len(x) for x in raw_a]).tolist(), np.cumsum([len(x) for x in raw_b]).tolist())
-            links = Counter()
-            for a, b in groups:
-                if len(a) == len(b) == 1:
-                    links[a[0], b[0]] += 1
+        """Tokens, groups and pairs of the pieces that came since the last time.  Pieces without white space at their ends are
+        encoded many to a text; where that can't be cut into pieces again, one by one."""
+        while new := list(islice(self.pieces, len(self.written), len(self.written) + LEARN)):
+            sizes = np.array([len(p.encode()) + 1 for p in new], np.int64)
+            plain = [i for i, p in enumerate(new) if not p[0].isspace() and not p[-1].isspace()]
+            alone = sorted(set(range(len(new))) - set(plain))
+            done = []  # (pieces, their ids)
+            chains = [plain[i : i + CHAIN] for i in range(0, len(plain), CHAIN)]
+            for chain, got in zip(chains, self._texts([" ".join([new[i] for i in c]) for c in chains]), strict=True):
+                ends = np.cumsum(sizes[chain])
+                if got and all(np.isin(ends, np.cumsum(w[x])).all() for w, x in zip(self.widths, got, strict=True)):
+                    done.append((chain, got))
                 else:
-                    many = Counter(b)
-                    for x, n in Counter(a).items():
-                        for y, m in many.items():
-                            links[x, y] += n * m
-            tokens.append((len(ids_a), len(ids_b), len(groups), 1))
-            sizes.append(len(links))
-            pair += [self.pairs[a << 32 | b] for a, b in links]
-            times += links.values()
-            self.written.append(";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups]))
-        if new:
-            sizes = np.array(sizes, np.int64)
-            self.starts = np.concatenate([self.starts, len(self.pair) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.pair, self.times = np.concatenate([self.pair, np.array(pair, np.int64)]), np.concatenate([self.times, np.array(times, np.int64)])
-            self.tokens = np.concatenate([self.tokens, np.array(tokens, np.int64)])
+                    alone += chain
+            done += [([i], got) for i, got in zip(alone, self._texts([new[i] for i in alone]), strict=True) if got]
+            self._add(new, sizes, done)
+
+    def _add(self, new: list[str], sizes: np.ndarray, done: list) -> None:
+        """Line up the tokens of all pieces in ``done``; the others have none."""
+        tokens, count, texts = np.zeros((len(new), 4), np.int64), np.zeros(len(new), np.int64), [""] * len(new)
+        order = np.array([i for chain, _ in done for i in chain], np.int64)
+        pair = times = np.zeros(0, np.int64)
+        if len(order):
+            ids = tuple(np.concatenate([got[side] for _, got in done]) for side in (0, 1))
+            ends = tuple(np.cumsum(w[x]) for w, x in zip(self.widths, ids, strict=True))
+            both = np.intersect1d(*ends, assume_unique=True)
+            groups = tuple(np.searchsorted(both, e) for e in ends)
+            piece = np.searchsorted(np.cumsum(sizes[order]), both)  # of each group
+            tokens[order] = np.stack([*(np.bincount(piece[g], minlength=len(order)) for g in groups), np.bincount(piece), np.ones(len(order), np.int64)], axis=1)
+            for i, text in zip(order.tolist(), written(groups, ids, np.searchsorted(piece, np.arange(len(order)))), strict=True):
+                texts[i] = text
+            group, pair, times = linked(groups, ids)
+            count[order] = np.bincount(piece[group], minlength=len(order))
+        distinct, inverse = np.unique(pair, return_inverse=True)
+        numbers = np.fromiter(map(self.pairs.__getitem__, distinct.tolist()), np.int64, len(distinct))
+        starts = np.zeros(len(new), np.int64)
+        starts[order] = len(self.pair) + np.cumsum(count[order]) - count[order]
+        self.pair, self.times = np.concatenate([self.pair, numbers[inverse]]), np.concatenate([self.times, times])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, count])
+        self.tokens = np.concatenate([self.tokens, tokens])
+        self.written += texts
 
     def places(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the numbers of its pieces, all of them learned."""
@@ -178,15 +202,6 @@ class Aligner:
         return out
 
 
-def _cuts(ids: list[int], spelled: dict[int, bytes], ends: np.ndarray) -> list[int] | None:
-    """How many ids lie before each of the byte offsets ``ends``; None if one lies inside an id."""
-    at = np.cumsum([len(spelled[i]) for i in ids])
-    cuts = np.searchsorted(at, ends)
-    if not len(at) or at[-1] != ends[-1] or (at[cuts] != ends).any():
-        return None
-    return (cuts + 1).tolist()
-
-
 @lru_cache(maxsize=1)
 def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
@@ -275,65 +290,76 @@ def answered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[n
 # ------------------------------------------------------------------------------------------------ Spark
 
 
-BLOCK = "block long, doc_ids array<long>, numbers binary, sha256 array<string>, groups array<string>, sizes binary, links binary, runs array<struct<bucket:int,run:binary>>"
-ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("numbers", pa.binary()), ("sha256", pa.list_(pa.string())), ("groups", pa.list_(pa.string())), ("sizes", pa.binary()), ("links", pa.binary()), ("runs", pa.list_(pa.struct([("bucket", pa.int32()), ("run", pa.binary())])))])
+BLOCK = "block long, bucket int, run binary, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, links binary"
+ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("run", pa.binary()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string()), ("links", pa.binary())])
 RUN = "bucket int, node long, child long, run binary"
 ROW = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
 
 
+def _links(place: np.ndarray, times: np.ndarray, tool: zstandard.ZstdCompressor) -> bytes:
+    """Ascending places and how often each is linked; small numbers as planes of bytes."""
+    both = np.concatenate([np.diff(place, prepend=0), times]).astype("<i8")
+    return tool.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unlinked(raw: bytes, tool: zstandard.ZstdDecompressor) -> np.ndarray:
+    both = np.ascontiguousarray(np.frombuffer(tool.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").reshape(2, -1)
+    return np.stack([np.cumsum(both[0]), both[1]])
+
+
 def _blocks(path_a: str, path_b: str, with_groups: bool):
-    """Documents in blocks: numbers of each, its distinct pairs as places in the block's ascending list of pairs, and that list with
-    the number of documents, cut into a run for each bucket."""
+    """Documents in blocks.  A row for each document: its numbers and its distinct pairs, as places in the block's ascending list of
+    pairs.  A row for each bucket: the run of that list, with the number of documents of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, texts, size, tool = TaskContext.get().partitionId() << 32, [], [], 0, aligner(path_a, path_b)
+        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        tool, zstd = aligner(path_a, path_b), zstandard.ZstdCompressor(level=1)
 
-        def emit():
-            numbers, shas, groups, pair, times, doc = [], [], [], [], [], []
-            for at, p in enumerate(tool.places(texts)):
-                tokens = tool.tokens[p]
-                if not len(p) or not tokens[:, 3].all():
-                    numbers.append((0, 0, 0, 0))
-                    shas.append("")
-                    groups.append("")
-                    continue
-                own, n = gather(tool.pair, tool.starts, tool.sizes, p), gather(tool.times, tool.starts, tool.sizes, p)
-                numbers.append((*tokens[:, :3].sum(0).tolist(), int(n.sum())))
-                written = ";".join([tool.written[i] for i in p.tolist()])
-                shas.append(hashlib.sha256(written.encode()).hexdigest())
-                groups.append(written)
-                pair.append(own)
-                times.append(n)
-                doc.append(np.full(len(own), at, np.int64))
-            pair, times, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pair, times, doc))
+        def emit() -> Iterator[pa.RecordBatch]:
+            places = tool.places(texts)
             known = np.fromiter(tool.pairs, np.int64, len(tool.pairs))
-            used = np.unique(pair)
-            used = used[np.argsort(known[used], kind="stable")]
-            rank = np.zeros(len(known), np.int64)
+            used = np.zeros(len(known), bool)
+            for p in places:
+                used[gather(tool.pair, tool.starts, tool.sizes, p)] = True
+            used = np.flatnonzero(used)
+            used = used[np.argsort(known[used])]
+            keys, counts, rank = known[used], np.zeros(len(used), np.int64), np.zeros(len(known), np.int64)
             rank[used] = np.arange(len(used))
-            cell = doc * max(1, len(used)) + rank[pair]
-            order = np.argsort(cell, kind="stable")
-            cell, first = np.unique(cell[order], return_index=True)
-            times = np.add.reduceat(times[order], first) if len(first) else times
-            doc, place = cell // max(1, len(used)), cell % max(1, len(used))
-            keys, counts = known[used], np.bincount(place, minlength=len(used))
+            rows = []
+            for i, p in zip(ids, places, strict=True):
+                row = {"block": block, "doc_id": i, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "groups": "" if with_groups else None}
+                tokens = tool.tokens[p]
+                if len(p) and tokens[:, 3].all():
+                    own, times = rank[gather(tool.pair, tool.starts, tool.sizes, p)], gather(tool.times, tool.starts, tool.sizes, p)
+                    order = np.argsort(own, kind="stable")
+                    own, first = np.unique(own[order], return_index=True)
+                    times = np.add.reduceat(times[order], first)
+                    counts[own] += 1
+                    text = ";".join([tool.written[x] for x in p.tolist()])
+                    n_a, n_b, n_groups = tokens[:, :3].sum(0).tolist()
+                    row |= {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": int(times.sum()), "groups_sha256": hashlib.sha256(text.encode()).hexdigest(), "links": _links(own, times, zstd)}
+                    if with_groups:
+                        row["groups"] = text
+                rows.append(row)
+                if len(rows) == 512:
+                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                    rows = []
+            keys, counts = keys[counts > 0], counts[counts > 0]
             home = (keys >> 32) % BUCKETS
-            runs = [{"bucket": int(b), "run": packed([(keys[home == b], counts[home == b])])} for b in np.unique(home)]
-            links = zstandard.compress(np.stack([place, times]).astype("<i4" if not len(times) or times.max() < 1 << 31 else "<i8").tobytes(), 1)
-            row = {"block": block, "doc_ids": ids, "numbers": np.array(numbers, "<i8").tobytes(), "sha256": shas, "groups": groups if with_groups else None, "sizes": np.bincount(doc, minlength=len(ids)).astype("<i8").tobytes(), "links": links, "runs": runs}
-            return pa.RecordBatch.from_pylist([row], schema=ARROW)
+            rows += [{"block": block, "bucket": int(b), "run": packed([(keys[home == b], counts[home == b])])} for b in np.unique(home)]
+            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(text)
                 size += len(text or "") + 64
-                if size >= BLOCK_BYTES:
-                    yield emit()
+                if size >= BLOCK_CHARS:
+                    yield from emit()
                     block, ids, texts, size = block + 1, [], [], 0
                     give_back()
         if ids:
-            yield emit()
+            yield from emit()
             ids, texts = [], []
             give_back()
 
@@ -363,35 +389,25 @@ def _down(answer: pa.Table, children: pa.Table) -> pa.Table:
     return pa.table({"bucket": children.column("bucket").cast(pa.int32()), "node": children.column("child"), "child": children.column("child"), "run": pa.array(runs, pa.binary())}) if n else children
 
 
-def _rows(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+def _rows(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Documents of one block: the counts of their pairs, summed over the links."""
-    (block,) = blocks.to_pylist()
-    runs = [frame for r in sorted(answers.to_pylist(), key=lambda r: r["bucket"]) for frame in frames(r["run"])]
-    keys = np.concatenate([k for k, _ in runs]) if runs else np.zeros(0, np.int64)
-    numbers = np.concatenate([n for _, n in runs]) if runs else keys
-    numbers = numbers[np.argsort(keys, kind="stable")]
-    raw = zstandard.decompress(block["links"])
-    sizes = np.frombuffer(block["sizes"], "<i8")
-    total = int(sizes.sum())
-    place, times = np.frombuffer(raw, f"<i{len(raw) // (2 * total)}" if total else "<i4").reshape(2, -1).astype(np.int64)
-    ends = np.append(0, np.cumsum(sizes))
-
-    def each(values: np.ndarray) -> np.ndarray:
-        sums = np.append(0, np.cumsum(values))
-        return sums[ends[1:]] - sums[ends[:-1]]
-
-    own = numbers[place]
-    n = np.frombuffer(block["numbers"], "<i8").reshape(-1, 4)
-    columns = [*n.T, each(times * (own & 1)), each(times * (own >> 1))]
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    out = {"doc_id": pa.array(block["doc_ids"], pa.int64())} | {k: pa.array(v, pa.int64()) for k, v in zip(names, columns, strict=True)}
-    return pa.table(out | {"groups_sha256": pa.array(block["sha256"], pa.string()), "groups": pa.array(block["groups"] or [None] * len(n), pa.string())})
+    runs = [frame for r in answers.column("run").to_pylist() for frame in frames(r)]
+    keys, numbers = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 2
+    numbers = numbers[np.argsort(keys)]
+    best, total, tool = [], [], zstandard.ZstdDecompressor()
+    for raw in docs.column("links").to_pylist():
+        place, times = _unlinked(raw, tool) if raw else np.zeros((2, 0), np.int64)
+        own = numbers[place]
+        best.append(int(times @ (own & 1)))
+        total.append(int(times @ (own >> 1)))
+    out = {c: docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
+    return pa.table(out | {"n_best": pa.array(best, pa.int64()), "count_sum": pa.array(total, pa.int64()), "groups_sha256": docs.column("groups_sha256"), "groups": docs.column("groups")})
 
 
 def _tree(blocks: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """The levels of runs, from the blocks' own up to one run for each bucket, and that run with its answers."""
-    runs = blocks.select("block", F.explode("runs").alias("r")).select("r.bucket", F.col("block").alias("child"), "r.run")
-    levels, width = [], blocks.count()
+    runs = blocks.where("bucket IS NOT NULL").select("bucket", F.col("block").alias("child"), "run")
+    levels, width = [], runs.agg(F.count_distinct("child")).first()[0]
     while True:
         width = math.ceil(width / FAN)
         # blocks are dealt by a hash, nodes by their number
@@ -426,12 +442,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col="doc_id", text_col="
 
     Null and empty texts, and those whose tokens do not spell space and text again (U+2581 in the text), have no tokens: zeros
     and ''.  Rows that share an id count on their own; other columns are not looked at; an empty table gives an empty one.
-    A very long text is a block of its own; so is its work.
+    A very long text ends its block; its work is one task's.
     """
     blocks, levels, answers = _counted(docs, path_a, path_b, id_col, text_col, with_groups)
     for level in reversed(levels):
         answers = stored(answers.groupBy("bucket", "node").cogroup(level.groupBy("bucket", "node")).applyInArrow(lambda a, c: tidied(_down, a, c), RUN), "answers")
-    out = blocks.drop("runs").groupBy("block").cogroup(answers.select("bucket", F.col("node").alias("block"), "run").groupBy("block")).applyInArrow(lambda b, a: tidied(_rows, b, a), ROW)
+    out = blocks.where("bucket IS NULL").drop("bucket", "run").groupBy("block").cogroup(answers.select("bucket", F.col("node").alias("block"), "run").groupBy("block")).applyInArrow(lambda b, a: tidied(_rows, b, a), ROW)
     return out if with_groups else out.drop("groups")
 
 
