@@ -319,24 +319,24 @@ def _blocks(path_a: str, path_b: str, with_groups: bool):
             places = tool.places(texts)
             known = np.fromiter(tool.pairs, np.int64, len(tool.pairs))
             used = np.zeros(len(known), bool)
-            for p in places:
+            whole = [len(p) > 0 and bool(tool.tokens[p, 3].all()) for p in places]  # else the text has no tokens at all
+            for p in (p for p, good in zip(places, whole, strict=True) if good):
                 used[gather(tool.pair, tool.starts, tool.sizes, p)] = True
             used = np.flatnonzero(used)
             used = used[np.argsort(known[used])]
             keys, counts, rank = known[used], np.zeros(len(used), np.int64), np.zeros(len(known), np.int64)
             rank[used] = np.arange(len(used))
             rows = []
-            for i, p in zip(ids, places, strict=True):
+            for i, p, good in zip(ids, places, whole, strict=True):
                 row = {"block": block, "doc_id": i, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "groups": "" if with_groups else None}
-                tokens = tool.tokens[p]
-                if len(p) and tokens[:, 3].all():
+                if good:
                     own, times = rank[gather(tool.pair, tool.starts, tool.sizes, p)], gather(tool.times, tool.starts, tool.sizes, p)
                     order = np.argsort(own, kind="stable")
                     own, first = np.unique(own[order], return_index=True)
                     times = np.add.reduceat(times[order], first)
                     counts[own] += 1
                     text = ";".join([tool.written[x] for x in p.tolist()])
-                    n_a, n_b, n_groups = tokens[:, :3].sum(0).tolist()
+                    n_a, n_b, n_groups = tool.tokens[p, :3].sum(0).tolist()
                     row |= {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": int(times.sum()), "groups_sha256": hashlib.sha256(text.encode()).hexdigest(), "links": _links(own, times, zstd)}
                     if with_groups:
                         row["groups"] = text
@@ -344,7 +344,6 @@ def _blocks(path_a: str, path_b: str, with_groups: bool):
                 if len(rows) == 512:
                     yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
                     rows = []
-            keys, counts = keys[counts > 0], counts[counts > 0]
             home = (keys >> 32) % BUCKETS
             rows += [{"block": block, "bucket": int(b), "run": packed([(keys[home == b], counts[home == b])])} for b in np.unique(home)]
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)

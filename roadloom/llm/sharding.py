@@ -47,9 +47,14 @@ def first_map(spark: SparkSession, shards: int) -> DataFrame:
 
 def _edited(slot_map: DataFrame, load: DataFrame, shards: int, takers: list[int]) -> DataFrame:
     """Every shard keeps its largest slots up to an equal share of the bytes; what is over goes, largest first, to the
-    emptiest of ``takers``.  The map has SLOTS rows, so its windows and its one array are bounded by that constant."""
+    emptiest of ``takers``.  Slots larger than a share fill a shard each, and the others share what is left.  The map has SLOTS rows,
+    so its windows and its one array are bounded by that constant."""
     rows = slot_map.join(load.select("virtual_slot", "bytes"), "virtual_slot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("long")))
-    share = F.sum("bytes").over(Window.partitionBy(F.lit(0))) / F.lit(shards)
+    by_size = Window.partitionBy(F.lit(0)).orderBy(F.desc("bytes"), "virtual_slot")
+    larger = F.row_number().over(by_size) - 1
+    left = F.sum("bytes").over(by_size.rowsBetween(Window.currentRow, Window.unboundedFollowing)) / F.when(larger < shards, F.lit(shards) - larger)
+    rows = rows.withColumn("left", left)
+    share = F.min(F.when(F.col("bytes") <= F.col("left"), F.col("left"))).over(Window.partitionBy(F.lit(0)))
     inside = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
     over = F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0)) > share
     rows = rows.withColumn("over", over & (F.row_number().over(inside) > 1))
