@@ -153,6 +153,12 @@ def ring_edges(df, rings, keep: list[str]):
 
 # ---------------------------------------------------------------- GeoJSON
 
+def computed(df, **columns: Column):
+    """``df`` with further columns, each worked out once per row.  They come out of a generator of one row, into which
+    Spark does not copy their text for every later use, as it does with a plain projection."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _vertices_in(text: Column) -> Column:
     """All (x, y) pairs of a coordinate text, at any nesting depth; further
     ordinates are ignored."""
@@ -190,14 +196,21 @@ def _members(g: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(deep, F.lit(1))), first, step, lambda state: state["done"])
 
 
-def _all_vertices(g: Column) -> Column:
-    members = F.flatten(F.transform(_members(g), lambda m: _vertices_in(F.coalesce(parse_geometry(m)["coordinates"], F.lit("")))))
+def _parsed_members(g: Column) -> Column:
+    """The plain geometries in a parsed collection, parsed; null for other types."""
+    return F.when(g["type"] == "GeometryCollection", F.transform(_members(g), lambda m: parse_geometry(m)))
+
+
+def _all_vertices(g: Column, inner: Column | None = None) -> Column:
+    inner = _parsed_members(g) if inner is None else inner
+    members = F.flatten(F.transform(inner, lambda m: _vertices_in(F.coalesce(m["coordinates"], F.lit("")))))
     return F.when(g["type"] == "GeometryCollection", members).otherwise(
         _vertices_in(F.coalesce(g["coordinates"], F.lit(""))))
 
 
-def _line_km(g: Column, vertices: Column | None = None) -> Column:
-    lengths = F.filter(F.transform(_members(g), lambda m: parts_km(_line_parts(parse_geometry(m)))), lambda km: km.isNotNull())
+def _line_km(g: Column, vertices: Column | None = None, inner: Column | None = None) -> Column:
+    inner = _parsed_members(g) if inner is None else inner
+    lengths = F.filter(F.transform(inner, lambda m: parts_km(_line_parts(m))), lambda km: km.isNotNull())
     total = F.when(F.size(lengths) > 0, F.aggregate(lengths, F.lit(0.0), lambda t, km: t + km))
     return F.when(g["type"] == "GeometryCollection", total).otherwise(parts_km(_line_parts(g, vertices)))
 
@@ -231,12 +244,12 @@ def geojson_km(geometry_json) -> Column:
 
 
 def with_geometry(df, geometry: str = "geometry"):
-    """Parse the geometry text once per row: adds ``_g``, ``_vertices`` and
-    ``_spot`` for ``geometry_columns``."""
+    """Parse the geometry text once per row: adds ``_g``, ``_vertices``, ``_spot`` and ``_km`` for ``geometry_columns``."""
+    g, vertices, inner = F.col("_g"), F.col("_vertices"), F.col("_inner")
     first = F.try_element_at("_vertices", F.lit(1))
-    return (df.withColumn("_g", parse_geometry(geometry))
-            .withColumn("_vertices", _all_vertices(F.col("_g")))
-            .withColumn("_spot", F.when(F.col("_g.type") == "Point", first).otherwise(mean_vertex("_vertices"))))
+    parsed = computed(computed(df, _g=parse_geometry(geometry)), _inner=_parsed_members(g))
+    parsed = computed(parsed, _vertices=_all_vertices(g, inner))
+    return computed(parsed, _spot=F.when(g["type"] == "Point", first).otherwise(mean_vertex("_vertices")), _km=_line_km(g, vertices, inner))
 
 
 def geometry_columns(geometry: str = "geometry") -> dict[str, Column]:
@@ -246,7 +259,7 @@ def geometry_columns(geometry: str = "geometry") -> dict[str, Column]:
         "geom_type": g["type"],
         "lon": F.col("_spot.x"),
         "lat": F.col("_spot.y"),
-        "length_km": _line_km(g, F.col("_vertices")),
+        "length_km": F.col("_km"),
         **envelope("_vertices"),
         "geometry_geojson": F.when(g["type"].isNotNull(), F.col(geometry)),
     }
@@ -260,9 +273,9 @@ def round_coordinates(coordinates, depth: int, decimals: int = COORD_DECIMALS) -
     return F.transform(c, lambda inner: round_coordinates(inner, depth - 1, decimals))
 
 
-def rounded_coordinates_json(geometry_json, decimals: int = COORD_DECIMALS) -> Column:
+def rounded_coordinates_json(geometry_json, decimals: int = COORD_DECIMALS, parsed: Column | None = None) -> Column:
     """Coordinate text with rounded numbers, for the six plain geometry types."""
-    g = parse_geometry(geometry_json)
+    g = parse_geometry(geometry_json) if parsed is None else parsed
 
     def as_text(depth):
         ddl = "array<" * depth + "double" + ">" * depth
@@ -274,17 +287,19 @@ def rounded_coordinates_json(geometry_json, decimals: int = COORD_DECIMALS) -> C
             .when(g["type"] == "MultiPolygon", as_text(4)))
 
 
-def rounded_geometry_json(geometry_json, decimals: int = COORD_DECIMALS) -> Column:
-    """Geometry text with rounded numbers; nested collections become one, no geometry is ``null``, any other text an error."""
-    def plain(text):
-        made = F.concat(F.lit('{"type":"'), parse_geometry(text)["type"], F.lit('","coordinates":'), rounded_coordinates_json(text, decimals), F.lit("}"))
+def rounded_geometry_json(geometry_json, decimals: int = COORD_DECIMALS, parsed: Column | None = None) -> Column:
+    """Geometry text with rounded numbers; nested collections become one, no geometry is ``null``, any other text an error.
+    ``parsed`` is a column that holds the result of ``parse_geometry``, where there is one."""
+    def plain(text, own=None):
+        own = parse_geometry(text) if own is None else own
+        made = F.concat(F.lit('{"type":"'), own["type"], F.lit('","coordinates":'), rounded_coordinates_json(text, decimals, own), F.lit("}"))
         return F.coalesce(made, F.raise_error(F.concat(F.lit("no geometry: "), F.substring(F.coalesce(text, F.lit("null")), 1, 200))).cast("string"))
 
-    text, g = _col(geometry_json), parse_geometry(geometry_json)
-    members = F.array_join(F.transform(_members(g), plain), ",")
+    text, g = _col(geometry_json), parse_geometry(geometry_json) if parsed is None else parsed
+    members = F.array_join(F.transform(_members(g), lambda m: plain(m)), ",")
     return (F.when(text.isNull() | (text == "null"), F.lit("null"))
             .when(g["type"] == "GeometryCollection", F.concat(F.lit('{"type":"GeometryCollection","geometries":['), members, F.lit("]}")))
-            .otherwise(plain(text)))
+            .otherwise(plain(text, parsed)))
 
 
 def parts_geojson(parts) -> Column:

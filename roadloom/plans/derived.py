@@ -82,11 +82,17 @@ def _road_paths():
     return F.expr(f"CASE WHEN o_orderstatus = 'P' THEN array({main}, {side}) ELSE array({main}) END")
 
 
+def spread(orders: DataFrame) -> DataFrame:
+    """Small rows of which each makes much work, over as many tasks as a shuffle has: with that number given, adaptive execution
+    does not fold them into one again."""
+    return orders.repartition(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+
+
 def roads(spark, sf_dir) -> DataFrame:
     """id, class, name, status, opened, parts: one line feature per order."""
     k = F.col("o_orderkey")
     name = F.when(k % 3 != 0, F.concat(F.lit("R"), (k % 200).cast("string")))
-    return table(spark, sf_dir, "orders").repartition("o_orderkey").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         k.alias("id"), _class().alias("class"), name.alias("name"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderdate").alias("opened"), _road_paths().alias("parts"))
 
@@ -202,7 +208,7 @@ def answers(spark, sf_dir) -> DataFrame:
     expected = (F.when(check == "number", F.array(price.cast("string")))
                 .when(check == "set", F.array(F.lit("living_street"), F.lit("motorway")))
                 .otherwise(F.array().cast("array<string>")))
-    return table(spark, sf_dir, "orders").repartition("o_orderkey").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         k.alias("id"), F.when(k % 2 == 0, "en").otherwise("de").alias("lang"), check.alias("check"),
         # One model holds a third of all answers.
         F.when(k % 3 == 0, "granite:8b").otherwise(F.concat(F.lit("basalt-"), (k % 5).cast("string"))).alias("model"),

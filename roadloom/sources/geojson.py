@@ -57,8 +57,8 @@ def parse_features(lines: DataFrame, column: str = "value") -> DataFrame:
     parse = lambda t: F.struct(t.alias("_text"), F.from_json(t, _FEATURE).alias("_f"))
     broken = lambda t: F.raise_error(F.concat(F.lit("not GeoJSON: "), F.substring(F.coalesce(t, F.lit("null")), 1, 200)))
     # Within brackets, what follows the value is not passed over.
-    top = lines.select(text.alias("_text")).where("_text <> ''").where(~F.col("_text").rlike(_BRACKETS)).select(
-        "_text", F.from_json(F.concat(F.lit("["), "_text", F.lit("]")), f"array<struct<{_FEATURE_FIELDS}>>").alias("_all"))
+    top = geo.computed(lines, _text=text).select("_text").where("_text <> ''").where(~F.col("_text").rlike(_BRACKETS))
+    top = geo.computed(top, _all=F.from_json(F.concat(F.lit("["), "_text", F.lit("]")), f"array<struct<{_FEATURE_FIELDS}>>"))
     known = F.col("_text").rlike(_OBJECTS) & (F.size("_all") > 0)
     one = F.when(F.size("_all") == 1, F.array(F.struct("_text", F.element_at("_all", 1).alias("_f")))).otherwise(
         F.transform("_all", lambda f: F.struct(F.to_json(f).alias("_text"), f.alias("_f"))))
@@ -70,11 +70,11 @@ def parse_features(lines: DataFrame, column: str = "value") -> DataFrame:
                 .when((kind == "FeatureCollection") & F.col("_f.features").isNotNull(), F.transform("_f.features", member))
                 .when(F.col("_f.coordinates").isNotNull() | F.col("_f.geometries").isNotNull(), F.array(parse(wrapped)))
                 .otherwise(broken(F.col("_text"))))
-    rows = top.select(F.inline(features))
+    properties = F.coalesce(F.from_json("_f.properties", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    rows = geo.computed(top.select(F.inline(features)), properties=properties)
     return rows.select(
         F.coalesce(F.col("_f.id"), F.xxhash64("_text").cast("string")).alias("feature_id"),
-        F.coalesce(F.from_json("_f.properties", "map<string,string>"), F.create_map().cast("map<string,string>"))
-        .alias("properties"),
+        "properties",
         F.coalesce(F.col("_f.properties"), F.lit("{}")).alias("properties_json"),
         F.col("_f.geometry").alias("geometry"))
 
@@ -181,7 +181,8 @@ def road_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
         "class", "state", F.round(F.col("length_km").cast("double"), 4).alias("length_km"),
         F.nullif(F.col("name"), F.lit("")).alias("name"),
         F.when(~F.coalesce(F.col("is_named"), F.lit(False)), F.lit(False)).alias("is_named"))
-    return df.select(feature_line(F.col("id"), props, geo.rounded_geometry_json(geometry)).alias("value"))
+    parsed = geo.computed(df, _parsed=geo.parse_geometry(geometry))
+    return parsed.select(feature_line(F.col("id"), props, geo.rounded_geometry_json(geometry, parsed=F.col("_parsed"))).alias("value"))
 
 
 def place_lines(df: DataFrame) -> DataFrame:
