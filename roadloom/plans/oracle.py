@@ -553,6 +553,10 @@ O["admission_stream"] = O["admission_window"]
 O["csv_read"] = """SELECT o_orderkey AS order_key, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS order_date,
 o_totalprice AS price, replace(CAST(o_totalprice AS VARCHAR), '.', ',') AS comma,
 CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS status, o_orderkey % 2 = 0 AS even FROM orders"""
+O["csv_quoted_split"] = r"""WITH notes AS (SELECT o_orderkey, o_totalprice, CASE o_orderkey % 5
+    WHEN 0 THEN 'first' || chr(10) || 'second "' || o_orderkey || '";' || chr(10) || chr(10) || 'last'
+    WHEN 1 THEN repeat('long;' || chr(10), CAST(o_orderkey % 40 AS INTEGER) + 1) WHEN 2 THEN '"' ELSE 'plain' END AS note FROM orders)
+SELECT o_orderkey AS order_key, CAST(length(note) AS INTEGER) AS note_chars, sha256(note) AS note_sha256, o_totalprice AS price FROM notes"""
 O["stats_files"] = sql(INSIDE, """SELECT release, state, class, segments, length_km, mean_segment_m, pct_named,
 CAST(release[:10] AS DATE) AS release_date FROM inside""")
 O["scope_files"] = sql(["scopes"], "SELECT release, array_to_string(classes, ',') AS classes, CAST(bbox[3] AS DOUBLE) AS xmax FROM scopes")

@@ -730,6 +730,23 @@ def csv_read(spark, sf):
     return delimited.read_csv(spark, path)
 
 
+@query
+def csv_quoted_split(spark, sf):
+    """Notes with line breaks, quotes and separators in quoted fields, read back by many more tasks than there are files."""
+    path = scratch_path(spark, "notes-csv")
+    k = F.col("o_orderkey")
+    note = (F.when(k % 5 == 0, F.concat(F.lit('first\nsecond "'), k.cast("string"), F.lit('";\n\nlast')))
+            .when(k % 5 == 1, F.repeat(F.lit("long;\n"), (k % 40).cast("int") + 1)).when(k % 5 == 2, F.lit('"')).otherwise(F.lit("plain")))
+    rows = d.table(spark, sf, "orders").select(k.alias("order_key"), note.alias("note"), F.col("o_totalprice").alias("price"))
+    rows.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    many = spark.newSession()
+    many.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        many.conf.set(name, spark.conf.get(name))
+    found = delimited.read_csv(many, path)
+    return found.select("order_key", F.length("note").alias("note_chars"), F.sha2("note", 256).alias("note_sha256"), "price")
+
+
 @query
 def stats_files(spark, sf):
     """Statistics written per release, loaded as one table."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import re
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.constants import CSV_DELIMITERS, DATE_COLUMN_SHARE, NA_TOKENS
 from roadloom.functions.text import clean_key
+from roadloom.sources.records_in_splits import quotes, records
 
 
 def header_separator(spark: SparkSession, path: str) -> str:
@@ -36,20 +39,47 @@ def _moment(value):
     return F.coalesce(F.try_to_timestamp(value), *[F.try_to_timestamp(value, F.lit(p)) for p in ("M/d/yyyy", "d.M.yyyy", "yyyy/M/d")])
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def header(spark: SparkSession, path: str, separator: str) -> list[str]:
+    """The fields of the first record, which may go over several lines."""
+    asked, rule = 1, quotes(separator)
+    while True:
+        lines = [r["value"] for r in spark.read.text(path, lineSep="\n").limit(asked).collect()]
+        is_open = False
+        for at, line in enumerate(lines):
+            is_open = rule.open_after(line, is_open)
+            if not is_open:
+                break
+        if not is_open or len(lines) < asked:
+            csv.field_size_limit(sys.maxsize)
+            text = [x + "\n" for x in lines[:at]] + [lines[at].removesuffix("\r")]
+            return next(csv.reader(text, delimiter=separator))
+        asked *= 8
+
+
+def read_csv(spark: SparkSession, path: str, surplus: str = "error") -> DataFrame:
     """A CSV file or folder of unknown layout.
 
     Looks at the header line for the delimiter, then reads everything as text; quoted
-    fields may hold line breaks unless ``multiline`` is switched off, which lets one file be read by several tasks.
+    fields may hold line breaks, and one file is still read by many tasks.  Every file has a header, and that of one file
+    names the columns; empty lines are passed over, fields that a row lacks are null.  A row with more fields than the
+    header raises an error, or, with ``surplus="count"``, has their number in ``surplus_fields``.
     One aggregate over the whole table decides the column types; decimal commas
     are not numbers.  Text columns named like a date become timestamps if more
     than 80 % of all rows parse.
     """
+    if surplus not in ("error", "count"):
+        raise ValueError(f"surplus: {surplus}")
     separator = header_separator(spark, path)
-    raw = (spark.read.option("header", True).option("sep", separator).option("multiLine", multiline)
-           .option("encoding", "UTF-8").option("escape", '"').csv(path))
-    raw = raw.toDF(*plain_names(spark, raw.columns))
-    text = raw.select(*[F.when(F.col(c).isin(NA_TOKENS), None).otherwise(F.col(c)).alias(c) for c in raw.columns])
+    names = plain_names(spark, header(spark, path, separator))
+    rows = records(spark, path, separator).where("NOT first AND record <> ''")
+    more = F.col("fields") - len(names)
+    if surplus == "error":
+        said = F.concat(F.lit(f"more than {len(names)} fields: "), F.substring("record", 1, 200))
+        rows = rows.where(F.when(more > 0, F.raise_error(said).cast("boolean")).otherwise(True))
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = F.from_csv("record", schema, {"sep": separator, "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"})
+    raw = rows.select(parsed.alias("r"), F.greatest(more, F.lit(0)).alias("more")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "more")
+    text = raw.select(*[F.when(F.col(c).isin(NA_TOKENS), None).otherwise(F.col(c)).alias(c) for c in names], "more")
 
     def fits(c):
         value = F.trim(F.col(c))
@@ -60,7 +90,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
                 F.count_if(F.lower(value).isin("true", "false")).alias(f"b_{c}"),
                 F.count_if(_moment(value).isNotNull()).alias(f"t_{c}")]
 
-    found = text.agg(F.count(F.lit(1)).alias("rows"), *[e for c in text.columns for e in fits(c)]).first()
+    found = text.agg(F.count(F.lit(1)).alias("rows"), *[e for c in names for e in fits(c)]).first()
 
     def typed(c):
         n, value = found[f"n_{c}"], F.trim(F.col(c))
@@ -74,7 +104,8 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
             return _moment(value).cast("timestamp_ntz").alias(c)
         return F.col(c)
 
-    return text.select(*[typed(c) for c in text.columns])
+    counted = [F.col("more").alias("surplus_fields")] if surplus == "count" else []
+    return text.select(*[typed(c) for c in names], *counted)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
