@@ -738,7 +738,7 @@ def csv_quoted_split(spark, sf):
     note = (F.when(k % 5 == 0, F.concat(F.lit('first\nsecond "'), k.cast("string"), F.lit('";\n\nlast')))
             .when(k % 5 == 1, F.repeat(F.lit("long;\n"), (k % 40).cast("int") + 1)).when(k % 5 == 2, F.lit('"')).otherwise(F.lit("plain")))
     rows = d.table(spark, sf, "orders").select(k.alias("order_key"), note.alias("note"), F.col("o_totalprice").alias("price"))
-    rows.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    rows.write.options(header=True, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     many = spark.newSession()
     many.conf.set("spark.sql.files.maxPartitionBytes", "256k")
     for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
