@@ -564,6 +564,7 @@ O["scope_files_every_month"] = sql(["every_scope"], "SELECT release, array_to_st
 O["feature_files"] = sql(ROADS, """SELECT CAST(id AS VARCHAR) AS feature_id, class, name, name IS NOT NULL AS is_named,
 CASE WHEN two THEN 'MultiLineString' ELSE 'LineString' END AS geom_type, round(length_km, 4) AS length_km,
 round(length_km, 6) AS geom_length_km FROM roads""")
+O["geojson_mixed_files"] = O["feature_files"]
 O["verified_rewrite"] = sql(ROADS, """SELECT count(*) AS features, CAST(0 AS BIGINT) AS different_ids,
 round(sum(round(length_km, 4)), 6) AS km_before, true AS ok FROM roads""")
 O["boundary_cache"] = sql(["grid", "corner", "edges"], f"SELECT state, {r6('x1', 'y1', 'x2', 'y2')} FROM edges")

@@ -481,6 +481,28 @@ def geojson_features(spark, sf):
                    "bbox_max_lon", "bbox_max_lat")
 
 
+@query
+def geojson_mixed_files(spark, sf):
+    """Roads in line files, indented documents and documents without line breaks, some 20,000 ids to a document, in one folder; documents are
+    cut into features by several tasks each."""
+    path = scratch_path(spark, "mixed-geojson")
+    id_ = F.regexp_extract("value", '"id":"([0-9]+)"', 1).cast("long")
+    rows = _feature_lines(spark, sf).select(F.substring("value", 2, 1 << 30).alias("value"), (id_ / 20000).cast("long").alias("doc"))
+    rows.where("doc % 3 = 0").write.partitionBy("doc").text(path)
+    features = F.sort_array(F.collect_list("value"))
+    indented = F.concat(F.lit('{\n "type": "FeatureCollection",\n "features": [\n'),
+                        F.array_join(F.transform(features, lambda f: F.replace(f, F.lit('":{"'), F.lit('": {\n   "'))), ",\n  "), F.lit('\n ],\n "made": {"by": "{["}\n}'))
+    tight = F.concat(F.lit('{"made":{"by":"]}"},"type":"FeatureCollection","features":['), F.array_join(features, ","), F.lit("]}"))
+    docs = rows.where("doc % 3 <> 0").groupBy("doc").agg(F.when(F.col("doc") % 3 == 1, indented).otherwise(tight).alias("value"))
+    docs.write.partitionBy("doc").mode("append").text(path)
+    many = spark.newSession()
+    many.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        many.conf.set(name, spark.conf.get(name))
+    flat = geojson.read_geojson(many, path)
+    return rounded(flat.select("feature_id", "class", "name", "is_named", "geom_type", "length_km", "geom_length_km"), "length_km", "geom_length_km")
+
+
 @query
 def geom_types(spark, sf):
     flat = geojson.parse_features(_feature_lines(spark, sf))

@@ -1,9 +1,9 @@
 """GeoJSON in and out.
 
 Extract files hold one feature per line, so they are read as text, line by
-line and in parallel (a gzip file is one task).  A pretty-printed document has
-no lines to split at; it is parsed by one task per file.  Each file of a folder
-has its own layout.
+line and in parallel (a gzip file is one task).  A document in another layout is
+cut into its features first, by as many tasks as it has splits.  Each file of a
+folder has its own layout.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geo
 from roadloom.functions.text import clean_key
+from roadloom.session import materialize
+from roadloom.sources.documents_in_splits import members
 
 _FEATURE = ("type string, id string, properties string, geometry string, "
             "coordinates string, geometries string, features array<string>")
@@ -29,17 +31,31 @@ def read_lines(spark: SparkSession, path: str, layout: str = "auto") -> DataFram
     at every line and takes a file as a document when one of its lines is neither whole features nor a bracket.
     """
     if layout == "document":
-        return spark.read.text(path, wholetext=True)
+        return _document_members(spark, path)
     lines = spark.read.text(path)
     if layout == "lines":
         return lines
-    file, text = F.col("_metadata.file_path"), _stripped("value")
+    file, text = F.xxhash64(F.col("_metadata.file_path")), _stripped("value")
     part = (text != "") & ~text.rlike(_BRACKETS) & (~text.rlike(_OBJECTS) | F.try_parse_json(text).isNull())
-    documents = [r["file"] for r in lines.where(part).select(file.alias("file")).distinct().collect()]
-    if not documents:
+    documents = materialize(lines.where(part).select(file.alias("file")).distinct(), "documents")
+    if documents.isEmpty():
         return lines
-    whole = spark.read.text(path, wholetext=True).where(file.isin(documents)).select("value")
-    return lines.where(~file.isin(documents)).select("value").unionByName(whole)
+    rest = lines.select(file.alias("file"), "value").join(documents, "file", "left_anti").select("value")
+    return rest.unionByName(_document_members(spark, path, documents))
+
+
+def _document_members(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """The features of documents, one per row.  A document that is no collection of features alone comes whole, in one row."""
+    found, around = members(spark, path, files)
+    shell = F.from_json("text", "type string, features array<string>")
+    one = F.try_parse_json("text").isNotNull()
+    collections = around.where(one & (shell["type"] == "FeatureCollection") & (F.size(shell["features"]) == 0)).select("file")
+    other = found.where(F.coalesce(F.from_json("text", "type string")["type"] != "Feature", F.lit(True))).select("file")
+    collections = materialize(collections.join(other, "file", "left_anti"), "collections")
+    whole = spark.read.text(path, wholetext=True).select(F.xxhash64(F.col("_metadata.file_path")).alias("file"), "value")
+    whole = whole if files is None else whole.join(files, "file", "left_semi")
+    rest = whole.join(collections, "file", "left_anti").select("value")
+    return found.join(collections, "file", "left_semi").select(F.col("text").alias("value")).unionByName(rest)
 
 
 def _stripped(column: str) -> Column:
