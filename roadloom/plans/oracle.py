@@ -256,11 +256,11 @@ round(coalesce(sum(delta_km) FILTER (delta_km > 0), 0e0), 6) AS gained_km,
 round(coalesce(sum(delta_km) FILTER (delta_km < 0), 0e0), 6) AS lost_km FROM cmp""", _compare("state"))
 O["top_delta"] = sql(INSIDE, _cmp_cols("state") + " ORDER BY abs(cmp.delta_km) DESC, state LIMIT 16", _compare("state"))
 O["release_dates"] = sql(["monthly"], "SELECT DISTINCT release, CAST(release[:10] AS DATE) AS release_date FROM monthly")
-O["scope_groups"] = sql(["scopes"], """SELECT a.release, min(b.release) AS scope_group,
+O["scope_groups"] = sql(["every_scope"], """SELECT a.release, min(b.release) AS scope_group,
 max(b.release) FILTER (b.release < a.release) AS previous
-FROM scopes a JOIN scopes b ON a.bbox = b.bbox AND a.classes = b.classes GROUP BY a.release""")
-O["comparable_pairs"] = sql(["scopes"], """SELECT max(a.release) AS release_a, b.release AS release_b
-FROM scopes a JOIN scopes b ON a.bbox = b.bbox AND a.classes = b.classes AND a.release < b.release GROUP BY b.release""")
+FROM every_scope a JOIN every_scope b ON a.bbox = b.bbox AND a.classes = b.classes GROUP BY a.release""")
+O["comparable_pairs"] = sql(["every_scope"], """SELECT max(a.release) AS release_a, b.release AS release_b
+FROM every_scope a JOIN every_scope b ON a.bbox = b.bbox AND a.classes = b.classes AND a.release < b.release GROUP BY b.release""")
 O["scope_groups_every_month"] = sql(["every_scope"], """SELECT a.release, min(b.release) AS scope_group,
 max(b.release) FILTER (b.release < a.release) AS previous
 FROM every_scope a JOIN every_scope b ON a.bbox = b.bbox AND a.classes = b.classes GROUP BY a.release""")
@@ -559,7 +559,7 @@ O["csv_quoted_split"] = r"""WITH notes AS (SELECT o_orderkey, o_totalprice, CASE
 SELECT o_orderkey AS order_key, CAST(length(note) AS INTEGER) AS note_chars, sha256(note) AS note_sha256, o_totalprice AS price FROM notes"""
 O["stats_files"] = sql(INSIDE, """SELECT release, state, class, segments, length_km, mean_segment_m, pct_named,
 CAST(release[:10] AS DATE) AS release_date FROM inside""")
-O["scope_files"] = sql(["scopes"], "SELECT release, array_to_string(classes, ',') AS classes, CAST(bbox[3] AS DOUBLE) AS xmax FROM scopes")
+O["scope_files"] = sql(["every_scope"], "SELECT release, array_to_string(classes, ',') AS classes, CAST(bbox[3] AS DOUBLE) AS xmax FROM every_scope")
 O["scope_files_every_month"] = sql(["every_scope"], "SELECT release, array_to_string(classes, ',') AS classes, CAST(bbox[3] AS DOUBLE) AS xmax FROM every_scope")
 O["feature_files"] = sql(ROADS, """SELECT CAST(id AS VARCHAR) AS feature_id, class, name, name IS NOT NULL AS is_named,
 CASE WHEN two THEN 'MultiLineString' ELSE 'LineString' END AS geom_type, round(length_km, 4) AS length_km,
