@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import bpe, dedup, jaccard, langid, mixing
-from roadloom.llm.store import shared_folder, table
+from roadloom.llm.store import shared_folder, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +28,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents that share at least 0.8 of their five-word shingles, the one with the smallest id stays;
-    documents without id or words stay.  Rows that share an id count as one document."""
-    found = jaccard.components_of(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of documents that share at least 0.8 of their five-word shingles, the one with the smallest id stays (one
+    without id only if none has one); documents without words stay.  A row is known by a hash of all its columns, so that rows which
+    only share an id are documents of their own; rows that agree in every column stay or go together."""
+    tagged = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    found = jaccard.components_of(tagged, id_col="_row").where("component_id <> doc_id")
+    linked = stored(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct(), "linked")
+    members = linked.unionByName(linked.select(F.col("_group").alias("_row"), "_group").distinct())
+    known = tagged.select("_row", "doc_id").join(members, "_row")
+    first = known.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    gone = known.join(first, "_group").where(F.col("_row") != F.col("first._row")).select("_row").distinct()
+    return tagged.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
