@@ -42,6 +42,14 @@ def test_near_duplicate_stage_keeps_the_smallest_id(spark, docs):
     assert out.columns == docs.columns and bag(out) == Counter(r for r in ROWS if r[0] not in (2, 3, 4))
 
 
+def test_near_duplicate_stage_tells_rows_apart_that_share_an_id(spark):
+    rows = [(0, BASE, "en", "a", 1), (1, BASE, "en", "a", 1), (1, prose(90, 77), "en", "a", 1), (None, BASE + " end", "en", "a", 1), (5, BASE + " x", "en", "b", 2),
+            (None, prose(80, 5), "en", "a", 1), (None, prose(80, 5) + " more", "en", "a", 1)]
+    out = STAGES["ngram_jaccard"](spark, spark.createDataFrame(rows, DOCS), "")
+    kept = bag(out)
+    assert kept[rows[0]] == kept[rows[2]] == 1 and kept[rows[5]] + kept[rows[6]] == 1 and sum(kept.values()) == 3
+
+
 def test_mix_stage_and_ids(spark, docs):
     out = STAGES["source_mix"](spark, docs, "")
     assert out.columns == docs.columns
