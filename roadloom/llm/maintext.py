@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ BAD_WORDS = set("ad ads advert adverts advertisement advertising banner breadcru
 GOOD_WORDS = set("article articlebody content entry main post story".split())
 #: Of these, the words of what lists other articles: an article inside is one of its items.  And how a name begins that says what the page has beside the element.
 LISTS = set("comment comments commentlist disqus modal popup promo related replies reply sponsor sponsored widget".split())
-_BESIDE = re.compile(r"(?:^|\s)(?:has|no|with|without)[-_]\S+")
+_BESIDE = re.compile(r"(?:^|\s)(?:(?:has|no|with|without)[-_]\S+|\S+[-_](?:enabled|disabled|open|closed|on|off)(?=\s|$))")
 #: Flags of boilerplate: a name that may be that of a wrapper around the article, a name that only a main element ends, one that holds to the end.
 NAMED, LISTED, FINAL = 1, 2, 3
 _WORD = re.compile(r"[a-z0-9]+")
@@ -34,14 +35,30 @@ BIAS, IN_CONTENT, IN_BOILERPLATE, LINKED, PER_LOG_WORD, SENTENCE, PARAGRAPH = -2
 #: What a cut between neighbours costs, in the same unit, and what of it remains for each step between them in the tree.
 SMOOTH, SMOOTH_STEP = 0.6, 0.5
 UNIT = 1000
+#: Steps in the tree beyond which nothing remains of it, in units.
+FAR = 12
+
+
+class Open(NamedTuple):
+    """An open element: in content, the flag of boilerplate, the nearest element that is not inline, how deep that is, and the numbers of
+    its last ancestors with its own."""
+
+    tag: str
+    good: bool = False
+    bad: int = 0
+    block: str = ""
+    depth: int = 0
+    path: tuple = (0,)
 
 
 class Blocks(HTMLParser):
-    """Cuts a page into blocks: (text, linked characters, in content, in boilerplate, element, path)."""
+    """Cuts a page into blocks: (text, linked characters, in content, in boilerplate, element, (depth, path)).  Open elements are counted by
+    name, so that nothing is searched for that isn't there, however deep a page is."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.open, self.blocks, self.text, self.linked, self.serial = [("", False, 0, 0)], [], [], 0, 0
+        self.open, self.count, self.unseen = [Open("")], Counter(), 0
+        self.blocks, self.text, self.linked, self.serial = [], [], 0, 0
         self.feed(html)
         self.close()
         self.end_block()
@@ -49,9 +66,8 @@ class Blocks(HTMLParser):
     def end_block(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            _, good, bad, _ = self.open[-1]
-            around = [e for e in self.open if e[0] not in INLINE]
-            self.blocks.append((text, self.linked, good, bad > 0, around[-1][0], tuple(e[3] for e in around)))
+            e = self.open[-1]
+            self.blocks.append((text, self.linked, e.good, e.bad > 0, e.block, (e.depth, e.path)))
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -72,26 +88,40 @@ class Blocks(HTMLParser):
         said = words & BAD_WORDS
         if said:
             said = set(_WORD.findall(_BESIDE.sub(" ", names))) & BAD_WORDS if tag not in ("html", "body", "main") else set()
-        _, good, bad, _ = self.open[-1]
+            said = said & LISTS if tag == "article" else said  # an article is boilerplate as an item of a list only
+        around = self.open[-1]
+        bad, in_article = around.bad, self.count["article"] > 0
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in (named.get("style") or "").replace(" ", "").lower()
         if bad == NAMED and tag in CONTENT or bad == LISTED and tag == "main":
             bad = 0  # it was a wrapper of the layout
-        if hidden or tag in BOILERPLATE or said and any(e[0] == "article" for e in self.open):
+        if hidden or tag in BOILERPLATE and (tag != "form" or in_article) or said and in_article:
             bad = FINAL
-        elif said:
+        elif said or tag == "form":  # a form may be around the whole page
             bad = max(bad, LISTED if said & LISTS else NAMED)
-        good = good or tag in CONTENT or bool(words & GOOD_WORDS)
+        good = around.good or tag in CONTENT or bool(words & GOOD_WORDS)
         self.serial += 1
-        self.open.append((tag, good, bad, self.serial))
+        if tag in INLINE:
+            self.open.append(Open(tag, good, bad, *around[3:]))
+        else:
+            self.open.append(Open(tag, good, bad, tag, around.depth + 1, (*around.path[-FAR:], self.serial)))
+        self.count[tag] += 1
+        self.unseen += tag in UNSEEN
+
+    def shut(self, i):
+        for e in self.open[i:]:
+            self.count[e.tag] -= 1
+            self.unseen -= e.tag in UNSEEN
+        del self.open[i:]
 
     def leave(self, tag, within):
         """Close an open ``tag`` unless one of ``within`` is open inside it."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in within:
-                return
+        if self.count[tag]:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag == tag:
+                    return self.shut(i)
+                if self.open[i].tag in within:
+                    return None
+        return None
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -101,16 +131,14 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.end_block()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        if self.count[tag]:
+            self.shut(next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag))
 
     def handle_data(self, data):
-        if any(e[0] in UNSEEN for e in self.open[1:]):
+        if self.unseen:
             return
         self.text.append(data)
-        if any(e[0] == "a" for e in self.open[1:]):
+        if self.count["a"]:
             self.linked += len(data.strip())
 
 
@@ -124,17 +152,26 @@ def edges_of(blocks: list[tuple]) -> list[tuple[int, int, int]]:
     """Neighbours on the page, and the next block under the same parent; the nearer in the tree, the more a cut costs."""
     out, last = {}, {}
     for i, block in enumerate(blocks):
-        path = block[5]
-        near = {i - 1, last.get(path[-2] if len(path) > 1 else 0, -1)}
-        for j in near - {-1}:
-            other = blocks[j][5]
-            common = sum(a == b for a, b in zip(path, other, strict=False))
-            steps = max(len(path), len(other)) - common
-            out[j, i] = round(UNIT * SMOOTH * SMOOTH_STEP ** max(0, steps - 1))
-        last[path[-2] if len(path) > 1 else 0] = i
+        depth, path = block[5]
+        parent = path[-2] if len(path) > 1 else 0
+        for j in {i - 1, last.get(parent, -1)} - {-1}:
+            other_depth, other = blocks[j][5]
+            steps = _steps(depth, path, other_depth, other)
+            if steps is not None:
+                out[j, i] = round(UNIT * SMOOTH * SMOOTH_STEP ** max(0, steps - 1))
+        last[parent] = i
     return [(a, b, c) for (a, b), c in out.items() if c]
 
 
+def _steps(depth: int, path: tuple, other_depth: int, other: tuple) -> int | None:
+    """Steps from the deeper of two elements up to the nearest one that is around both; None if that is far away."""
+    known = set(other)
+    for up, number in enumerate(reversed(path)):
+        if number in known:
+            return max(depth, other_depth) - (depth - up)
+    return None
+
+
 def minimum_cut(surplus: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """For each node whether it is on the source's side.  A surplus above 0 is what the source still can send to the node, below 0
     what the sink can take from it; an edge carries its capacity either way.  Flow goes along shortest paths, in phases (Dinic)."""

@@ -335,3 +335,23 @@ def test_empty_tables(spark, nothing, tmp_path):
     assert maintext.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert hamming.top_k(vectors, vectors, 64).isEmpty()
+
+
+PROSE = "<p>This is a long paragraph of real prose, with several words in it, and an end.</p>"
+
+
+@pytest.mark.parametrize("page, found", [
+    ("<form id='aspnetForm'><article>{}{}</article></form>", 2), ("<form><main>{}{}</main></form>", 2), ("<article class='post share-enabled'>{}</article>", 1),
+    ("<article class='post comments-open'>{}</article>", 1), ("<article>{}<form><p>Sign up here for more of our news, please do it.</p></form></article>", 1),
+    ("<div class='comments'><article class='comment'>{}</article></div>", 0), ("<article>{}</article><form>{}</form>", 1),
+])
+def test_forms_and_state_words_around_an_article(page, found):
+    assert maintext.main_text(page.replace("{}", PROSE)).count("real prose") == found
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+    start = time.process_time()
+    maintext.main_text("<div>x " * 30_000)
+    maintext.main_text("<b>x</i> " * 30_000)
+    assert time.process_time() - start < 8
