@@ -568,6 +568,9 @@ O["geojson_mixed_files"] = O["feature_files"]
 O["verified_rewrite"] = sql(ROADS, """SELECT count(*) AS features, CAST(0 AS BIGINT) AS different_ids,
 round(sum(round(length_km, 4)), 6) AS km_before, true AS ok FROM roads""")
 O["boundary_cache"] = sql(["grid", "corner", "edges"], f"SELECT state, {r6('x1', 'y1', 'x2', 'y2')} FROM edges")
+O["boundary_scan"] = sql(["grid", "corner", "edges"], f"""SELECT state, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) AS area,
+round(min(x1), 6) AS xmin, round(max(x1), 6) AS xmax, round(min(y1), 6) AS ymin, round(max(y1), 6) AS ymax FROM edges
+WHERE CAST(regexp_extract(state, '[0-9]+') AS INTEGER) % 4 <> 3 AND CAST(regexp_extract(state, '[0-9]+') AS INTEGER) % 5 <> 4 GROUP BY state""")
 O["extract_scan"] = sql(ROADS + ["cells0"], f"""SELECT class, name IS NOT NULL AS is_named, {r6('length_km')}, cx, cy,
 CASE WHEN class = 'motorway' THEN CAST(id AS VARCHAR) END AS map_id, CASE WHEN class = 'motorway' THEN name END AS map_name
 FROM cells0 WHERE status <> 'F' AND class IN ('motorway', 'primary') AND x1 BETWEEN 7e0 AND 12.5e0 AND y1 BETWEEN 48e0 AND 53.25e0""")
@@ -578,5 +581,8 @@ O["turn_log_files"] = """SELECT event_type AS model, count(*) AS turns, count(*)
 count(*) FILTER (event_type = 'error') AS failed_queries FROM events GROUP BY event_type"""
 O["run_files"] = sql(SCORED, """SELECT model, '2026-10-09' AS run_date, replace(model, ':', '_') AS model_name,
 count(*) AS answers, count(*) FILTER (passed) AS passed FROM scored GROUP BY model""")
+O["exact_sample"] = sql(["places"], "SELECT id, lon, lat FROM places ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 500")
+O["sample_rows"] = """(SELECT 'places' AS table_name, c_custkey AS id FROM customer ORDER BY 2 LIMIT 3) UNION ALL
+(SELECT 'roads', o_orderkey FROM orders ORDER BY 2 LIMIT 3) UNION ALL (SELECT 'sites', s_suppkey FROM supplier ORDER BY 2 LIMIT 3)"""
 O["sample_points"] = sql(["places"], """SELECT id, lon, lat FROM places
 WHERE ('0x' || left(md5(CAST(id AS VARCHAR)), 8))::BIGINT < 1073741824""")

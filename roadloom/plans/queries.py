@@ -575,6 +575,20 @@ def sample_points(spark, sf):
     return profile.sample_points(d.places(spark, sf).select("id", "lon", "lat"), "id", share=0.25)
 
 
+@query
+def exact_sample(spark, sf):
+    """Exactly 500 places (all, if there are fewer)."""
+    return profile.exact_sample(d.places(spark, sf).select("id", "lon", "lat"), "id", 500)
+
+
+@query
+def sample_rows(spark, sf):
+    """Three rows of each table."""
+    tables = {"places": d.places(spark, sf), "roads": d.roads(spark, sf), "sites": d.supplier_sites(spark, sf).withColumnRenamed("landmark", "id")}
+    shown = [profile.sample_rows(df, "id").select(F.lit(name).alias("table_name"), F.col("id").cast("long").alias("id")) for name, df in tables.items()]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 # ---------------------------------------------------------------- text, answers, logs, statements
 
 @query
@@ -830,6 +844,21 @@ def boundary_cache(spark, sf):
     return rounded(edges, "x1", "y1", "x2", "y2")
 
 
+@query
+def boundary_scan(spark, sf):
+    """Regions of one country from boundary files in the nested layout, geometry in WKB."""
+    rings = F.transform("rings", lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"])))
+    shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")))
+    number = F.regexp_extract("state", "([0-9]+)", 1).cast("int")
+    path = scratch_path(spark, "divisions")
+    d.state_rings(spark, sf).select(
+        F.when(number % 4 == 3, "AT").otherwise("DE").alias("country"), F.when(number % 5 == 4, "county").otherwise("region").alias("subtype"),
+        F.struct(F.col("state").alias("primary")).alias("names"), geo_arrow.geojson_to_wkb(shape).alias("geometry")).write.parquet(path)
+    found = extracts.scan_boundaries(spark, path)
+    area = r6(geo.polygon_area(geo.geojson_rings("geometry")), "area")
+    return found.select("state", area, *[r6(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+
+
 @query
 def extract_scan(spark, sf):
     """Segments in the nested release layout, scanned by class and area."""
