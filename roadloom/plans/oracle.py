@@ -428,8 +428,12 @@ count(*) AS features FROM orders GROUP BY 1"""
 O["table_envelope"] = sql(["roads0", "roads1"], f"""SELECT round(min({_LOW['x']}), 6) AS min_lon, round(min({_LOW['y']}), 6) AS min_lat,
 round(max({_HIGH['x']}), 6) AS max_lon, round(max({_HIGH['y']}), 6) AS max_lat FROM roads1""")
 O["default_restore"] = sql(["roads0"], "SELECT class, name IS NOT NULL AS is_named, count(*) AS n FROM roads0 GROUP BY ALL")
-O["wkb_roundtrip"] = O["path_length"]
-O["simplify"] = sql(["roads0"], "SELECT id, CASE WHEN s >= 2 THEN 3 ELSE 2 END + CASE WHEN two THEN 2 ELSE 0 END AS vertices FROM roads0")
+_PLACED = {c: f"{c}1 + 2 * {c}2 + 3 * {c}3 + CASE WHEN two THEN 4 * {c}4 + 5 * {c}5 ELSE 0e0 END" for c in "xy"}
+_THINNED = {c: f"{c}1 + 2 * {c}3 + CASE WHEN two THEN 3 * {c}4 + 4 * {c}5 ELSE 0e0 END" for c in "xy"}
+O["wkb_roundtrip"] = sql(ROADS, "SELECT id, CASE WHEN two THEN 107 ELSE 57 END AS wkb_bytes, round(length_km, 6) AS length_km, "
+                         + ", ".join(f"round({_PLACED[c]}, 6) AS placed_{c}" for c in "xy") + " FROM roads")
+O["simplify"] = sql(["roads0", "roads1"], "SELECT id, CASE WHEN s >= 2 THEN 3 ELSE 2 END + CASE WHEN two THEN 2 ELSE 0 END AS vertices, "
+                    + ", ".join(f"round(CASE WHEN s >= 2 THEN {_PLACED[c]} ELSE {_THINNED[c]} END, 6) AS placed_{c}" for c in "xy") + " FROM roads1")
 O["slim_features"] = sql(STATS[:-1], """SELECT CAST(id AS VARCHAR) AS id, class, state, name, name IS NOT NULL AS is_named,
 round(length_km, 4) AS length_km, round(map_km, 6) AS map_km
 FROM rounded JOIN (SELECT id AS k, cx, cy FROM cells0) c ON c.k = id JOIN placed USING (cx, cy)

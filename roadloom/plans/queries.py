@@ -524,18 +524,27 @@ def default_restore(spark, sf):
     return flat.groupBy("class", "is_named").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _each_vertex(geometry):
+    """Sums to which every vertex adds its coordinates times its place, so that none can be lost, moved or swapped unseen."""
+    spots = geo.geojson_vertices(geometry)
+    placed = F.transform(spots, lambda v, i: F.struct((v["x"] * (i + 1)).alias("x"), (v["y"] * (i + 1)).alias("y")))
+    total = lambda c: F.aggregate(F.transform(placed, lambda v: v[c]), F.lit(0.0), lambda t, v: t + v)
+    return [r6(total(c), f"placed_{c}") for c in "xy"]
+
+
 @query
 def wkb_roundtrip(spark, sf):
     rows = d.roads(spark, sf).select("id", geo.parts_geojson("parts").alias("g"))
-    back = geo_arrow.wkb_to_geojson(geo_arrow.geojson_to_wkb("g"))
-    return rows.select("id", back.alias("g")).select("id", r6(geo.geojson_km("g"), "length_km"))
+    binary = geo.computed(rows, w=geo_arrow.geojson_to_wkb("g"))
+    back = geo.computed(binary, back=geo_arrow.wkb_to_geojson("w"))
+    return back.select("id", F.octet_length("w").alias("wkb_bytes"), r6(geo.geojson_km("back"), "length_km"), *_each_vertex("back"))
 
 
 @query
 def simplify(spark, sf):
     rows = d.roads(spark, sf).select("id", geo.parts_geojson("parts").alias("g"))
     slim = rows.select("id", geo_arrow.simplify("g", 0.005).alias("g"))
-    return slim.select("id", F.size(geo.geojson_vertices("g")).alias("vertices"))
+    return slim.select("id", F.size(geo.geojson_vertices("g")).alias("vertices"), *_each_vertex("g"))
 
 
 @query
