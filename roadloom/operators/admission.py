@@ -16,6 +16,7 @@ than the window settle at once, so few rounds touch more than a small part.
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -41,13 +42,24 @@ def admitted_positions(times: np.ndarray, recent: deque, limit: int, window: int
     return out
 
 
+@dataclass(frozen=True)
+class Carried:
+    """What an earlier stretch of time leaves to a later one: the times admitted last (k, t in microseconds, all of them
+    before the later stretch), the day in which the earlier one ended and how many events that day has admitted."""
+
+    recent: DataFrame
+    day: int
+    used: int
+
+
 def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s: float,
-          daily_cap: int | None = None, chunk_s: int | None = None) -> DataFrame:
+          daily_cap: int | None = None, chunk_s: int | None = None, carried: Carried | None = None) -> DataFrame:
     """Adds ``verdict`` (admitted, window, cap) to ``key, ts, order``.
 
     ``order`` breaks ties in time and makes (key, ts, order) unique.  A chunk is
     32 windows long, and at least a day, unless ``chunk_s`` says otherwise; with
     a daily cap it must be a whole fraction of a day and is a day by default.
+    ``carried`` continues an earlier stretch of time; no event may be older than it.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
@@ -65,7 +77,7 @@ def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s
     admitted = materialize(_evaluate(base, None, limit, window), "admitted")
     used = None
     while True:
-        starts = chunks.join(_starts(_under_cap(admitted, daily_cap), limit, window, chunk_us), chunk, "left").select(
+        starts = chunks.join(_starts(_under_cap(admitted, daily_cap, carried), limit, window, chunk_us, carried), chunk, "left").select(
             *chunk, F.coalesce("start", none).alias("start"))
         if used is None:
             starts = starts.withColumn("was", none)
@@ -79,16 +91,16 @@ def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s
         kept = admitted.join(changed.select(*chunk), chunk, "left_anti").select(*base.columns)
         admitted = materialize(kept.unionByName(_evaluate(rows, changed, limit, window)), "admitted")
 
-    verdicts = base.join(_under_cap(admitted, daily_cap).select("k", "t", "o", F.lit(True).alias("ok")),
+    verdicts = base.join(_under_cap(admitted, daily_cap, carried).select("k", "t", "o", F.lit(True).alias("ok")),
                          ["k", "t", "o"], "left")
     verdict = F.when(F.col("ok"), "admitted")
     if daily_cap is not None:
-        full = (_under_cap(admitted, daily_cap).groupBy("day").agg(
+        full = (_under_cap(admitted, daily_cap, carried).groupBy("day").agg(
             F.count(F.lit(1)).alias("n"), F.max(F.struct("t", "o")).alias("last"))
-            .where(F.col("n") >= daily_cap).select("day", "last"))
+            .where(F.col("n") >= _left(daily_cap, carried)).select("day", "last"))
         # A row per day, so a broadcast is bounded by the calendar; a busy day stays spread out.
         verdicts = verdicts.withColumn("day", F.floor(F.col("t") / DAY_US)).join(F.broadcast(full), "day", "left")
-        verdict = verdict.when(F.struct("t", "o") > F.col("last"), "cap")
+        verdict = verdict.when((_left(daily_cap, carried) <= 0) | (F.struct("t", "o") > F.col("last")), "cap")
     return verdicts.select(
         F.col("k").alias(key), F.timestamp_micros("t").cast(events.schema[ts].dataType).alias(ts),
         F.col("o").alias(order), verdict.otherwise("window").alias("verdict"))
@@ -124,22 +136,33 @@ def _evaluate(rows: DataFrame, starts: DataFrame | None, limit: int, window: int
     return run.mapInPandas(scan, rows.drop("seed").schema)
 
 
-def _under_cap(admitted: DataFrame, daily_cap: int | None) -> DataFrame:
+def _left(daily_cap: int, carried: Carried | None):
+    """How many events a ``day`` may still admit."""
+    if carried is None:
+        return F.lit(daily_cap)
+    return F.when(F.col("day") == carried.day, daily_cap - carried.used).otherwise(daily_cap)
+
+
+def _under_cap(admitted: DataFrame, daily_cap: int | None, carried: Carried | None = None) -> DataFrame:
     """The first ``daily_cap`` admitted events of each day.  Spark keeps only
     that many per day and task before it shuffles."""
     rows = admitted.withColumn("day", F.floor(F.col("t") / DAY_US))
     if daily_cap is None:
         return rows
     order = Window.partitionBy("day").orderBy("t", "o")
-    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= daily_cap).drop("n")
+    first = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= daily_cap)
+    return first.where(F.col("n") <= _left(daily_cap, carried)).drop("n")
 
 
-def _starts(admitted: DataFrame, limit: int, window: int, chunk_us: int) -> DataFrame:
+def _starts(admitted: DataFrame, limit: int, window: int, chunk_us: int, carried: Carried | None = None) -> DataFrame:
     """For every (key, chunk), the last ``limit`` times admitted in the window
     before the chunk begins.  The limit itself bounds the list."""
     last = F.floor((F.col("t") + window) / chunk_us).cast("bigint")
-    reach = F.when(last > F.col("chunk"), F.sequence(F.col("chunk") + 1, last))
+    rows = admitted.select("k", "t", (F.col("chunk") + 1).alias("first"))
+    if carried is not None:     # times from before the first event begin chunks, that of their own included
+        rows = rows.unionByName(carried.recent.select("k", "t", F.floor(F.col("t") / chunk_us).cast("bigint").alias("first")))
+    reach = F.when(last >= F.col("first"), F.sequence("first", last))
     times = F.sort_array(F.collect_list("t"))
-    return (admitted.select("k", "t", F.explode(reach).alias("chunk"))
+    return (rows.select("k", "t", F.explode(reach).alias("chunk"))
             .groupBy("k", "chunk").agg(F.slice(times, F.greatest(F.size(times) - limit, F.lit(0)) + 1, F.lit(limit))
                                        .alias("start")))

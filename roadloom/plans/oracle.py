@@ -552,6 +552,26 @@ O["admission_window"] = """WITH RECURSIVE chain AS (
 SELECT e.user_id, e.ts, e.event_id, CASE WHEN c.i1 IS NULL THEN 'window' ELSE 'admitted' END AS verdict
 FROM events e LEFT JOIN chain c ON c.user_id = e.user_id AND c.i1 = e.event_id"""
 O["admission_stream"] = O["admission_window"]
+# Day by day; the events of a day are folded in order over what each user was admitted at last.
+O["admission_capped"] = """WITH RECURSIVE days AS (
+  SELECT row_number() OVER (ORDER BY day) AS no, * FROM (
+    SELECT CAST(ts AS DATE) AS day, list(struct_pack(u := user_id, t := epoch_us(CAST(ts AS TIMESTAMP)), i := event_id) ORDER BY ts, event_id) AS seen
+    FROM events GROUP BY 1)),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS no, struct_pack(last := MAP([CAST(-1 AS BIGINT)], [CAST(0 AS BIGINT)]), ids := CAST([] AS BIGINT[]), u := CAST(-1 AS BIGINT), t := CAST(0 AS BIGINT), i := CAST(-1 AS BIGINT)) AS s
+  UNION ALL
+  SELECT d.no, list_reduce(list_transform(d.seen, lambda e: struct_pack(last := r.s.last, ids := CAST([] AS BIGINT[]), u := CAST(e.u AS BIGINT), t := CAST(e.t AS BIGINT), i := CAST(e.i AS BIGINT))),
+    lambda a, e: CASE WHEN len(a.ids) < 100 AND (a.last[e.u] IS NULL OR e.t - a.last[e.u] > 21600000000)
+      THEN struct_pack(last := map_concat(a.last, MAP([e.u], [e.t])), ids := list_append(a.ids, e.i), u := e.u, t := e.t, i := e.i) ELSE a END,
+    struct_pack(last := r.s.last, ids := CAST([] AS BIGINT[]), u := CAST(-1 AS BIGINT), t := CAST(0 AS BIGINT), i := CAST(-1 AS BIGINT)))
+  FROM run r JOIN days d ON d.no = r.no + 1),
+passed AS (SELECT no, unnest(s.ids) AS event_id FROM run),
+full_days AS (SELECT d.day, max(struct_pack(t := CAST(e.ts AS TIMESTAMP), i := e.event_id)) AS last FROM passed p JOIN days d USING (no)
+  JOIN events e USING (event_id) GROUP BY d.day HAVING count(*) = 100)
+SELECT e.user_id, e.ts, e.event_id, CASE WHEN p.event_id IS NOT NULL THEN 'admitted'
+  WHEN struct_pack(t := CAST(e.ts AS TIMESTAMP), i := e.event_id) > f.last THEN 'cap' ELSE 'window' END AS verdict
+FROM events e LEFT JOIN passed p USING (event_id) LEFT JOIN full_days f ON f.day = CAST(e.ts AS DATE)"""
+O["admission_stream_capped"] = O["admission_capped"]
 
 # ---------------------------------------------------------------- files
 O["csv_read"] = """SELECT o_orderkey AS order_key, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS order_date,

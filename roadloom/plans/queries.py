@@ -933,12 +933,34 @@ def turn_stream(spark, sf):
     return rounded(_naive(out, "window_start", "window_end"), "mean_seconds")
 
 
+def _in_turn(events: DataFrame, path: str, stretches: int = 3) -> None:
+    """Events as files, the older ones first."""
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / stretches
+    for i in range(stretches):
+        later = (F.col("ts") >= first + i * step) if i else F.lit(True)
+        earlier = (F.col("ts") < first + (i + 1) * step) if i + 1 < stretches else F.lit(True)
+        events.where(later & earlier).write.mode("append").parquet(path)
+
+
+@query
+def admission_stream_capped(spark, sf):
+    """The daily cap over several micro-batches, in which a day may end in the middle."""
+    path = scratch_path(spark, "visits")
+    events = d.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id")
+    _in_turn(events, path)
+    rule = stream_admission.SettledAdmission(scratch_path(spark, "settled"), "user_id", "ts", "event_id", 1, 21_600, 100, 3_600)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rule.writer(stream).trigger(availableNow=True).start().awaitTermination()
+    return rule.close(events)
+
+
 @query
 def admission_stream(spark, sf):
     stream_admission.use_rocksdb(spark)
     path = scratch_path(spark, "visits")
     rows = d.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id")
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
+    _in_turn(rows, path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
     return _drain(stream_admission.admit_stream(stream, "user_id", "ts", "event_id", 2, 86_400),
                   scratch_path(spark, "verdicts"))

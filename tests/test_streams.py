@@ -1,6 +1,7 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadloom.operators import admission
@@ -28,6 +29,56 @@ def test_admission_stream_over_several_batches_equals_batch(spark, tmp_path):
     assert verdicts(got) == verdicts(want) and len(verdicts(got)) == 120
 
 
+def _visits(n=240):
+    """Four days; one key has half of the rows, some times come twice."""
+    return [("busy" if i % 2 else f"u{i % 7}", (i // 3) * 4_311 + i % 2, i) for i in range(n)]
+
+
+def _sent(spark, path, rows, sizes):
+    """Rows as files of the given sizes, in order."""
+    df = spark.createDataFrame(rows, "k string, s bigint, id bigint").withColumn("ts", F.timestamp_seconds("s"))
+    at = 0
+    for size in sizes:
+        df.where(F.col("id").isin([r[2] for r in rows[at:at + size]])).coalesce(1).write.mode("append").parquet(path)
+        at += size
+    return df, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@pytest.mark.parametrize("limit, window, cap, delay", [(1, 21_600, 9, 5_000), (3, 100_000, 11, 0), (2, 7_200, None, 50_000), (1, 600, 1, 500_000)])
+def test_settled_admission_equals_batch(spark, tmp_path, limit, window, cap, delay):
+    rows = sorted(_visits(), key=lambda r: r[1:])
+    for i in range(0, len(rows) - 4, 4):
+        rows[i], rows[i + 1] = rows[i + 1], rows[i]      # out of order by less than any delay but none
+    if not delay:
+        rows = sorted(_visits(), key=lambda r: r[1:])
+    df, stream = _sent(spark, str(tmp_path / "in"), rows, [60, 3, 90, 87])
+    rule = stream_admission.SettledAdmission(str(tmp_path / "run"), "k", "ts", "id", limit, window, cap, delay)
+    rule.writer(stream).trigger(availableNow=True).start().awaitTermination()
+    want = {r["id"]: r["verdict"] for r in admission.admit(df, "k", "ts", "id", limit, window, cap).collect()}
+    settled = {r["id"]: r["verdict"] for r in rule.verdicts(df).collect()}
+    assert settled.items() <= want.items() and (len(settled) < len(want)) == (delay > 0)
+    assert {r["id"]: r["verdict"] for r in rule.close(df).collect()} == want
+    assert rule.close(df).count() == len(rows)
+
+
+def test_settled_admission_goes_on_and_names_late_events(spark, tmp_path):
+    rows = sorted(_visits(120), key=lambda r: r[1:])
+    first, second = rows[:70], [*rows[80:], *rows[70:80]]      # ten come after their time
+    rule = stream_admission.SettledAdmission(str(tmp_path / "run"), "k", "ts", "id", 1, 21_600, 4, 0)
+    df, stream = _sent(spark, str(tmp_path / "in"), first, [70])
+    rule.writer(stream).trigger(availableNow=True).start().awaitTermination()
+    assert rule.close(df).count() == 70
+    more, stream = _sent(spark, str(tmp_path / "in"), second, [40, 10])
+    rule.writer(stream).trigger(availableNow=True).start().awaitTermination()
+    got = {r["id"]: r["verdict"] for r in rule.close(df).collect()}
+    in_time = df.unionByName(more.where(~F.col("id").isin([r[2] for r in rows[70:80]])))
+    want = {r["id"]: r["verdict"] for r in admission.admit(in_time, "k", "ts", "id", 1, 21_600, 4).collect()}
+    assert got == want | {r[2]: "late" for r in rows[70:80]}
+    # a batch that runs again finds what the one before has left, and writes the same
+    rule._settle(more.where(F.col("id").isin([r[2] for r in second[:40]])), 1)
+    assert {r["id"]: r["verdict"] for r in rule.close(df).collect()} == got
+
+
 def test_turn_monitor_drops_late_turns_and_emits_closed_windows(spark, tmp_path):
     def turn(ts, ok=True):
         return json.dumps({"ts": ts, "seconds": 2.0, "queries": [{"sql": "x", "ok": ok}]}) + "\n"
