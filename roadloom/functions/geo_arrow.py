@@ -58,33 +58,74 @@ def _inverse(lon1, lat1, lon2, lat2, rounds: int = 60):
     return metres, failed
 
 
-def _far_inverse(lon1, lat1, lon2, lat2) -> float:
-    """Nearly antipodal pair: the geodesic must cross the circle of points 90
-    degrees away from the start, and both halves are well behaved, so take the
-    shortest way over that circle (grid, then refined)."""
-    phi, lam = np.radians(lat1), np.radians(lon1)
-
-    def over(azimuth):
-        lat = np.arcsin(np.clip(np.cos(phi) * np.cos(azimuth), -1, 1))
-        lon = lam + np.arctan2(np.sin(azimuth) * np.cos(phi), -np.sin(phi) * np.sin(lat))
-        lon, lat = np.degrees(lon), np.degrees(lat)
-        return (_inverse(np.full_like(lon, lon1), np.full_like(lon, lat1), lon, lat)[0]
-                + _inverse(lon, lat, np.full_like(lon, lon2), np.full_like(lon, lat2))[0])
-
-    centre, width = 0.0, np.pi
-    for _ in range(8):
-        tries = centre + np.linspace(-width, width, 721)
-        total = over(tries)
-        best = int(np.nanargmin(total))
-        centre, width = tries[best], width / 60
-    return float(total[best])
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
+
+
+def _astroid(x, y):
+    """The positive root k of k^4 + 2 k^3 + (1 - x^2 - y^2) k^2 - 2 y^2 k - y^2, by Newton steps from above."""
+    k = np.hypot(x, y) + 1.0
+    for _ in range(40):
+        value = (((k + 2) * k + 1 - x * x - y * y) * k - 2 * y * y) * k - y * y
+        slope = ((4 * k + 6) * k + 2 * (1 - x * x - y * y)) * k - 2 * y * y
+        k = np.where(slope > 0, np.maximum(k - value / np.where(slope > 0, slope, 1), 0), k)
+    return k
+
+
+def _way(azimuth, s1, c1, s2, c2):
+    """Geodesics that leave reduced latitude 1 at an azimuth, up to reduced latitude 2: difference in longitude, its derivative by
+    the azimuth, and metres.  The two integrals along the way are Gauss-Legendre sums."""
+    sa, ca = np.sin(azimuth), np.cos(azimuth)
+    s0, c0 = sa * c1, np.hypot(ca, sa * s1)
+    cos2 = np.sqrt(np.maximum((ca * c1) ** 2 + (c2 - c1) * (c2 + c1), 0)) / c2
+    sig1, sig2 = np.arctan2(s1, ca * c1), np.arctan2(s2, cos2 * c2)
+    om1, om2 = np.arctan2(s0 * s1, ca * c1), np.arctan2(s0 * s2, cos2 * c2)
+    half = (sig2 - sig1) / 2
+    sin2 = np.sin((sig1 + sig2)[:, None] / 2 + half[:, None] * _NODES) ** 2
+    k2 = (c0 ** 2 * (WGS84_A ** 2 - _B ** 2) / _B ** 2)[:, None]
+    root = np.sqrt(1 + k2 * sin2)
+    total = lambda values: half * (values @ _WEIGHTS)
+    lam = om2 - om1 - WGS84_F * s0 * total((2 - WGS84_F) / (1 + (1 - WGS84_F) * root))
+    ends = [np.sqrt(1 + k2[:, 0] * np.sin(sig) ** 2) for sig in (sig1, sig2)]
+    reduced = (ends[1] * np.cos(sig1) * np.sin(sig2) - ends[0] * np.sin(sig1) * np.cos(sig2)
+               - np.cos(sig1) * np.cos(sig2) * total(k2 * sin2 / root))
+    slope = np.where(cos2 > 0, (1 - WGS84_F) * reduced / np.where(cos2 > 0, cos2 * c2, 1), 0)
+    return lam, slope, _B * total(root)
+
+
+def _far_inverse(lon1, lat1, lon2, lat2) -> np.ndarray:
+    """Nearly antipodal pairs (Karney 2013): with the first point in the south and farther from the equator, the difference in
+    longitude grows with the azimuth at it.  Newton steps from the root of the astroid problem, kept within a bracket, for all
+    pairs at once."""
+    lam = np.radians(np.abs((lon2 - lon1 + 180) % 360 - 180))
+    b1, b2 = (np.arctan((1 - WGS84_F) * np.tan(np.radians(v))) for v in (lat1, lat2))
+    first = np.abs(b1) >= np.abs(b2)
+    b1, b2 = np.where(first, b1, b2), np.where(first, b2, b1)
+    b1, b2 = np.where(b1 > 0, -b1, b1), np.where(b1 > 0, -b2, b2)
+    c1, c2 = np.maximum(np.cos(b1), 1e-18), np.maximum(np.cos(b2), 1e-18)
+    s1, s2 = np.minimum(np.sin(b1), -1e-18), np.sin(b2)
+    x, y = (lam - np.pi) / (WGS84_F * np.pi * c1), (b1 + b2) / (WGS84_F * np.pi * c1 ** 2)
+    k = np.maximum(_astroid(x, y), 1e-18)
+    azimuth = np.where(y == 0, np.arctan2(-np.maximum(x, -1.0), np.sqrt(np.maximum(1 - x * x, 0))), np.arctan2(-x / (1 + k), y / k))
+    low, high = np.zeros(len(lam)), np.full(len(lam), np.pi)
+    for _ in range(80):
+        found, slope, _metres = _way(azimuth, s1, c1, s2, c2)
+        off = found - lam
+        low, high = np.where(off < 0, azimuth, low), np.where(off >= 0, azimuth, high)
+        step = azimuth - off / np.where(slope > 0, slope, 1)
+        inside = (slope > 0) & (step > low) & (step < high)
+        new = np.where(inside, step, (low + high) / 2)
+        done, azimuth = np.max(np.abs(new - azimuth), initial=0.0) < 1e-15, new
+        if done:
+            break
+    return _way(azimuth, s1, c1, s2, c2)[2]
 
 
 def geodesic_m(lon1, lat1, lon2, lat2) -> np.ndarray:
     """Ellipsoidal metres for arrays of point pairs."""
+    lon1, lat1, lon2, lat2 = (np.asarray(v, float) for v in (lon1, lat1, lon2, lat2))
     metres, failed = _inverse(lon1, lat1, lon2, lat2)
-    for i in np.flatnonzero(failed):
-        metres[i] = _far_inverse(lon1[i], lat1[i], lon2[i], lat2[i])
+    if failed.any():
+        metres[failed] = _far_inverse(lon1[failed], lat1[failed], lon2[failed], lat2[failed])
     return metres
 
 

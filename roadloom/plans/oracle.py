@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from roadloom.constants import (
     CLASS_ORDER, FILE_READERS, INCIDENT_CLASSES, INCIDENT_NAME, INCIDENT_WEEKS, PLACE_LEAVES, REFUSAL_MARKERS,
-    SEGMENT_LEAVES, STATEMENT_STARTS, WRITE_KEYWORDS,
+    SEGMENT_LEAVES, STATEMENT_STARTS, WGS84_A, WGS84_F, WRITE_KEYWORDS,
 )
 from roadloom.plans import derived as d
 
@@ -55,6 +55,30 @@ CTE["versions"] = f"""SELECT '{d.RELEASE_A}' AS release, id, class, name, length
   WHERE opened < DATE '{d.OPENED_AFTER_A}' UNION ALL
   SELECT '{d.RELEASE_B}', id, class, name, length_km * CASE WHEN status = 'F' THEN 1.02e0 ELSE 1e0 END, cx, cy
   FROM cells0 WHERE opened >= DATE '{d.WITHDRAWN_BEFORE_B}'"""
+
+
+def _ellipsoidal(rounds: int = 8) -> str:
+    """Metres of each road on the ellipsoid: the inverse problem after Vincenty, its rounds written out one in another."""
+    pieces = " UNION ALL ".join(f"SELECT id, x{a} AS xa, y{a} AS ya, x{b} AS xb, y{b} AS yb FROM roads" + (" WHERE two" if a == 4 else "")
+                                for a, b in ((1, 2), (2, 3), (4, 5)))
+    f, axis = f"CAST({WGS84_F!r} AS DOUBLE)", f"CAST({WGS84_A!r} AS DOUBLE)"
+    low = f"({axis} * (1 - {f}))"
+    at = f"""SELECT id, radians(xb - xa) AS dl, radians(xb - xa) AS lam, atan((1 - {f}) * tan(radians(ya))) AS u1,
+        atan((1 - {f}) * tan(radians(yb))) AS u2 FROM ({pieces})"""
+    for _ in range(rounds):
+        angles = f"""SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss,
+            sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM ({at})"""
+        bend = f"SELECT *, atan2(ss, cs) AS sig, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0e0 END AS sa FROM ({angles})"
+        mid = f"SELECT *, 1 - sa * sa AS ca2, CASE WHEN sa * sa < 1 THEN cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) ELSE 0e0 END AS cm FROM ({bend})"
+        last = f"SELECT *, {f} / 16 * ca2 * (4 + {f} * (4 - 3 * ca2)) AS c FROM ({mid})"
+        at = f"SELECT id, dl, u1, u2, dl + (1 - c) * {f} * sa * (sig + c * ss * (cm + c * cs * (2 * cm * cm - 1))) AS lam FROM ({last})"
+    series = f"SELECT *, ca2 * ({axis} * {axis} - {low} * {low}) / ({low} * {low}) AS w FROM ({last})"
+    ab = f"""SELECT *, 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))) AS a, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS b FROM ({series})"""
+    return f"""SELECT id, sum({low} * a * (sig - b * ss * (cm + b / 4 * (cs * (2 * cm * cm - 1)
+        - b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))))) AS metres FROM ({ab}) GROUP BY id"""
+
+
+CTE["ellipsoidal"] = _ellipsoidal()
 CTE["grid"] = """SELECT n_name AS state, n_nationkey % 5 AS i, CAST(floor(n_nationkey / 5e0) AS BIGINT) AS j FROM nation"""
 CTE["corner"] = """SELECT state, k, 6.0037e0 + 1.7e0 * (i + di) + 0.031e0 * (j + dj) AS x,
   47.5041e0 + 1.3e0 * (j + dj) + 0.023e0 * (i + di) AS y
@@ -405,6 +429,7 @@ round(avg(length_km) * 1000, 6) AS mean_segment_m FROM roads""")
 O["table_points"] = sql(["places"], "SELECT lon, lat FROM places")
 
 # ---------------------------------------------------------------- geometry
+O["spheroid_length"] = sql(ROADS + ["ellipsoidal"], "SELECT id, round(metres, 3) AS metres FROM ellipsoidal")
 O["path_length"] = sql(ROADS, "SELECT id, round(length_km, 6) AS length_km FROM roads")
 O["centroid"] = sql(ROADS + ["cells0"], "SELECT id, round(gx, 6) AS x, round(gy, 6) AS y, cx, cy FROM cells0")
 _MEAN = {c: f"CASE WHEN two THEN ({c}1 + {c}2 + {c}3 + {c}4 + {c}5) / 5 ELSE ({c}1 + {c}2 + {c}3) / 3 END" for c in "xy"}
@@ -595,9 +620,9 @@ O["boundary_cache"] = sql(["grid", "corner", "edges"], f"SELECT state, {r6('x1',
 O["boundary_scan"] = sql(["grid", "corner", "edges"], f"""SELECT state, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) AS area,
 round(min(x1), 6) AS xmin, round(max(x1), 6) AS xmax, round(min(y1), 6) AS ymin, round(max(y1), 6) AS ymax FROM edges
 WHERE CAST(regexp_extract(state, '[0-9]+') AS INTEGER) % 4 <> 3 AND CAST(regexp_extract(state, '[0-9]+') AS INTEGER) % 5 <> 4 GROUP BY state""")
-O["extract_scan"] = sql(ROADS + ["cells0"], f"""SELECT class, name IS NOT NULL AS is_named, {r6('length_km')}, cx, cy,
+O["extract_scan"] = sql(ROADS + ["cells0", "ellipsoidal"], """SELECT class, name IS NOT NULL AS is_named, round(metres / 1000, 6) AS length_km, cx, cy,
 CASE WHEN class = 'motorway' THEN CAST(id AS VARCHAR) END AS map_id, CASE WHEN class = 'motorway' THEN name END AS map_name
-FROM cells0 WHERE status <> 'F' AND class IN ('motorway', 'primary') AND x1 BETWEEN 7e0 AND 12.5e0 AND y1 BETWEEN 48e0 AND 53.25e0""")
+FROM cells0 JOIN ellipsoidal USING (id) WHERE status <> 'F' AND class IN ('motorway', 'primary') AND x1 BETWEEN 7e0 AND 12.5e0 AND y1 BETWEEN 48e0 AND 53.25e0""")
 O["extract_places"] = sql(["places"], """SELECT CAST(id AS VARCHAR) AS id, name, category, 'poi' AS basic_category,
 round(confidence, 6) AS confidence, operating_status, CASE WHEN operating_status = 'open' THEN locality END AS locality,
 round(lon, 6) AS lon, round(lat, 6) AS lat FROM places WHERE lon BETWEEN 8.55e0 AND 8.80e0 AND lat BETWEEN 50.10e0 AND 50.23e0""")

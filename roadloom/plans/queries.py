@@ -878,7 +878,7 @@ def extract_scan(spark, sf):
         "class", names.alias("names"), F.struct(first["x"].alias("xmin"), first["y"].alias("ymin")).alias("bbox"),
         geo_arrow.geojson_to_wkb(geo.parts_geojson("parts")).alias("geometry")).write.parquet(path))
     rows = extracts.scan_segments(spark, path, (7.0, 48.0, 12.5, 53.25), ["motorway", "primary"])
-    out = extracts.derive_segments(rows, d.RELEASE_A, ellipsoidal=False)
+    out = extracts.derive_segments(rows, d.RELEASE_A)
     return rounded(out.select("class", "is_named", "length_km", "cx", "cy", "map_id", "map_name"), "length_km")
 
 

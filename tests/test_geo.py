@@ -103,10 +103,35 @@ def test_rounded_coordinates(spark, geometry, text):
     ((0.0, 0.0), (180.0, 0.0), 20003931.459),
     ((0.0, 30.0), (179.8, -29.9), 19989832.828),
     ((8.0, 50.0), (8.0, 50.0), 0.0),
+    ((0.0, 90.0), (0.0, -90.0), 20003931.459),
 ])
 def test_ellipsoidal_distance(a, b, metres):
     got = geo_arrow.geodesic_m(*[np.array([v]) for v in (*a, *b)])
-    assert got[0] == pytest.approx(metres, abs=0.01)
+    assert got[0] == pytest.approx(metres, abs=0.001)
+
+
+def test_both_solvers_agree_where_both_hold():
+    rng = np.random.default_rng(5)
+    near = [rng.uniform(-180, 180, 4000), rng.uniform(-90, 90, 4000)]
+    for far in ([rng.uniform(-180, 180, 4000), rng.uniform(-90, 90, 4000)],
+                [near[0] + 180 + rng.uniform(-2, 2, 4000), np.clip(-near[1] + rng.uniform(-2, 2, 4000), -90, 90)]):
+        metres, failed = geo_arrow._inverse(*near, *far)
+        assert np.abs(geo_arrow._far_inverse(*near, *far) - metres)[~failed].max() < 1e-3
+        assert np.isfinite(geo_arrow.geodesic_m(*near, *far)).all()
+
+
+def test_nearly_antipodal_way_is_the_shortest_over_any_point():
+    lon, lat = np.array([0.0, 10.0]), np.array([0.3, -41.0])
+    end = np.array([179.7, -169.6]), np.array([-0.2, 41.1])
+    found = geo_arrow.geodesic_m(lon, lat, *end)
+    for i in range(2):      # a circle of points a quarter of the way round: all ways over them are as long or longer, one is as short
+        azimuth, phi = np.linspace(-np.pi, np.pi, 200_001), np.radians(lat[i])
+        over_lat = np.arcsin(np.clip(np.cos(phi) * np.cos(azimuth), -1, 1))
+        over_lon = np.degrees(np.radians(lon[i]) + np.arctan2(np.sin(azimuth) * np.cos(phi), -np.sin(phi) * np.sin(over_lat)))
+        over_lat, n = np.degrees(over_lat), len(azimuth)
+        total = (geo_arrow._inverse(np.full(n, lon[i]), np.full(n, lat[i]), over_lon, over_lat)[0]
+                 + geo_arrow._inverse(over_lon, over_lat, np.full(n, end[0][i]), np.full(n, end[1][i]))[0])
+        assert abs(np.nanmin(total) - found[i]) < 1e-3
 
 
 def test_ellipsoidal_length_column(spark):
