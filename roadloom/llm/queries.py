@@ -52,7 +52,9 @@ def op6_chat_format(spark, sf_dir):
 
 
 def op7_token_counts(spark, sf_dir):
-    return lengths.histogram(lengths.counted(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)))
+    """The histogram of lengths, with what the usual context limits keep and where the quantiles are."""
+    counts = lengths.counted(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return lengths.histogram(counts, limits=[1 << i for i in range(7, 21)], shares=[0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999, 1.0])
 
 
 def op8_binary_tokens(spark, sf_dir):

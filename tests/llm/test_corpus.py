@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, ties, repeated rows, clashing columns and empty tables."""
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -165,15 +166,18 @@ def test_elias_fano_selects(values):
 def test_histogram_answers_for_every_limit(spark, docs):
     t = Tokenizer.from_file(BYTE)
     n = sorted(len(t.encode(x or "", add_special_tokens=False).ids) for _, x, *_ in ROWS)
-    hist = lengths.histogram(lengths.counted(docs, BYTE)).cache()
+    absent = next(x for x in range(2, 10**4) if x not in n)
+    asked = [1, absent, 50, n[-1], 10**6, 10**6]
+    hist = lengths.histogram(lengths.counted(docs, BYTE), limits=asked, shares=[0.0, 0.5, 0.77, 1.0]).cache()
+    assert {r["length"] for r in hist.collect()} == {*n, *asked}
     for r in hist.collect():
         m = r["length"]
         want = (n.count(m), m * n.count(m), sum(x >= m for x in n), sum(x for x in n if x >= m), sum(x <= m for x in n), sum(x for x in n if x <= m), sum(min(x, m) for x in n))
-        assert tuple(r)[1:] == want
-    limits = {r["limit"]: tuple(r)[1:] for r in lengths.for_limits(hist, [1, 50, 10**6]).collect()}
-    assert limits == {m: (sum(x > m for x in n), sum(min(x, m) for x in n), sum(max(0, x - m) for x in n)) for m in (1, 50, 10**6)}
-    shares = {r["share"]: r["length"] for r in lengths.quantiles(hist, [0.0, 0.5, 1.0]).collect()}
-    assert shares == {0.0: n[0], 0.5: n[-(-len(n) // 2) - 1], 1.0: n[-1]}
+        assert tuple(r)[1:8] == want and r["is_limit"] == (m in asked)
+    limits = {r["limit"]: tuple(r)[1:] for r in lengths.for_limits(hist).collect()}
+    assert limits == {m: (sum(x > m for x in n), sum(min(x, m) for x in n), sum(max(0, x - m) for x in n)) for m in asked}
+    shares = {r["share"]: r["length"] for r in lengths.quantiles(hist).collect()}
+    assert shares == {s: n[max(math.ceil(s * len(n)), 1) - 1] for s in (0.0, 0.5, 0.77, 1.0)}
 
 
 def test_nearest_codes_are_those_of_all_pairs(spark):
@@ -328,6 +332,8 @@ def test_empty_tables(spark, nothing, tmp_path):
     assert jaccard.components_of(nothing).isEmpty() and dedup.copies(nothing).isEmpty() and bpe.encode(nothing, WORD).isEmpty()
     assert langid.identify(nothing, langid.fit(nothing)).isEmpty() and mixing.mix(nothing).isEmpty() and mixing.mixed_rows(nothing).isEmpty()
     assert lengths.histogram(lengths.counted(nothing, BYTE)).isEmpty()
+    (limit,) = lengths.histogram(lengths.counted(nothing, BYTE), limits=[9], shares=[0.5]).collect()
+    assert tuple(limit) == (9, 0, 0, 0, 0, 0, 0, 0, True, [])
     binary.write(nothing, str(tmp_path / "none"), BYTE, 2)
     assert binary.read(spark, str(tmp_path / "none")).isEmpty()
     chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
