@@ -41,27 +41,29 @@ def distance_join(places: DataFrame, landmarks: DataFrame, radius_m: float,
     """Pairs of a place and a landmark at most ``radius_m`` apart, with the
     distance in metres.
 
-    Both sides are keyed by grid cells a radius wide: a place has one cell, a
-    landmark all cells its circle can touch.  The equi join on the cell then
-    meets only near neighbours; a cell may hold any share of the places, hence
-    the skew-safe join.  ``landmarks``: landmark, to_lon, to_lat.
+    Both sides are keyed by cells: bands of latitude a radius high, each with as
+    many columns as fit a radius wide at its edge nearer to the pole.  A place
+    has one cell, a landmark the cells its circle can touch, some twenty at
+    most wherever it lies.  The equi join on the cell then meets only near
+    neighbours; a cell may hold any share of the places, hence the skew-safe
+    join.  ``landmarks``: landmark, to_lon, to_lat.
     """
     size = max(_degrees(radius_m), 1e-6)
-    columns = int(math.ceil(360.0 / size))
-    gx = lambda c: F.floor((c + 180.0) / size).cast("bigint")
-    gy = lambda c: F.floor(c / size).cast("bigint")
-    keyed = places.withColumn("gx", F.pmod(gx(F.col(x)), F.lit(columns))).withColumn("gy", gy(F.col(y)))
+    band = lambda c: F.floor(c / size).cast("bigint")
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(F.col("gy") * size), F.abs((F.col("gy") + 1) * size)))
+    columns = F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * (360.0 / size))).cast("bigint")
+    column = lambda c: F.floor((c + 180.0) / 360.0 * F.col("columns")).cast("bigint")
+    keyed = places.withColumn("gy", band(F.col(y))).withColumn("columns", columns)
+    keyed = keyed.withColumn("gx", F.pmod(column(F.col(x)), F.col("columns"))).drop("columns")
 
     lat = F.col("to_lat")
     reach = F.sin(F.radians(F.lit(size))) / F.cos(F.radians(lat))
     dx = F.when((F.abs(lat) + size < 90.0) & (reach < 1), F.degrees(F.asin(reach)) + 1e-9).otherwise(F.lit(180.0))
-    west, east = gx(F.col("to_lon") - dx), gx(F.col("to_lon") + dx)
-    # The last column of the ring may be narrower than the others: reach one further.
-    span = F.sequence(west - 1, F.least(east + 1, west - 1 + F.lit(columns)))
-    reached = (landmarks
-               .withColumn("gx", F.explode(F.array_distinct(
-                   F.transform(span, lambda c: F.pmod(c, F.lit(columns))))))
-               .withColumn("gy", F.explode(F.sequence(gy(lat - size), gy(lat + size)))))
+    bands = F.sequence(band(F.greatest(lat - size, F.lit(-90.0))), band(F.least(lat + size, F.lit(90.0))))
+    reached = landmarks.withColumn("gy", F.explode(bands)).withColumn("columns", columns)
+    west, east = column(F.col("to_lon") - dx), column(F.col("to_lon") + dx)
+    span = F.sequence(west, F.least(east, west + F.col("columns") - 1))
+    reached = reached.withColumn("gx", F.explode(F.transform(span, lambda c: F.pmod(c, F.col("columns"))))).drop("columns")
     metres = geo.distance_m(x, y, "to_lon", "to_lat")
     return (skew_join(keyed, reached, ["gx", "gy"]).drop("gx", "gy")
             .withColumn("distance_m", metres).where(F.col("distance_m") <= radius_m))

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import random
 from collections import deque
 
@@ -124,6 +125,25 @@ def test_distance_join_equals_brute_force(spark):
         assert got == {(r["id"], r["landmark"]) for r in pairs.collect()} and len(got) > 300
 
 
+@pytest.mark.parametrize("radius", [1.0, 40.0])
+def test_distance_join_at_the_poles(spark, radius, monkeypatch):
+    rng = random.Random(9)
+    step = radius / 111_195
+    marks = [(f"{sign:+}/{k}", rng.uniform(-180, 180), sign * (90 - k * step)) for sign in (1, -1) for k in (0.0, 0.4, 1.0, 1.5, 2.0, 2.6, 7.3)]
+    marks += [("line", 179.99999999, 89.0), ("low", 8.0, 0.0), ("mid", -180.0, -45.0)]
+    pts = [(i, rng.uniform(-180, 180), sign * (90 - abs(rng.gauss(0, 3)) * step)) for sign in (1, -1) for i in range(400)]
+    pts += [(i, lon + rng.gauss(0, 0.6) * step / max(math.cos(math.radians(lat)), 0.01), min(max(lat + rng.gauss(0, 0.6) * step, -90.0), 90.0)) for i in range(40) for _, lon, lat in marks]
+    pts += [(0, lon, lat) for lon in (-180.0, 0.0, 180.0) for lat in (90.0, -90.0)]
+    places = spark.createDataFrame([(n, (lon + 180) % 360 - 180, lat) for n, (_, lon, lat) in enumerate(pts)], "id int, lon double, lat double")
+    spots = spark.createDataFrame(marks, "landmark string, to_lon double, to_lat double")
+    cells, join = [], proximity.skew_join
+    monkeypatch.setattr(proximity, "skew_join", lambda a, b, keys: cells.append(b.groupBy("landmark").count()) or join(a, b, keys))
+    got = [(r["id"], r["landmark"]) for r in proximity.distance_join(places, spots, radius).collect()]
+    pairs = places.crossJoin(spots).where(geo.distance_m("lon", "lat", "to_lon", "to_lat") <= radius)
+    assert sorted(got) == sorted((r["id"], r["landmark"]) for r in pairs.collect()) and len({m for _, m in got}) == len(marks)
+    assert max(r["count"] for r in cells[0].collect()) <= 24
+
+
 @pytest.mark.parametrize("lon, lat, radius", [(8.6, 50.1, 2000.0), (180.0, 10.0, 500.0), (0.0, 89.9999, 500.0)])
 def test_radius_search_equals_plain_distance(spark, lon, lat, radius):
     rng = random.Random(5)
