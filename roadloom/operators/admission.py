@@ -11,6 +11,10 @@ All chunks start from "nothing admitted before"; then the chunks whose starting
 point turned out different are evaluated again, until none is left.  By
 induction over time the result is the sequential one.  Quiet stretches longer
 than the window settle at once, so few rounds touch more than a small part.
+
+With a limit of 1 and no cap the rounds are not needed (``_starts_by_pointers``):
+what a chunk can be left with are few single times, so each chunk becomes a map
+from one such time to the next, and the maps are composed by pointer doubling.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +79,12 @@ def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s
     chunk = ["k", "chunk"]
     chunks = base.select(*chunk).distinct()
     none = F.array().cast("array<bigint>")
-    admitted = materialize(_evaluate(base, None, limit, window), "admitted")
     used = None
+    if limit == 1 and daily_cap is None and carried is None and chunk_us >= window:
+        starts = _starts_by_pointers(base, window, chunk_us)
+        admitted = materialize(_evaluate(base, starts, limit, window), "admitted")
+        return _verdicts(base, admitted, events, key, ts, order, None, None)
+    admitted = materialize(_evaluate(base, None, limit, window), "admitted")
     while True:
         starts = chunks.join(_starts(_under_cap(admitted, daily_cap, carried), limit, window, chunk_us, carried), chunk, "left").select(
             *chunk, F.coalesce("start", none).alias("start"))
@@ -90,7 +99,11 @@ def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s
         rows = base.join(changed.select(*chunk), chunk, "left_semi").select(*base.columns)
         kept = admitted.join(changed.select(*chunk), chunk, "left_anti").select(*base.columns)
         admitted = materialize(kept.unionByName(_evaluate(rows, changed, limit, window)), "admitted")
+    return _verdicts(base, admitted, events, key, ts, order, daily_cap, carried)
+
 
+def _verdicts(base: DataFrame, admitted: DataFrame, events: DataFrame, key: str, ts: str, order: str,
+              daily_cap: int | None, carried: Carried | None) -> DataFrame:
     verdicts = base.join(_under_cap(admitted, daily_cap, carried).select("k", "t", "o", F.lit(True).alias("ok")),
                          ["k", "t", "o"], "left")
     verdict = F.when(F.col("ok"), "admitted")
@@ -136,6 +149,111 @@ def _evaluate(rows: DataFrame, starts: DataFrame | None, limit: int, window: int
     return run.mapInPandas(scan, rows.drop("seed").schema)
 
 
+#: The state in which nothing has been admitted within the window.
+_NOTHING = -(2 ** 61)
+
+
+class _Chains:
+    """What becomes of several possible states (the time admitted last) as events of one key pass by.  States that admit the same
+    event are one from then on; each knows where it began.  While ``open_until`` has not been passed every event begins one."""
+
+    def __init__(self, window: int, open_until: int | None = None):
+        self.window, self.open_until, self.live = window, open_until, deque()
+
+    def seed(self, t: int) -> None:
+        self.live.append([t, [t], False])
+
+    def _admit(self, t: int, begins: bool) -> None:
+        origins = []
+        while self.live and self.live[0][0] + self.window < t:
+            origins += self.live.popleft()[1]
+            begins = True
+        if begins and not (self.live and self.live[-1][0] == t):
+            self.live.append([t, origins, True])
+
+    def take(self, times: np.ndarray) -> None:
+        i = 0
+        while i < len(times):
+            if self.open_until is not None:
+                t = int(times[i])
+                self._admit(t, True)
+                if t > self.open_until:
+                    self.open_until = None
+                i += 1
+                continue
+            if not self.live:
+                return
+            i = max(i, int(np.searchsorted(times, self.live[0][0] + self.window, side="right")))
+            if i < len(times):
+                self._admit(int(times[i]), False)
+                i += 1
+
+
+def _followed(rows: DataFrame, window: int, chunk_us: int, begin: bool, schema: str) -> DataFrame:
+    """(key, chunk) runs of events, after their seeds, to what each possible state becomes."""
+    run = rows.repartition("k", "chunk").sortWithinPartitions("k", "chunk", F.desc("seed"), "t").select("k", "chunk", "t", "seed")
+
+    def scan(batches):
+        current, chains = None, None
+
+        def ends():
+            if chains is None:
+                return []
+            live = [(at, origin, moved) for at, origins, moved in chains.live for origin in (origins if not begin else [at])]
+            return [(*current, origin, at if moved else _NOTHING) for at, origin, moved in live]
+
+        for pdf in batches:
+            k = pdf["k"].astype(object).where(pdf["k"].notna(), None).to_numpy()
+            chunk, t, seed = pdf["chunk"].to_numpy(), pdf["t"].to_numpy(), pdf["seed"].to_numpy()
+            new = np.flatnonzero((k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+            out = []
+            for a, b in zip([0, *new], [*new, len(pdf)], strict=True):
+                if a == b:
+                    continue
+                if (k[a], int(chunk[a])) != current:
+                    out += ends()
+                    current = (k[a], int(chunk[a]))
+                    chains = _Chains(window, current[1] * chunk_us + window if begin else None)
+                first = a + int(np.count_nonzero(seed[a:b]))
+                for x in t[a:first]:
+                    chains.seed(int(x))
+                chains.take(t[first:b])
+            yield pd.DataFrame(out, columns=["k", "chunk", "start", "after"])
+        yield pd.DataFrame(ends(), columns=["k", "chunk", "start", "after"])
+
+    return run.mapInPandas(scan, schema)
+
+
+def _starts_by_pointers(base: DataFrame, window: int, chunk_us: int) -> DataFrame:
+    """The state in which every (key, chunk) really starts, for a limit of 1 and chunks not shorter than the window.
+
+    An event that a chunk admits first lies within a window of its beginning, or is the next one, whatever came before: so the times
+    a chunk can be left with are known from the chunk alone.  They seed the chunk after it; a state under which a chunk admits
+    nothing is out of reach when the next one begins.  Nodes are (key, chunk, state before it), each with one successor; those
+    that can be reached from the first chunk of a key are found by doubling, in as many steps as the number of chunks has
+    binary digits.  Keys meet their own chunks only, and a hot key has one row for each chunk and state.
+    """
+    rows, fields = base.withColumn("seed", F.lit(False)), f"k {dict(base.dtypes)['k']}, chunk bigint, start bigint, after bigint"
+    left = materialize(_followed(rows, window, chunk_us, True, fields).select("k", "chunk", "after"), "left")
+    order = Window.partitionBy("k").orderBy("chunk")
+    chunks = base.select("k", "chunk").distinct().select("k", "chunk", F.lead("chunk").over(order).alias("next"), F.row_number().over(order).alias("no"))
+    chunks = materialize(chunks, "chunks")
+    most = chunks.agg(F.max("no")).first()[0] or 0
+    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
+    seeds = left.join(chunks, same(left, chunks, "k", "chunk"), "left").select(left["k"], F.col("next").alias("chunk"), F.col("after").alias("t")).where("chunk is not null")
+    seeds = seeds.unionByName(chunks.select("k", "chunk", F.lit(_NOTHING).alias("t"))).withColumn("seed", F.lit(True))
+    found = _followed(rows.select("k", "chunk", "t", "seed").unionByName(seeds), window, chunk_us, False, fields)
+    to = found.join(chunks, same(found, chunks, "k", "chunk")).select(found["k"], found["chunk"], "start", F.col("next").alias("to_chunk"), F.col("after").alias("to_start"))
+    jumps = materialize(to.where("to_chunk is not null"), "jumps")
+    reached = chunks.where("no = 1").select("k", "chunk", F.lit(_NOTHING).alias("start"))
+    for step in range(max(most - 1, 0).bit_length()):
+        here = reached.alias("a").join(jumps.alias("b"), F.expr("a.k <=> b.k AND a.chunk = b.chunk AND a.start = b.start"))
+        reached = materialize(reached.unionByName(here.selectExpr("a.k AS k", "b.to_chunk AS chunk", "b.to_start AS start")), "reached")
+        twice = jumps.alias("a").join(jumps.alias("b"), F.expr("a.k <=> b.k AND a.to_chunk = b.chunk AND a.to_start = b.start"))
+        jumps = materialize(twice.selectExpr("a.k AS k", "a.chunk AS chunk", "a.start AS start", "b.to_chunk AS to_chunk", "b.to_start AS to_start"), "jumps")
+    return reached.where(F.col("start") != _NOTHING).select("k", "chunk", F.array("start").alias("start"))
+
+
 def _left(daily_cap: int, carried: Carried | None):
     """How many events a ``day`` may still admit."""
     if carried is None:

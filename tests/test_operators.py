@@ -418,6 +418,7 @@ def _sequential(events, limit, window, cap):
 
 @pytest.mark.parametrize("limit, window, cap, chunk", [
     (2, 3600, None, None), (1, 50_000, None, 7200), (3, 100_000, None, 20_000), (2, 3000, 60, 86_400), (1, 30_000, 25, 21_600),
+    (1, 7200, None, 7200), (1, 600, None, 3600), (1, 90_000, None, 86_400),
 ])
 def test_admission_equals_the_sequential_rule(spark, limit, window, cap, chunk):
     rng = random.Random(limit)
@@ -427,6 +428,41 @@ def test_admission_equals_the_sequential_rule(spark, limit, window, cap, chunk):
     assert {r["id"]: r["verdict"] for r in got.collect()} == _sequential(events, limit, window, cap)
 
 
+def test_a_key_without_a_pause_settles_in_a_number_of_steps(spark, monkeypatch):
+    rng = random.Random(3)
+    events = [("busy", 9_000 * i + rng.randrange(0, 9_000, 900), i) for i in range(167 * 86_400 // 9_000)]
+    events += [("rare", 40 * 86_400 * i, 10_000 + i) for i in range(4)] + [("twice", 500, 20_000), ("twice", 500, 20_001)]
+    df = spark.createDataFrame(events, "k string, s bigint, id bigint").withColumn("ts", F.timestamp_seconds("s"))
+    writes, whole = [], admission.materialize
+    monkeypatch.setattr(admission, "materialize", lambda d, name: writes.append(name) or whole(d, name))
+    got = admission.admit(df, "k", "ts", "id", 1, 36_000, chunk_s=86_400)
+    assert {r["id"]: r["verdict"] for r in got.collect()} == _sequential(events, 1, 36_000, None)
+    assert len(writes) <= 5 + 2 * 8         # 167 chunks
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chains_follow_every_state(seed):
+    rng = random.Random(seed)
+    window, times = rng.choice([3, 10, 25]), sorted(rng.choices(range(100, 200), k=rng.randrange(0, 40)))
+    seeds = sorted({-(2 ** 61), *rng.sample(range(60, 100), 5)})
+
+    def plain(at):
+        for t in times:
+            at = t if t - at > window else at
+        return at
+
+    known, found = admission._Chains(window, 100 + window), admission._Chains(window)
+    for a in seeds:
+        found.seed(a)
+    cut = rng.randrange(0, len(times) + 1)
+    for chains in (known, found):
+        chains.take(np.array(times[:cut], np.int64))
+        chains.take(np.array(times[cut:], np.int64))
+    ends = {origin: at for at, origins, _ in found.live for origin in origins}
+    assert ends == {a: plain(a) for a in seeds}
+    assert {at for at in ends.values() if at >= 100} <= {at for at, *_ in known.live}
+
+
 def test_window_frees_a_key_only_after_it(spark):
     df = spark.createDataFrame([("a", t, t) for t in (0, 10, 600, 601)], "k string, s bigint, id bigint").withColumn("ts", F.timestamp_seconds("s"))
     got = {r["id"]: r["verdict"] for r in admission.admit(df, "k", "ts", "id", 1, 600).collect()}
