@@ -147,45 +147,70 @@ def spheroid_length_m(parts) -> Column:
 
 # ---------------------------------------------------------------- simplification
 
-def _kept(xy: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker (1973): which vertices of one path stay."""
+def kept_vertices(xy: np.ndarray, ends: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker (1973): which vertices stay, of all paths of a batch at once, level by level.  ``ends`` is where each path
+    ends among the vertices; no path is empty."""
+    a, b = np.append(0, ends[:-1]).astype(np.int64), np.asarray(ends, np.int64) - 1
     keep = np.zeros(len(xy), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(xy) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        inner, base = xy[a + 1:b] - xy[a], xy[b] - xy[a]
-        squared = float(base @ base)
-        along = np.clip(inner @ base / squared, 0, 1) if squared else np.zeros(len(inner))
-        off = np.hypot(*(inner - along[:, None] * base).T)
-        far = int(np.argmax(off))
-        if off[far] > tolerance:
-            mid = a + 1 + far
-            keep[mid] = True
-            todo += [(a, mid), (mid, b)]
-    return keep
+    keep[a] = keep[b] = True
+    while True:
+        wide = b - a >= 2
+        a, b = a[wide], b[wide]
+        if not len(a):
+            return keep
+        n = b - a - 1
+        first, owner = np.cumsum(n) - n, np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(owner)) - first[owner] + a[owner] + 1
+        base = xy[b] - xy[a]
+        squared, inner, along_base = (base ** 2).sum(1), xy[at] - xy[a][owner], base[owner]
+        share = (inner * along_base).sum(1) / np.where(squared > 0, squared, 1)[owner]
+        off = np.hypot(*(inner - np.clip(share, 0, 1)[:, None] * along_base).T)
+        top = np.maximum.reduceat(off, first)
+        far = np.minimum.reduceat(np.where(off == top[owner], at, len(xy)), first)
+        split = top > tolerance
+        middle = far[split]
+        keep[middle] = True
+        a, b = np.concatenate([a[split], middle]), np.concatenate([middle, b[split]])
+
+
+#: Depth of the paths in the coordinates, and how many vertices a path needs.
+_PATHS = {"LineString": (0, 2), "MultiLineString": (1, 2), "Polygon": (1, 4), "MultiPolygon": (2, 4)}
+
+
+def _each_path(coords, depth: int):
+    if depth == 0:
+        yield coords
+    else:
+        for inner in coords:
+            yield from _each_path(inner, depth - 1)
+
+
+def _with_paths(coords, depth: int, paths):
+    return next(paths) if depth == 0 else [_with_paths(inner, depth - 1, paths) for inner in coords]
+
+
+def simplified_many(geometries: list[dict], tolerance: float) -> list[dict]:
+    """Geometries with every path thinned; a path that would have too few vertices stays as it is, and so does what has no paths."""
+    known = [(g, *_PATHS[g["type"]]) for g in geometries if g.get("type") in _PATHS and g.get("coordinates")]
+    paths = [(path, least) for g, depth, least in known for path in _each_path(g["coordinates"], depth)]
+    long = [path for path, least in paths if len(path) > least]
+    flat = np.array([p[:2] for path in long for p in path], float).reshape(-1, 2)
+    ends = np.cumsum([len(path) for path in long], dtype=np.int64)
+    keep = kept_vertices(flat, ends, tolerance) if long else np.zeros(0, bool)
+    slim, at = [], 0
+    for path, least in paths:
+        if len(path) > least:
+            stay = np.flatnonzero(keep[at:at + len(path)])
+            at += len(path)
+            path = [path[i] for i in stay] if least <= len(stay) < len(path) else path
+        slim.append(path)
+    rest = iter(slim)
+    return [{**g, "coordinates": _with_paths(g["coordinates"], _PATHS[g["type"]][0], rest)} if g.get("type") in _PATHS and g.get("coordinates") else g
+            for g in geometries]
 
 
 def simplified(geometry: dict, tolerance: float) -> dict:
-    kind, coords = geometry.get("type"), geometry.get("coordinates")
-
-    def slim(path, least):
-        if len(path) <= least:
-            return path
-        keep = np.flatnonzero(_kept(np.asarray([p[:2] for p in path], float), tolerance))
-        return [path[i] for i in keep] if len(keep) >= least else path
-
-    if kind == "LineString":
-        coords = slim(coords, 2)
-    elif kind == "MultiLineString":
-        coords = [slim(p, 2) for p in coords]
-    elif kind == "Polygon":
-        coords = [slim(p, 4) for p in coords]
-    elif kind == "MultiPolygon":
-        coords = [[slim(p, 4) for p in rings] for rings in coords]
-    return {**geometry, "coordinates": coords}
+    return simplified_many([geometry], tolerance)[0]
 
 
 def simplify(geometry_json, tolerance: float = SIMPLIFY_DEG) -> Column:
@@ -193,8 +218,11 @@ def simplify(geometry_json, tolerance: float = SIMPLIFY_DEG) -> Column:
 
     @F.pandas_udf(T.StringType())
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda g: None if g is None else
-                        json.dumps(simplified(json.loads(g), tolerance), separators=(",", ":")))
+        there = text.notna()
+        slim = simplified_many([json.loads(g) for g in text[there]], tolerance)
+        out = pd.Series(None, index=text.index, dtype=object)
+        out[there] = [json.dumps(g, separators=(",", ":")) for g in slim]
+        return out
 
     return run(geometry_json)
 

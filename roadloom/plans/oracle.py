@@ -577,6 +577,13 @@ O["admission_window"] = """WITH RECURSIVE chain AS (
 SELECT e.user_id, e.ts, e.event_id, CASE WHEN c.i1 IS NULL THEN 'window' ELSE 'admitted' END AS verdict
 FROM events e LEFT JOIN chain c ON c.user_id = e.user_id AND c.i1 = e.event_id"""
 O["admission_stream"] = O["admission_window"]
+O["admission_single"] = """WITH RECURSIVE chain AS (
+  SELECT user_id, min(struct_pack(t := CAST(ts AS TIMESTAMP), i := event_id)) AS m FROM events GROUP BY user_id
+  UNION ALL
+  SELECT user_id, m FROM (SELECT c.user_id, min(struct_pack(t := CAST(e.ts AS TIMESTAMP), i := e.event_id)) AS m FROM chain c
+    JOIN events e ON e.user_id = c.user_id AND CAST(e.ts AS TIMESTAMP) > c.m.t + INTERVAL 6 HOUR GROUP BY c.user_id))
+SELECT e.user_id, e.ts, e.event_id, CASE WHEN c.m IS NULL THEN 'window' ELSE 'admitted' END AS verdict
+FROM events e LEFT JOIN chain c ON c.user_id = e.user_id AND c.m.i = e.event_id"""
 # Day by day; the events of a day are folded in order over what each user was admitted at last.
 O["admission_capped"] = """WITH RECURSIVE days AS (
   SELECT row_number() OVER (ORDER BY day) AS no, * FROM (

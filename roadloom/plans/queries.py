@@ -755,6 +755,12 @@ def admission_window(spark, sf):
     return admission.admit(d.table(spark, sf, "events"), "user_id", "ts", "event_id", 2, 86_400)
 
 
+@query
+def admission_single(spark, sf):
+    """One admitted event per user and six hours: chunks of a day as maps, composed by doubling."""
+    return admission.admit(d.table(spark, sf, "events"), "user_id", "ts", "event_id", 1, 21_600, chunk_s=86_400)
+
+
 @query
 def admission_capped(spark, sf):
     return admission.admit(d.table(spark, sf, "events"), "user_id", "ts", "event_id", 1, 21_600, daily_cap=100)

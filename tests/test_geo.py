@@ -141,6 +141,39 @@ def test_ellipsoidal_length_column(spark):
     assert got[0] == pytest.approx(111238.7, abs=1) and got[1] is None and got[2] == 0.0
 
 
+def _thinned(path, tolerance):
+    """The rule for one path, by recursion."""
+    if len(path) < 3:
+        return path
+    (x0, y0), (x1, y1) = path[0], path[-1]
+    squared = (x1 - x0) ** 2 + (y1 - y0) ** 2
+
+    def off(p):
+        share = min(max(((p[0] - x0) * (x1 - x0) + (p[1] - y0) * (y1 - y0)) / squared, 0), 1) if squared else 0
+        return math.hypot(p[0] - x0 - share * (x1 - x0), p[1] - y0 - share * (y1 - y0))
+
+    far = max(range(1, len(path) - 1), key=lambda i: (off(path[i]), -i))
+    if off(path[far]) <= tolerance:
+        return [path[0], path[-1]]
+    return _thinned(path[:far + 1], tolerance) + _thinned(path[far:], tolerance)[1:]
+
+
+def test_simplify_of_a_batch_equals_each_path_alone():
+    rng = np.random.default_rng(8)
+    lines = [np.round(np.cumsum(rng.normal(0, 1, (n, 2)), 0), 6).tolist() for n in (1, 2, 3, 40, 0, 5, 300, 17, 2)]
+    ring = [[math.cos(t / 30) * 5, math.sin(t / 30) * 5] for t in range(188)] + [[5.0, 0.0]]
+    tiny = [[0, 0], [0.01, 0], [0.01, 0.01], [0, 0.01], [0, 0]]
+    given = [{"type": "LineString", "coordinates": p} for p in lines] + [
+        {"type": "MultiLineString", "coordinates": lines, "more": 1}, {"type": "Point", "coordinates": [1, 2]}, {"type": "MultiPolygon", "coordinates": [[ring, tiny], [tiny]]},
+        {"type": "Polygon", "coordinates": [ring]}, {"type": "GeometryCollection", "geometries": []}, {"type": "LineString", "coordinates": [[0, 0]] * 9}]
+    got = geo_arrow.simplified_many(given, 0.7)
+    assert [g["coordinates"] for g in got[:9]] == [_thinned(p, 0.7) for p in lines]
+    assert got[9] == {"type": "MultiLineString", "coordinates": [_thinned(p, 0.7) for p in lines], "more": 1}
+    assert got[10] == given[10] and got[13] == given[13] and got[14]["coordinates"] == [[0, 0], [0, 0]]
+    assert got[11]["coordinates"] == [[_thinned(ring, 0.7), tiny], [tiny]] and got[12]["coordinates"] == [_thinned(ring, 0.7)]
+    assert geo_arrow.simplified_many([], 0.7) == []
+
+
 def test_simplify_keeps_ends_and_far_vertices():
     slim = geo_arrow.simplified({"type": "LineString", "coordinates": [[0, 0], [1, 0.0001], [2, 0], [2, 2]]}, 0.0005)
     assert slim["coordinates"] == [[0, 0], [2, 0], [2, 2]]
