@@ -12,6 +12,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,6 +228,31 @@ def simplify(geometry_json, tolerance: float = SIMPLIFY_DEG) -> Column:
     return run(geometry_json)
 
 
+def thinned_paths(parts: pa.Array, tolerance: float) -> pa.Array:
+    """Paths of a batch (lists of lists of x, y) with the vertices that stay, by offsets alone; null rows and paths stay null."""
+    parts = parts.cast(_PARTS)
+    paths = parts.flatten()
+    points = paths.flatten()
+    sizes = pc.fill_null(pc.list_value_length(paths), 0).to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes)
+    xy = np.column_stack([pc.fill_null(points.field(c), np.nan).to_numpy(zero_copy_only=False) for c in "xy"]).reshape(-1, 2)
+    keep = kept_vertices(xy, ends[sizes > 0], tolerance) if len(xy) else np.zeros(0, bool)
+    left = np.add.reduceat(np.append(keep, False).astype(np.int64), ends - sizes) * (sizes > 0) if len(sizes) else sizes
+    slim = _lists(left, points.filter(pa.array(keep)), pa.array(paths.is_null()))
+    counts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy().astype(np.int64)
+    return _lists(counts, slim, pa.array(parts.is_null()))
+
+
+def simplify_parts(parts, tolerance: float = SIMPLIFY_DEG) -> Column:
+    """``array<array<struct<x, y>>>`` of lines, thinned to the tolerance (in degrees) without a text in between."""
+
+    @F.arrow_udf("array<array<struct<x:double,y:double>>>")
+    def run(data: pa.Array) -> pa.Array:
+        return thinned_paths(data, tolerance)
+
+    return run(parts)
+
+
 # ---------------------------------------------------------------- WKB
 
 # fixed values: geometry type numbers of the WKB standard
@@ -373,6 +399,7 @@ def first_vertices(data: pa.Array) -> pa.Array:
 
 
 VERTEX = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_PARTS = pa.list_(pa.list_(VERTEX))
 LINES = pa.struct([("parts", pa.list_(pa.list_(VERTEX))), ("metres", pa.float64())])
 
 

@@ -459,6 +459,7 @@ O["wkb_roundtrip"] = sql(ROADS, "SELECT id, CASE WHEN two THEN 107 ELSE 57 END A
                          + ", ".join(f"round({_PLACED[c]}, 6) AS placed_{c}" for c in "xy") + " FROM roads")
 O["simplify"] = sql(["roads0", "roads1"], "SELECT id, CASE WHEN s >= 2 THEN 3 ELSE 2 END + CASE WHEN two THEN 2 ELSE 0 END AS vertices, "
                     + ", ".join(f"round(CASE WHEN s >= 2 THEN {_PLACED[c]} ELSE {_THINNED[c]} END, 6) AS placed_{c}" for c in "xy") + " FROM roads1")
+O["simplify_paths"] = O["simplify"]
 O["slim_features"] = sql(STATS[:-1], """SELECT CAST(id AS VARCHAR) AS id, class, state, name, name IS NOT NULL AS is_named,
 round(length_km, 4) AS length_km, round(map_km, 6) AS map_km
 FROM rounded JOIN (SELECT id AS k, cx, cy FROM cells0) c ON c.k = id JOIN placed USING (cx, cy)

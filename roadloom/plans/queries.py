@@ -525,8 +525,11 @@ def default_restore(spark, sf):
 
 
 def _each_vertex(geometry):
+    return _each_spot(geo.geojson_vertices(geometry))
+
+
+def _each_spot(spots):
     """Sums to which every vertex adds its coordinates times its place, so that none can be lost, moved or swapped unseen."""
-    spots = geo.geojson_vertices(geometry)
     placed = F.transform(spots, lambda v, i: F.struct((v["x"] * (i + 1)).alias("x"), (v["y"] * (i + 1)).alias("y")))
     total = lambda c: F.aggregate(F.transform(placed, lambda v: v[c]), F.lit(0.0), lambda t, v: t + v)
     return [r6(total(c), f"placed_{c}") for c in "xy"]
@@ -547,6 +550,13 @@ def simplify(spark, sf):
     return slim.select("id", F.size(geo.geojson_vertices("g")).alias("vertices"), *_each_vertex("g"))
 
 
+@query
+def simplify_paths(spark, sf):
+    """The same thinning on arrays of vertices, without a text in between."""
+    slim = d.roads(spark, sf).select("id", F.flatten(geo_arrow.simplify_parts("parts", 0.005)).alias("spots"))
+    return slim.select("id", F.size("spots").alias("vertices"), *_each_spot(F.col("spots")))
+
+
 @query
 def spheroid_length(spark, sf):
     return d.roads(spark, sf).select("id", F.round(geo_arrow.spheroid_length_m("parts"), 3).alias("metres"))

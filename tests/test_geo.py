@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,18 @@ def test_simplify_of_a_batch_equals_each_path_alone():
     assert geo_arrow.simplified_many([], 0.7) == []
 
 
+def test_simplify_by_offsets_equals_the_text_form():
+    rng = np.random.default_rng(4)
+    rows = [None if i % 11 == 5 else [np.round(np.cumsum(rng.normal(0, 1, (int(n), 2)), 0), 6).tolist() for n in rng.integers(0, 30, int(rng.integers(0, 5)))] for i in range(60)]
+    rows += [[], [[]], [[], [[1.0, 2.0]], []]]
+    data = pa.array([r and [[{"x": x, "y": y} for x, y in path] for path in r] for r in rows], geo_arrow._PARTS)
+    want = [r and geo_arrow.simplified({"type": "MultiLineString", "coordinates": r}, 0.8)["coordinates"] for r in rows]
+    for lo, hi in ((0, len(rows)), (7, 40), (0, 0), (60, 63)):
+        got = geo_arrow.thinned_paths(data[lo:hi], 0.8).to_pylist()
+        assert [r and [[[v["x"], v["y"]] for v in path] for path in r] for r in got] == want[lo:hi]
+    assert geo_arrow.thinned_paths(pa.array([[None, [{"x": 1.0, "y": 1.0}]]], geo_arrow._PARTS), 1.0).to_pylist() == [[None, [{"x": 1.0, "y": 1.0}]]]
+
+
 def test_simplify_keeps_ends_and_far_vertices():
     slim = geo_arrow.simplified({"type": "LineString", "coordinates": [[0, 0], [1, 0.0001], [2, 0], [2, 2]]}, 0.0005)
     assert slim["coordinates"] == [[0, 0], [2, 0], [2, 2]]
