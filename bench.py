@@ -12,7 +12,7 @@ HEADLINE = [
     "wow_drops", "headline_delta", "within_radius", "distance_join", "places_near_sites", "breakdown_roads",
     "column_profile", "numeric_summary", "path_length", "geojson_features", "number_readings", "score_answers",
     "eval_summary", "sql_audit", "estimate_bytes", "admission_window", "spheroid_length",
-    "slim_features", "verified_rewrite", "admission_stream", "simplify", "wkb_roundtrip", "extract_scan",
+    "slim_features", "verified_rewrite", "admission_stream", "admission_single", "simplify", "simplify_paths", "wkb_roundtrip", "extract_scan",
 ]
 
 
