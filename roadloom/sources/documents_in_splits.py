@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ _STRING = re.compile(r'"(?:[^"\\]++|\\.)*+("?)', re.DOTALL)
 _REST = re.compile(r'(?:[^"\\]++|\\.)*+("?)', re.DOTALL)
 #: A feature is an object in an array of the document's object.
 _MEMBER = 2
+_OPENS, _CLOSES, _QUOTE, _ESCAPE = b"{}\"\\"
+#: What a byte does to the number of open brackets.
+_SIGN = np.zeros(256, np.int8)
+_SIGN[list(b"{[")], _SIGN[list(b"}]")] = 1, -1
 
 
 def without_strings(text: str, in_string: bool) -> tuple[str, bool]:
@@ -43,6 +48,24 @@ def without_strings(text: str, in_string: bool) -> tuple[str, bool]:
     return "".join(out), False
 
 
+def brackets(raw: bytes, in_string: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of the brackets outside of strings, 1 or -1 for each, and whether the text ends inside a string."""
+    text = np.frombuffer(raw, np.uint8)
+    quotes, escapes = np.flatnonzero(text == _QUOTE), np.flatnonzero(text == _ESCAPE)
+    if len(escapes):
+        first = np.flatnonzero(np.diff(escapes, prepend=-2) > 1)
+        runs = np.diff(np.append(first, len(escapes)))
+        quotes = np.setdiff1d(quotes, (escapes[first] + runs)[runs % 2 == 1], assume_unique=True)
+        if ((np.searchsorted(quotes, escapes) + in_string) % 2 == 0).any():      # outside of strings it escapes nothing
+            plain, after = without_strings(raw.decode("latin-1"), in_string)
+            text = np.frombuffer(plain.encode("latin-1"), np.uint8)
+            at = np.flatnonzero(_SIGN[text])
+            return at, _SIGN[text[at]], after
+    at = np.flatnonzero(_SIGN[text])
+    at = at[(np.searchsorted(quotes, at) + in_string) % 2 == 0]
+    return at, _SIGN[text[at]], (len(quotes) + in_string) % 2 == 1
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[list]]]:
     """((file, start), columns) of rows that belong to one split and follow each other."""
     for batch in batches:
@@ -54,6 +77,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, i
                 yield places[lo], [c[lo:hi] for c in columns[2:]]
 
 
+def _braced(texts: list[str], braced: bool) -> bytes:
+    """The text of rows that the reader has cut at opening braces; ``braced``: with the one before the first."""
+    return ("{" * braced + "{".join(texts)).encode()
+
+
 def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, start, string_0, string_1, depth_0, depth_1) of every split: what it makes of beginning outside and inside a string."""
     place, ends = None, None
@@ -69,13 +97,9 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if place:
                 yield row()
             place, ends, braced = here, [(False, 0), (True, 0)], here[1] > 0     # a file does not begin with the brace before it
-        for text in texts:
-            done: dict[bool, tuple[str, bool]] = {}
-            for i, (inside, depth) in enumerate(ends):
-                plain, after = done.get(inside) or done.setdefault(inside, without_strings(text, inside))
-                opened = plain.count("[") - plain.count("]") - plain.count("}") + (braced and not inside)
-                ends[i] = after, depth + opened
-            braced = True
+        raw = _braced(texts, braced)
+        done = {inside: brackets(raw, inside) for inside in {inside for inside, _ in ends}}
+        ends = [(done[inside][2], depth + int(done[inside][1].sum(dtype=np.int64))) for inside, depth in ends]
     if place:
         yield row()
 
@@ -90,7 +114,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(kind: str) -> None:
         nonlocal held, seq
-        text = "".join(held)
+        text = b"".join(held).decode()
         held = []
         if kind != "around" or text.strip(" ,\t\r\n"):
             rows.append((*place, seq, kind, text))
@@ -111,29 +135,22 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end_of_split()
             place, seq, held, inside, depth, braced = here, 0, [], strings[0], depths[0], here[1] > 0
             open_kind = "head" if depth > _MEMBER else None
-        for text in texts:
-            if braced and not inside:
-                if depth == _MEMBER:
-                    close("around")
-                    open_kind = "member"
-                depth += 1
-            if braced:
-                held.append("{")
-            braced = True
-            plain, inside = without_strings(text, inside)
-            at = 0
-            *before, last = plain.split("}")
-            for part in before:
-                depth += part.count("[") - part.count("]") - 1
-                if depth == _MEMBER and open_kind:
-                    held.append(text[at : at + len(part) + 1])
-                    close(open_kind)
-                    open_kind = None
-                else:
-                    held.append(text[at : at + len(part) + 1])
-                at += len(part) + 1
-            depth += last.count("[") - last.count("]")
-            held.append(text[at:])
+        raw = _braced(texts, braced)
+        places, signs, inside = brackets(raw, inside)
+        depths_after = depth + np.cumsum(signs, dtype=np.int64)
+        depth, at = int(depths_after[-1]) if len(signs) else depth, 0
+        kinds = np.frombuffer(raw, np.uint8)[places]
+        ends = ((kinds == _OPENS) & (depths_after == _MEMBER + 1)) | ((kinds == _CLOSES) & (depths_after == _MEMBER))
+        for p, opens in zip(places[ends].tolist(), (kinds[ends] == _OPENS).tolist(), strict=True):
+            if opens:
+                held.append(raw[at:p])
+                close("around")
+                open_kind, at = "member", p
+            elif open_kind:
+                held.append(raw[at : p + 1])
+                close(open_kind)
+                open_kind, at = None, p + 1
+        held.append(raw[at:])
         if rows:
             yield flushed()
     end_of_split()
@@ -159,7 +176,7 @@ def members(spark: SparkSession, path: str, files: DataFrame | None = None) -> t
         chunks = chunks.join(files, "file", "left_semi")
     steps = chunks.sortWithinPartitions("file", "start", "at").select("file", "start", "value").mapInArrow(
         _transitions, "file long, start long, string_0 boolean, string_1 boolean, depth_0 long, depth_1 long")
-    steps = materialize(steps, "transitions")
+    steps = materialize(steps.hint("rebalance"), "transitions")     # a split gives one row, which need not be a file
     by_place = Window.partitionBy("file").orderBy("start")
     before, upto = by_place.rowsBetween(Window.unboundedPreceding, -1), by_place.rowsBetween(Window.unboundedPreceding, 0)
     # The last split that ends alike from both states settles the state after it; later ones hand it on or turn it round.
@@ -170,7 +187,7 @@ def members(spark: SparkSession, path: str, files: DataFrame | None = None) -> t
     opened = F.when(F.col("in_string"), F.col("depth_1")).otherwise(F.col("depth_0"))
     begins = steps.withColumn("opened", opened).select("file", "start", "in_string", F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("depth"))
     cut = chunks.join(begins, ["file", "start"]).sortWithinPartitions("file", "start", "at").select("file", "start", "value", "in_string", "depth")
-    pieces = materialize(cut.mapInArrow(_pieces, _PIECE), "members")
+    pieces = materialize(cut.mapInArrow(_pieces, _PIECE).hint("rebalance"), "members")
     return _joined(pieces), _around(pieces)
 
 
