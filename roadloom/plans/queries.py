@@ -317,8 +317,8 @@ def distance_join(spark, sf):
 @query
 def places_near_sites(spark, sf):
     places = d.places(spark, sf).select("id", "lon", "lat", "operating_status")
-    pairs = proximity.distance_join(places, d.supplier_sites(spark, sf), 1000)
-    return proximity.count_near(pairs, F.col("operating_status") == "open")
+    pairs = proximity.distance_join(places, d.supplier_sites(spark, sf), 1000, count_where=F.col("operating_status") == "open")
+    return proximity.count_near(pairs)
 
 
 @query

@@ -479,3 +479,23 @@ def test_bad_parameters(spark):
 
 def test_geojson_text_is_json(spark):
     assert json.loads(spark.range(1).select(geo.point_geojson(F.lit(1.5), F.lit(2.5)).alias("g")).first()["g"])["coordinates"] == [1.5, 2.5]
+
+
+def test_counted_pairs_equal_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "PART_PLACES", 3)
+    rng = random.Random(8)
+    near = lambda lon, lat, spread, n: [(lon + rng.uniform(-spread, spread), lat + rng.uniform(-spread, spread)) for _ in range(n)]
+    spots = near(8.6, 50.1, 0.05, 700) + [(8.61, 50.11)] * 60 + near(180.0, -16.0, 0.04, 200) + near(20.0, 89.99, 0.009, 60) + near(0.0, 0.0, 0.03, 200)
+    spots += [(float("nan"), 50.1), (8.6, float("nan")), (None, 50.1), (8.6, None)]
+    places = spark.createDataFrame([(i, x, y, i % 5 > 0) for i, (x, y) in enumerate(spots)], "id long, lon double, lat double, open boolean")
+    some = [rng.choice([s for s in spots if None not in s]) for _ in range(60)] + [(179.99, -16.0), (-179.99, -16.01), (0.0, 90.0), (8.6, 50.1), (100.0, 10.0)]
+    marks = [(f"m{i}", x, y) for i, (x, y) in enumerate(some) if x == x and y == y] + [("m1", 8.6, 50.1), (None, 8.6, 50.1)]
+    landmarks = spark.createDataFrame(marks, "landmark string, to_lon double, to_lat double")
+    for radius in (1000, 2500):
+        pairs = proximity.distance_join(places, landmarks, radius)
+        counted = proximity.distance_join(places, landmarks, radius, count_where=F.col("open"))
+        want = proximity.count_near(pairs, F.col("open")).collect()
+        assert sorted(map(str, proximity.count_near(counted).collect())) == sorted(map(str, want))
+    # No landmark meets all places around it one by one.
+    near_by = proximity.distance_join(places, landmarks, 2500).where("open").count()
+    assert 3 * counted.count() < near_by
