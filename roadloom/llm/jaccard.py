@@ -120,9 +120,32 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Integers by byte plane, so that planes of zeros vanish when the shuffle compresses them."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unplaned(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _listed(hashes: np.ndarray, refs: np.ndarray) -> dict[str, bytes]:
+    """Ascending hashes as their differences, and the set that each belongs to, where NOBODY becomes 0."""
+    return {"hashes": _planes(np.diff(hashes, prepend=np.uint64(0))), "refs": _planes(refs + np.uint32(1))}
+
+
+def _hashes(row: dict) -> np.ndarray:
+    return np.cumsum(_unplaned(row["hashes"], np.uint64), dtype=np.uint64)
+
+
+def _refs(row: dict) -> np.ndarray:
+    return _unplaned(row["refs"], np.uint32) - np.uint32(1)
+
+
 def _row(kind, bucket, block, ids=None, ns=None, sigs=None, hashes=None, refs=None):
     raw = lambda x: None if x is None else x.tobytes()
-    return {"kind": kind, "bucket": int(bucket), "block": block, "ids": ids, "ns": raw(ns), "sigs": sigs, "hashes": raw(hashes), "refs": raw(refs)}
+    lists = {"hashes": None, "refs": raw(refs)} if hashes is None else _listed(hashes, refs)
+    return {"kind": kind, "bucket": int(bucket), "block": block, "ids": ids, "ns": raw(ns), "sigs": sigs} | lists
 
 
 ARROW_BLOCK = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.binary()), ("sigs", pa.binary()), ("hashes", pa.binary()), ("refs", pa.binary())])
@@ -188,8 +211,9 @@ def _met(table: pa.Table) -> pa.Table:
     out = [table.filter(pa.array(kinds != "ask"))]
     if len(asked):
         rows = table.take(pa.array(asked))
-        hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-        refs = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("refs").to_pylist()])
+        asks = rows.select(["hashes", "refs"]).to_pylist()
+        hashes, refs = [_hashes(r) for r in asks], np.concatenate([_refs(r) for r in asks])
+        del asks
         source = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
         flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
@@ -220,8 +244,8 @@ def _gather(percent: int):
         n = np.frombuffer(sets["ns"], np.uint32).astype(np.int64)
         sigs = [sets["sigs"][i * 16 : i * 16 + 16] if n[i] else None for i in range(len(n))]
         known = [r for r in rows if r["kind"] == "known"]
-        refs = np.concatenate([np.frombuffer(r["refs"], np.uint32) for r in known])
-        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in known]).view(np.int64)
+        refs = np.concatenate([_refs(r) for r in known])
+        hashes = np.concatenate([_hashes(r) for r in known]).view(np.int64)
         order = np.argsort(refs, kind="stable")
         cut = np.searchsorted(refs[order], np.arange(len(n) + 1))
         at = np.frombuffer(docs["refs"], np.uint32).tolist()

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -361,3 +362,22 @@ def test_deep_pages_take_time_in_proportion():
     maintext.main_text("<div>x " * 30_000)
     maintext.main_text("<b>x</i> " * 30_000)
     assert time.process_time() - start < 8
+
+
+class _FirstTask:
+    @staticmethod
+    def get():
+        return _FirstTask()
+
+    def partitionId(self):  # noqa: N802
+        return 0
+
+
+def test_jaccard_asks_compress_below_ten_bytes_a_shingle(monkeypatch):
+    monkeypatch.setattr(jaccard, "TaskContext", _FirstTask)
+    rng = random.Random(3)
+    bodies = [" ".join(str(rng.randrange(10**6)) for _ in range(300)).encode() for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(bodies)], ["doc_id", "body"])
+    rows = [r for b in jaccard._blocks(4, 8)([batch]) for r in b.to_pylist() if r["kind"] == "ask"]
+    size = sum(len(pa.compress(r["hashes"] + r["refs"], codec="lz4", asbytes=True)) for r in rows)
+    assert size < 10 * 300 * 297
