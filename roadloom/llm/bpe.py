@@ -31,7 +31,7 @@ class _Places(dict):
 
 def _planes(values: np.ndarray) -> bytes:
     """Small integers by byte plane: the planes of zeros vanish when the shuffle compresses them."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _unplaned(raw: bytes) -> np.ndarray:
@@ -43,33 +43,40 @@ def _split(kind: str, buckets: int):
     each block with its ids, the number of words of each, and the place of every word in the block's list of distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, bodies, size = TaskContext.get().partitionId() << 32, [], [], 0
+        give_back()
+        block, ids, found, each, size = TaskContext.get().partitionId() << 32, [], _Places(), [], 0
         for batch in batches:
-            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                bodies.append(body or b"")
-                size += len(bodies[-1])
-                if size >= BLOCK_BYTES:
-                    yield emit(block, ids, bodies)
-                    block, ids, bodies, size = block + 1, [], [], 0
-                    give_back()
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                for i, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    words = body.split() if body else []
+                    ids.append(i)
+                    each.append(np.fromiter(map(found.__getitem__, words), np.int32, len(words)))
+                    size += len(body or b"")
+                    if size >= BLOCK_BYTES:
+                        yield emit(block, ids, found, each)
+                        block, ids, found, each, size = block + 1, [], _Places(), [], 0
+                        give_back()
         if ids:
-            yield emit(block, ids, bodies)
-            ids, bodies = [], []
+            yield emit(block, ids, found, each)
+            ids, found, each = [], _Places(), []
             give_back()
 
-    def emit(block, ids, bodies):
-        found, each = _Places(), []
-        for body in bodies:
-            words = body.split()
-            each.append(np.fromiter(map(found.__getitem__, words), np.int32, len(words)))
-        n, at = np.array([len(x) for x in each], np.int64), np.concatenate(each)
-        by_count = np.argsort(-np.bincount(at, minlength=len(found)), kind="stable")
+    def emit(block, ids, found, each):
+        """The words of a block; its lists are emptied on the way, so that no two copies of the places are held for long."""
+        n, count = np.array([len(x) for x in each], np.int64), np.zeros(len(found), np.int64)
+        at = np.concatenate(each)
+        each.clear()
+        for lo in range(0, len(at), 1 << 18):
+            count += np.bincount(at[lo : lo + (1 << 18)], minlength=len(found))
+        by_count = np.argsort(-count, kind="stable")
         if kind == "docs":
-            rank = np.empty(len(found), np.int64)
-            rank[by_count] = np.arange(len(found))
+            rank = np.empty(len(found), np.uint32)
+            rank[by_count] = np.arange(len(found), dtype=np.uint32)
+            found.clear()
             rows = [{"kind": kind, "bucket": block % buckets, "block": block, "doc_ids": ids, "sizes": n.astype("<u4").tobytes(), "places": _planes(rank[at])}]
             return pa.RecordBatch.from_pylist(rows, schema=ARROW)
+        del at
         distinct = list(found)
         distinct = [distinct[i] for i in by_count.tolist()]
         home = np.fromiter(map(zlib.crc32, distinct), np.int64, len(distinct)) % buckets

@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -381,3 +382,19 @@ def test_jaccard_asks_compress_below_ten_bytes_a_shingle(monkeypatch):
     rows = [r for b in jaccard._blocks(4, 8)([batch]) for r in b.to_pylist() if r["kind"] == "ask"]
     size = sum(len(pa.compress(r["hashes"] + r["refs"], codec="lz4", asbytes=True)) for r in rows)
     assert size < 10 * 300 * 297
+
+
+def test_bpe_blocks_hold_numbers_of_words_and_not_their_texts(monkeypatch):
+    monkeypatch.setattr(bpe, "TaskContext", _FirstTask)
+    rng = random.Random(3)
+    words = [b"%d" % rng.randrange(1000) for _ in range(5000)]
+    bodies = pa.array([b" ".join(words[i % 50 :]) for i in range(400)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), bodies], ["doc_id", "body"])
+    list(bpe._split("docs", 8)([batch.slice(0, 2)]))
+    tracemalloc.start()
+    (block,) = bpe._split("docs", 8)([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = sum(np.frombuffer(block.column("sizes")[0].as_py(), "<u4").tolist())
+    assert n == sum(len(words) - i % 50 for i in range(400))
+    assert peak < 18 * n
