@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ from roadloom.llm.store import give_back, parts, rows_of, tidied
 
 #: Bytes of text in a block; its distinct words and their ids are what a task holds at once.
 BLOCK_BYTES = 24 << 20
+#: Words in a part of a block; a row of places has no more.
+PART_WORDS = 1 << 16
+#: Ids that are written out at once.
+SPELLED_IDS = 1 << 16
 
 BLOCK = "kind string, bucket int, block long, doc_ids array<long>, places binary, sizes binary, blob binary"
 ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("places", pa.binary()), ("sizes", pa.binary()), ("blob", pa.binary())])
@@ -38,46 +43,73 @@ def _unplaned(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
+class _Block:
+    """The documents of a block while they are read: their ids, the number of words of each, and the numbers of all words in parts
+    of equal length.  The parts are counted as they fill up, and kept only where they are asked for."""
+
+    def __init__(self, keep: bool):
+        self.keep, self.ids, self.sizes, self.bytes = keep, [], [], 0
+        self.found, self.count, self.parts = _Places(), np.zeros(0, np.int64), []
+        self.part, self.at = np.empty(PART_WORDS, np.int32), 0
+
+    def add(self, doc_id: int | None, body: bytes | None) -> None:
+        words = body.split() if body else []
+        own = np.fromiter(map(self.found.__getitem__, words), np.int32, len(words))
+        self.ids.append(doc_id)
+        self.sizes.append(len(own))
+        self.bytes += len(body or b"")
+        while len(own):
+            some = own[: PART_WORDS - self.at]
+            self.part[self.at : self.at + len(some)] = some
+            self.at += len(some)
+            own = own[len(some) :]
+            if self.at == PART_WORDS:
+                self.close()
+
+    def close(self) -> None:
+        part, self.at = self.part[: self.at], 0
+        count = np.bincount(part, minlength=len(self.found))
+        count[: len(self.count)] += self.count
+        self.count = count
+        if self.keep:
+            self.parts.append(part)
+            self.part = np.empty(PART_WORDS, np.int32)
+
+
 def _split(kind: str, buckets: int):
-    """Cut a partition into blocks.  Kind 'words': the distinct words of a block, a row for each bucket.  Kind 'docs': a row for
-    each block with its ids, the number of words of each, and the place of every word in the block's list of distinct words."""
+    """Cut a partition into blocks.  Kind 'words': the distinct words of a block, a row for each bucket.  Kind 'docs': the place of
+    every word of a block in its list of distinct words, in rows that 'bucket' numbers; the first has the ids of the documents and the
+    number of words of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        block, ids, found, each, size = TaskContext.get().partitionId() << 32, [], _Places(), [], 0
+        number, block = TaskContext.get().partitionId() << 32, _Block(kind == "docs")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 for i, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    words = body.split() if body else []
-                    ids.append(i)
-                    each.append(np.fromiter(map(found.__getitem__, words), np.int32, len(words)))
-                    size += len(body or b"")
-                    if size >= BLOCK_BYTES:
-                        yield emit(block, ids, found, each)
-                        block, ids, found, each, size = block + 1, [], _Places(), [], 0
+                    block.add(i, body)
+                    if block.bytes >= BLOCK_BYTES:
+                        yield emit(number, block)
+                        number, block = number + 1, _Block(kind == "docs")
                         give_back()
-        if ids:
-            yield emit(block, ids, found, each)
-            ids, found, each = [], _Places(), []
+        if block.ids:
+            yield emit(number, block)
+            del block
             give_back()
 
-    def emit(block, ids, found, each):
-        """The words of a block; its lists are emptied on the way, so that no two copies of the places are held for long."""
-        n, count = np.array([len(x) for x in each], np.int64), np.zeros(len(found), np.int64)
-        at = np.concatenate(each)
-        each.clear()
-        for lo in range(0, len(at), 1 << 18):
-            count += np.bincount(at[lo : lo + (1 << 18)], minlength=len(found))
-        by_count = np.argsort(-count, kind="stable")
+    def emit(number: int, block: _Block) -> pa.RecordBatch:
+        """The words of a block, or their places; what is no longer needed is emptied on the way."""
+        block.close()
         if kind == "docs":
-            rank = np.empty(len(found), np.uint32)
-            rank[by_count] = np.arange(len(found), dtype=np.uint32)
-            found.clear()
-            rows = [{"kind": kind, "bucket": block % buckets, "block": block, "doc_ids": ids, "sizes": n.astype("<u4").tobytes(), "places": _planes(rank[at])}]
-            return pa.RecordBatch.from_pylist(rows, schema=ARROW)
-        del at
-        distinct = list(found)
+            block.found.clear()
+        by_count = np.argsort(-block.count, kind="stable")
+        if kind == "docs":
+            rank = np.empty(len(by_count), np.uint32)
+            rank[by_count] = np.arange(len(by_count), dtype=np.uint32)
+            return places(number, block, rank)
+        distinct = list(block.found)
+        block.found.clear()
         distinct = [distinct[i] for i in by_count.tolist()]
         home = np.fromiter(map(zlib.crc32, distinct), np.int64, len(distinct)) % buckets
         order = np.argsort(home, kind="stable")
@@ -87,9 +119,23 @@ def _split(kind: str, buckets: int):
             if hi > lo:
                 own = [distinct[i] for i in order[lo:hi].tolist()]
                 sizes = np.fromiter(map(len, own), "<u4", len(own))
-                rows.append({"kind": kind, "bucket": b, "block": block, "places": _planes(np.diff(order[lo:hi], prepend=0)), "sizes": _planes(sizes), "blob": b"".join(own)})
+                rows.append({"kind": kind, "bucket": b, "block": number, "places": _planes(np.diff(order[lo:hi], prepend=0)), "sizes": _planes(sizes), "blob": b"".join(own)})
         return pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
+    def places(number: int, block: _Block, rank: np.ndarray) -> pa.RecordBatch:
+        """The rows share one buffer, which is written part by part."""
+        parts = block.parts
+        ends = 4 * np.cumsum([0, *map(len, parts)])
+        raw, n = np.empty(ends[-1], np.uint8), len(parts)
+        for k, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            raw[lo:hi].reshape(4, -1)[:] = rank[parts[k]].astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T
+            parts[k] = None
+        rest = [None] * (n - 1)
+        columns = [[kind] * n, range(n), [number] * n, [block.ids, *rest], None, [np.array(block.sizes, "<u4").tobytes(), *rest], [None] * n]
+        arrays = [pa.array(c, f.type) if c is not None else None for c, f in zip(columns, ARROW, strict=True)]
+        arrays[4] = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+        return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
+
     return run
 
 
@@ -109,7 +155,7 @@ def _encode(path: str):
         flat, sizes = [], []
         for at in range(0, len(words), 2000):
             got = [e.ids for e in tokenizer(path).encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
-            flat += [np.array(x, np.uint32) for x in got]
+            flat.append(np.fromiter(chain.from_iterable(got), np.uint32))
             sizes += map(len, got)
         sizes = np.array(sizes, np.int64)
         flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
@@ -138,32 +184,49 @@ def _assemble(path: str, with_ids: bool):
         return tidied(work, ids, places)
 
     def work(ids: pa.Table, places: pa.Table) -> pa.Table:
-        found, (docs,) = ids.to_pylist(), places.to_pylist()
-        words = sum(len(r["places"]) // 4 for r in found)
+        words = sum(x.as_buffer().size // 4 for x in ids.column("places"))
         sizes, starts, flat, base = np.zeros(words, np.int64), np.zeros(words, np.int64), [], 0
-        for r in found:
-            at, n, ids = np.cumsum(_unplaned(r["places"])), _unplaned(r["sizes"]), _loose(r["blob"])
+        for at, n, own in zip(*(ids.column(c) for c in ("places", "sizes", "blob")), strict=True):
+            at, n, own = np.cumsum(_unplaned(at.as_buffer())), _unplaned(n.as_buffer()), _loose(own.as_buffer())
             sizes[at], starts[at] = n, base + np.cumsum(n) - n
-            flat.append(ids)
-            base += len(ids)
+            flat.append(own)
+            base += len(own)
         flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        piece = pieces(path)
-        spelled = [b" ".join([piece[i] for i in flat[a : a + n].tolist()]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        place, out, at = _unplaned(docs["places"]), [], 0
-        for doc_id, n in zip(docs["doc_ids"], np.frombuffer(docs["sizes"], "<u4").tolist(), strict=True):
-            own = place[at : at + n]
+        place, first = _in_order(places)
+        piece, out, at = pieces(path), [], 0
+        for doc_id, n in zip(places.column("doc_ids")[first].as_py(), np.frombuffer(places.column("sizes")[first].as_py(), "<u4").tolist(), strict=True):
+            ids = gather(flat, starts, sizes, place[at : at + n])  # a word of other white space alone has no id
             at += n
-            own = own[sizes[own] > 0]  # a word of other white space alone has no id
-            ids = gather(flat, starts, sizes, own)
-            text = b" ".join([spelled[i] for i in own.tolist()])
-            out.append({"doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(text).hexdigest()})
+            text = list(_spelled(piece, ids)) if with_ids else _spelled(piece, ids)
+            said = hashlib.sha256()
+            for some in text:
+                said.update(some)
+            out.append({"doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<u4", copy=False)).hexdigest(), "decoded_sha256": said.hexdigest()})
             if with_ids:
-                out[-1] |= {"ids": ids.astype(np.int32), "decoded": text.decode()}
+                out[-1] |= {"ids": ids.astype(np.int32), "decoded": b"".join(text).decode()}
         return pa.Table.from_pylist(out, schema=schema)
 
     return run
 
 
+def _in_order(rows: pa.Table) -> tuple[np.ndarray, int]:
+    """The places of a block's words, and which row is its first."""
+    parts, raw = rows.column("bucket").to_pylist(), rows.column("places")
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    ends = np.cumsum([0, *(raw[i].as_buffer().size // 4 for i in order)])
+    place = np.empty(ends[-1], np.uint32)
+    for i, lo, hi in zip(order, ends[:-1], ends[1:], strict=True):
+        place[lo:hi] = _unplaned(raw[i].as_buffer())
+    return place, order[0]
+
+
+def _spelled(piece: list[bytes], ids: np.ndarray) -> Iterator[bytes]:
+    """The decoded text, some ids at a time."""
+    for at in range(0, len(ids), SPELLED_IDS):
+        text = b" ".join(map(piece.__getitem__, ids[at : at + SPELLED_IDS].tolist()))
+        yield b" " + text if at else text
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> list[bytes]:
     """The id-to-piece table; its size is that of the vocabulary, whatever the corpus."""

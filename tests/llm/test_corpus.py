@@ -398,3 +398,36 @@ def test_bpe_blocks_hold_numbers_of_words_and_not_their_texts(monkeypatch):
     n = sum(np.frombuffer(block.column("sizes")[0].as_py(), "<u4").tolist())
     assert n == sum(len(words) - i % 50 for i in range(400))
     assert peak < 18 * n
+
+
+def test_bpe_steps_hold_little_beside_their_words(monkeypatch):
+    monkeypatch.setattr(bpe, "TaskContext", _FirstTask)
+    rng = random.Random(4)
+    words = [b"%x" % rng.randrange(60_000) for _ in range(6000)]
+    bodies = [b" ".join(words[i:]) for i in range(100)] + [None, b"", b" \n", "  one \xa0".encode()]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(103), None], pa.int64()), pa.array(bodies, pa.binary())], ["doc_id", "body"])
+    n = sum(len((x or b"").split()) for x in bodies)
+
+    def traced(work):
+        tracemalloc.start()
+        out = work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    list(bpe._split("words", 4)([batch.slice(0, 2)]))
+    found, peak = traced(lambda: pa.Table.from_batches(bpe._split("words", 4)([batch])))
+    assert peak < 9.5 * n
+    places = pa.Table.from_batches(bpe._split("docs", 4)([batch]))
+    assert places.num_rows == -(-n // (1 << 16)) and max(map(len, places["places"].to_pylist())) <= 4 << 16
+    ids = pa.concat_tables([bpe._encode(WORD)(found.slice(i, 1)) for i in range(found.num_rows)])
+    bpe.pieces(WORD)
+    places = places.take(list(reversed(range(places.num_rows))))
+    got, peak = traced(lambda: bpe._assemble(WORD, False)(ids, places))
+    assert peak < 12 * n
+    t = Tokenizer.from_file(WORD)
+    for row, i, body in zip(got.to_pylist(), batch["doc_id"].to_pylist(), bodies, strict=True):
+        want = t.encode((body or b"").decode(), add_special_tokens=False).ids
+        said = t.decode(want, skip_special_tokens=False).encode()
+        assert (row["doc_id"], row["n_tokens"]) == (i, len(want)) and row["decoded_sha256"] == hashlib.sha256(said).hexdigest()
+        assert row["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
