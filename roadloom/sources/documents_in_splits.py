@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ _REST = re.compile(r'(?:[^"\\]++|\\.)*+("?)', re.DOTALL)
 #: A feature is an object in an array of the document's object.
 _MEMBER = 2
 _OPENS, _CLOSES, _QUOTE, _ESCAPE = b"{}\"\\"
+#: The least a task is to read.
+_TASK_BYTES = 2 << 20
+#: Of files of features: a task reads whole row groups, and a feature is much work.
+SMALL_GROUPS = {"parquet.block.size": 8 << 20}
 #: What a byte does to the number of open brackets.
 _SIGN = np.zeros(256, np.int8)
 _SIGN[list(b"{[")], _SIGN[list(b"}]")] = 1, -1
@@ -66,20 +71,21 @@ def brackets(raw: bytes, in_string: bool) -> tuple[np.ndarray, np.ndarray, bool]
     return at, _SIGN[text[at]], (len(quotes) + in_string) % 2 == 1
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[list]]]:
-    """((file, start), columns) of rows that belong to one split and follow each other."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Array, list]]:
+    """((file, start), texts, values of the other columns) of rows that belong to one split and follow each other."""
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        places = list(zip(columns[0], columns[1], strict=True))
-        cuts = [i for i in range(1, len(places)) if places[i] != places[i - 1]]
-        for lo, hi in zip([0, *cuts], [*cuts, len(places)], strict=True):
-            if hi > lo:
-                yield places[lo], [c[lo:hi] for c in columns[2:]]
+        if not batch.num_rows:
+            continue
+        files, starts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        cuts = (np.flatnonzero((np.diff(files) != 0) | (np.diff(starts) != 0)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield (int(files[lo]), int(starts[lo])), batch.column(2).slice(lo, hi - lo), [c[lo].as_py() for c in batch.columns[3:]]
 
 
-def _braced(texts: list[str], braced: bool) -> bytes:
+def _braced(texts: pa.Array, braced: bool) -> bytes:
     """The text of rows that the reader has cut at opening braces; ``braced``: with the one before the first."""
-    return ("{" * braced + "{".join(texts)).encode()
+    texts = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts.cast(pa.binary()))
+    return b"{" * braced + pc.binary_join(texts, b"{")[0].as_py()
 
 
 def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +97,7 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist([{"file": place[0], "start": place[1], "string_0": s0, "string_1": s1, "depth_0": d0, "depth_1": d1}],
                                           schema=pa.schema([("file", pa.int64()), ("start", pa.int64()), ("string_0", pa.bool_()), ("string_1", pa.bool_()), ("depth_0", pa.int64()), ("depth_1", pa.int64())]))
 
-    for here, (texts,) in _stretches(batches):
+    for here, texts, _ in _stretches(batches):
         braced = True
         if here != place:
             if place:
@@ -129,11 +135,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
-    for here, (texts, strings, depths) in _stretches(batches):
+    for here, texts, begins in _stretches(batches):
         braced = True
         if here != place:
             end_of_split()
-            place, seq, held, inside, depth, braced = here, 0, [], strings[0], depths[0], here[1] > 0
+            place, seq, held, (inside, depth), braced = here, 0, [], begins, here[1] > 0
             open_kind = "head" if depth > _MEMBER else None
         raw = _braced(texts, braced)
         places, signs, inside = brackets(raw, inside)
@@ -158,11 +164,20 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
+def in_larger_tasks(rows: DataFrame) -> DataFrame:
+    """Small splits of a scan, some to a task: to begin a task, with Python above all, costs more than a small split itself."""
+    spark = rows.sparkSession
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    size, splits = int(number) << 10 * " kmgtp".index(unit or " "), rows.rdd.getNumPartitions()
+    tasks = max(-(-splits * size // _TASK_BYTES), 4 * spark.sparkContext.defaultParallelism)
+    return rows.coalesce(tasks) if tasks < splits else rows
+
+
 def _braces(spark: SparkSession, path: str) -> DataFrame:
     """What stands between opening braces, with the place of its split and the order in it."""
     meta = F.col("_metadata")
-    return spark.read.text(path, lineSep="{").select(
-        F.xxhash64(meta["file_path"]).alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    return in_larger_tasks(spark.read.text(path, lineSep="{").select(
+        F.xxhash64(meta["file_path"]).alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"), "value"))
 
 
 def members(spark: SparkSession, path: str, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +202,7 @@ def members(spark: SparkSession, path: str, files: DataFrame | None = None) -> t
     opened = F.when(F.col("in_string"), F.col("depth_1")).otherwise(F.col("depth_0"))
     begins = steps.withColumn("opened", opened).select("file", "start", "in_string", F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("depth"))
     cut = chunks.join(begins, ["file", "start"]).sortWithinPartitions("file", "start", "at").select("file", "start", "value", "in_string", "depth")
-    pieces = materialize(cut.mapInArrow(_pieces, _PIECE).hint("rebalance"), "members")
+    pieces = in_larger_tasks(materialize(cut.mapInArrow(_pieces, _PIECE).hint("rebalance"), "members", **SMALL_GROUPS))
     return _joined(pieces), _around(pieces)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import geo
 from roadloom.functions.text import clean_key
 from roadloom.session import materialize
-from roadloom.sources.documents_in_splits import members
+from roadloom.sources.documents_in_splits import SMALL_GROUPS, in_larger_tasks, members
 
 _FEATURE = ("type string, id string, properties string, geometry string, "
             "coordinates string, geometries string, features array<string>")
@@ -35,12 +35,19 @@ def read_lines(spark: SparkSession, path: str, layout: str = "auto") -> DataFram
     lines = spark.read.text(path)
     if layout == "lines":
         return lines
-    file, text = F.xxhash64(F.col("_metadata.file_path")), _stripped("value")
-    part = (text != "") & ~text.rlike(_BRACKETS) & (~text.rlike(_OBJECTS) | F.try_parse_json(text).isNull())
-    documents = materialize(lines.where(part).select(file.alias("file")).distinct(), "documents")
+    lines = in_larger_tasks(lines.select(F.xxhash64(F.col("_metadata.file_path")).alias("file"), "value"))
+    text = geo.computed(lines, _text=_stripped("value")).select("file", "_text").where("_text <> ''")
+    whole = F.when(F.col("_text").startswith("{") & F.col("_text").endswith("}"), F.try_parse_json("_text"))
+    found = geo.computed(text, _value=whole).select(
+        "file", (F.col("_value").isNull() & ~F.col("_text").rlike(_BRACKETS)).alias("part"),
+        (F.try_variant_get("_value", "$.type", "string") == "FeatureCollection").alias("collection"))
+    # A collection that is all of its file is cut like one over several lines; its splits need not wait for one row.
+    files = found.groupBy("file").agg(F.bool_or("part").alias("part"), F.bool_or("collection").alias("collection"), F.count(F.lit(1)).alias("n"))
+    one_line = F.col("collection") & (F.col("n") == 1)
+    documents = materialize(files.where(F.col("part") | one_line).select("file", F.coalesce(one_line, F.lit(False)).alias("one_line")), "documents")
     if documents.isEmpty():
-        return lines
-    rest = lines.select(file.alias("file"), "value").join(documents, "file", "left_anti").select("value")
+        return lines.select("value")
+    rest = lines.join(documents, "file", "left_anti").select("value")
     return rest.unionByName(_document_members(spark, path, documents))
 
 
@@ -49,17 +56,25 @@ def _document_members(spark: SparkSession, path: str, files: DataFrame | None =
     found, around = members(spark, path, files)
     shell = F.from_json("text", "type string, features array<string>")
     one = F.try_parse_json("text").isNotNull()
-    collections = around.where(one & (shell["type"] == "FeatureCollection") & (F.size(shell["features"]) == 0)).select("file")
-    other = found.where(F.coalesce(F.from_json("text", "type string")["type"] != "Feature", F.lit(True))).select("file")
-    collections = materialize(collections.join(other, "file", "left_anti"), "collections")
+    # Without its members an array is empty; a second one may have had some as well.
+    alone = (F.size(shell["features"]) == 0) & (F.regexp_count("text", F.lit(r"\[\s*\]")) == 1)
+    around = materialize(around.select("file", F.coalesce(one & (shell["type"] == "FeatureCollection") & alone, F.lit(False)).alias("collection")), "around")
+    other = found.where(F.coalesce(F.from_json("text", "type string")["type"] != "Feature", F.lit(True))).select("file").distinct()
+    other = materialize(around.where(~F.col("collection")).select("file").union(other).distinct(), "other")
+    value = found.select("file", F.col("text").alias("value"))
+    if files is not None:
+        # As ``parse_features`` has the members of a line, so that one without an id gets the same hash.
+        parsed = F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>")[0]
+        value = found.join(files, "file").select("file", F.when(F.col("one_line"), parsed).otherwise(F.col("text")).alias("value"))
+    if other.isEmpty():
+        return value.select("value")
     whole = spark.read.text(path, wholetext=True).select(F.xxhash64(F.col("_metadata.file_path")).alias("file"), "value")
-    whole = whole if files is None else whole.join(files, "file", "left_semi")
-    rest = whole.join(collections, "file", "left_anti").select("value")
-    return found.join(collections, "file", "left_semi").select(F.col("text").alias("value")).unionByName(rest)
+    return value.join(other, "file", "left_anti").select("value").unionByName(whole.join(other, "file", "left_semi").select("value"))
 
 
 def _stripped(column: str) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.col(column), "^[\ufeff\\s,]+", ""), r"[,\s]+$", "")
+    space = ", \t\n\v\f\r"
+    return F.rtrim(F.ltrim(F.col(column), F.lit("\ufeff" + space)), F.lit(space))
 
 
 def parse_features(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -174,7 +189,7 @@ def read_geojson(spark: SparkSession, path: str, layout: str = "auto") -> DataFr
     """``flatten_features`` of all files.  The features are written to the shared folder once, for the pass over their
     properties and for the columns."""
     parsed = parse_features(read_lines(spark, path, layout)).hint("rebalance")
-    return flatten_features(materialize(parsed, "parsed"))
+    return flatten_features(in_larger_tasks(materialize(parsed, "parsed", **SMALL_GROUPS)))
 
 
 # ---------------------------------------------------------------- writing
